@@ -91,3 +91,20 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return nodes.join(current.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "node"), "node", "left").select(
         "node", F.coalesce("m", "node").alias("component")
     )
+
+
+def numbered(df: DataFrame, order: list[Column], place: str = "place") -> DataFrame:
+    """``df`` with each row's number from 0 in the global ``order``.
+
+    One range partitioning, then a count per partition; only those counts reach the driver.
+    """
+    spark = df.sparkSession
+    laid = written(df.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).withColumn(place, F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright(place, 33)
+    before, rows = [(-1, 0)], 0
+    for r in laid.groupBy(part.cast("int").alias("part")).count().orderBy("part").collect():
+        before.append((r["part"], rows))
+        rows += r["count"]
+    ahead = F.broadcast(spark.createDataFrame(before, "__part int, __before long"))  # a row per partition
+    names = [F.col(f"`{c}`") for c in df.columns]
+    return laid.join(ahead, part.cast("int") == F.col("__part")).select(*names, (F.col("__before") + F.col(place).bitwiseAND((1 << 33) - 1)).alias(place))

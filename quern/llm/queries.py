@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quern.llm import chat, line_dedup, sharding, topk
+from quern.llm import chat, language_id, line_dedup, mixing, sharding, topk
 from quern.llm.common import table
 
 
@@ -14,6 +15,18 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    kept_back = language_id.held_out("doc_id")
+    language = language_id.fit(docs.filter(~kept_back))
+    found = docs.select("doc_id", kept_back.alias("held_out"), language(F.col("text")).alias("said"))
+    return found.select("doc_id", "held_out", "said.lang_pred", "said.score")
+
+
+def op7_mixing_to_target_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"))
 
@@ -29,6 +42,8 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_language_id": op2_language_id,
+    "op7_mixing_to_target_weights": op7_mixing_to_target_weights,
     "op8_sharding": op8_sharding,
     "op9_exact_topk_search": op9_exact_topk_search,
     "op10_chat_formatting": op10_chat_formatting,
