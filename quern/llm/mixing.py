@@ -6,13 +6,14 @@ import math
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import WORD, numbered, written
 
 EDGE = 1e-9
+KEPT = ["row", "doc_id", "tie", "source", "size", "source_size", "target", "whole", "p"]
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
@@ -71,13 +72,42 @@ def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> None:
             held = left
 
 
-def land(p: np.ndarray, size: np.ndarray) -> None:
-    """Round the last fractions, so that the words come as near as they can to what they should be."""
+def land(p: np.ndarray, size: np.ndarray, due: float) -> None:
+    """Round the last fractions, so that the words taken come as near as they can to ``due``.
+
+    A document much longer than the others can be left open to the end, and no rounding
+    of two documents makes up for it. Then settled documents change sides, the one that helps
+    most first, as long as that brings the words nearer.
+    """
     open_ = [k for k in range(len(p)) if EDGE < p[k] < 1 - EDGE]
-    best = min(range(1 << len(open_)), key=lambda m: (abs(sum((((m >> j) & 1) - p[k]) * size[k] for j, k in enumerate(open_))), m))
+    np.rint(p, out=p, where=~np.isin(np.arange(len(p)), open_))
+    fixed = float(p @ size) - sum(p[k] * size[k] for k in open_)
+    best = min(range(1 << len(open_)), key=lambda m: (abs(fixed + sum(((m >> j) & 1) * size[k] for j, k in enumerate(open_)) - due), m))
     for j, k in enumerate(open_):
         p[k] = (best >> j) & 1
-    np.round(p, out=p)
+    change = np.where(p > 0.5, -size, size).astype("float64")
+    over = float(p @ size) - due
+    while len(p):
+        k = int(np.argmin(np.abs(over + change)))
+        if abs(over + change[k]) >= abs(over) - 0.5:
+            break
+        over, p[k], change[k] = over + change[k], 1 - p[k], -change[k]
+
+
+def _flyer(depth: int):
+    """One block's flight, and its landing if it is the last of its source."""
+
+    def fly(block: pa.Table) -> pa.Table:
+        block = block.sort_by([("tie", "ascending"), ("size", "ascending"), ("row", "ascending")])
+        p, size = block["p"].to_numpy().copy(), block["size"].to_numpy()
+        due = float(p @ size)
+        flight(p, size, np.random.default_rng([depth, block["block"][0].as_py(), zlib.crc32(repr(block["source"][0].as_py()).encode())]))
+        if block["last"][0].as_py() and ((p > EDGE) & (p < 1 - EDGE)).any():
+            land(p, size, due)
+        p = np.where(p <= EDGE, 0.0, np.where(p >= 1 - EDGE, 1.0, p))
+        return block.select(KEPT[:-1]).append_column("p", pa.array(p))
+
+    return fly
 
 
 def _copies(units: DataFrame, weights: tuple[int, ...], most: int, block_rows: int) -> DataFrame:
@@ -94,17 +124,7 @@ def _copies(units: DataFrame, weights: tuple[int, ...], most: int, block_rows: i
     while True:
         blocks = F.ceil(F.col("left_rows") / block_rows)
         dealt = waiting.withColumn("last", blocks == 1).withColumn("block", F.pmod(F.xxhash64("tie", F.lit(depth)), blocks))
-
-        def step(pdf: pd.DataFrame, depth: int = depth) -> pd.DataFrame:
-            pdf = pdf.sort_values(["tie", "size", "row"], kind="stable")
-            p, size = pdf["p"].to_numpy(copy=True), pdf["size"].to_numpy()
-            flight(p, size, np.random.default_rng([depth, int(pdf["block"].iloc[0]), zlib.crc32(repr(pdf["source"].iloc[0]).encode())]))
-            if pdf["last"].iloc[0]:
-                land(p, size)
-            pdf["p"] = np.where(p <= EDGE, 0.0, np.where(p >= 1 - EDGE, 1.0, p))
-            return pdf[["row", "doc_id", "tie", "source", "size", "source_size", "target", "whole", "p"]]
-
-        done = written(dealt.groupBy("source", "block").applyInPandas(step, kind), "cube")
+        done = written(dealt.groupBy("source", "block").applyInArrow(_flyer(depth), kind), "cube")
         fraction = (F.col("p") > 0) & (F.col("p") < 1)
         settled.append(done.filter(~fraction))
         rest = done.filter(fraction)
@@ -135,7 +155,7 @@ def mix(
     the source's words and documents at once. Blocks of ``block_rows`` documents of a source fly
     apart, so a source of any size is split; the two units at most that each block leaves
     meet in further rounds, until one block per source is left, and only there the last
-    two are rounded. Draws are seeded by the rows, so reruns agree.
+    two are rounded, with documents of that block changed where one long document is left over. Draws are seeded by the rows, so reruns agree.
 
     Null source: a source of its own, last. Sources whose words are 0 have target 0.
     Rows repeated whole are units of their own. Empty table: empty result; other columns are ignored.

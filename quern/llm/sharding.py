@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +33,7 @@ def shard_by_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     order = [F.col("doc_id").asc_nulls_last(), F.col("text_crc32"), F.col("size")]
     ranged = sized.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
     laid = written(
-        ranged.withColumn("part", F.spark_partition_id()).mapInPandas(_running, "doc_id long, size long, text_crc32 long, part int, nth long, start long"),
+        ranged.withColumn("part", F.spark_partition_id()).mapInArrow(_running, f"doc_id {dict(sized.dtypes)['doc_id']}, size long, text_crc32 long, part int, nth long, start long"),
         "shard-order",
     )
     totals = laid.groupBy("part").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).orderBy("part").collect()
@@ -53,13 +53,12 @@ def shard_by_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     )
 
 
-def _running(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Number the rows of a sorted partition and sum the sizes before each."""
     n = run = 0
-    for pdf in batches:
-        upto = run + pdf["size"].cumsum()
-        pdf["nth"] = np.arange(n, n + len(pdf), dtype="int64")
-        pdf["start"] = upto - pdf["size"]
-        if len(pdf):
-            n, run = n + len(pdf), int(upto.iloc[-1])
-        yield pdf[["doc_id", "size", "text_crc32", "part", "nth", "start"]]
+    for batch in batches:
+        size = batch.column("size").to_numpy()
+        upto = run + np.cumsum(size)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.arange(n, n + len(size))), pa.array(upto - size)], [*batch.schema.names, "nth", "start"])
+        if len(size):
+            n, run = n + len(size), int(upto[-1])
