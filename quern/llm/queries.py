@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chat, language_id, line_dedup, mixing, packing, sharding, topk
+from quern.llm import chat, fingerprint, language_id, line_dedup, mixing, packing, sharding, topk, url_filter
 from quern.llm.common import table
 
 
@@ -23,10 +23,18 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "said.lang_pred", "said.score")
 
 
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_verdicts(table(spark, sf_dir, "pages"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(packing.token_pieces(table(spark, sf_dir, "documents")))
 
 
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.document_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing_to_target_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -47,7 +55,9 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_language_id": op2_language_id,
+    "op3_url_filters": op3_url_filters,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_document_fingerprints": op5_document_fingerprints,
     "op7_mixing_to_target_weights": op7_mixing_to_target_weights,
     "op8_sharding": op8_sharding,
     "op9_exact_topk_search": op9_exact_topk_search,
