@@ -36,7 +36,7 @@ class WordIds:
             return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         pieces = text.split()
         known = self.known
-        if new := list(set(pieces) - known.keys()):
+        if new := [w for w in set(pieces) if w not in known]:
             if len(known) + len(new) > self.keep:
                 known.clear()
                 new = list(set(pieces))
