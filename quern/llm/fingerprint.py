@@ -113,7 +113,7 @@ def fingerprint_text(sketch: list[int]) -> str:
     return "".join([f"{v:08x}" for v in sketch])
 
 
-def document_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 200_000) -> DataFrame:
+def document_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 30_000) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next: a row per document.
 
     A fingerprint has 8 hex digits for each of up to 64 phrase names (see :func:`sketches`).
@@ -123,7 +123,7 @@ def document_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col:
 
     Documents are dealt over ranges of that order, with a copy of each range's first row for
     the range before it, so that each task reads its rows in order and holds a
-    few hundred thousand characters or one text. The ranges' first keys are all that reaches the driver.
+    few ten thousand characters or one text. The ranges' first keys are all that reaches the driver.
 
     Null text counts as empty: no names, an empty fingerprint, alike only to another empty
     text. A single document is followed by itself. Repeated rows follow each other. Empty

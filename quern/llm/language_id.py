@@ -7,7 +7,10 @@ import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
+from operator import mul
 
+import ahocorasick
+import numpy as np
 import pandas as pd
 import regex
 from pyspark import Broadcast
@@ -17,6 +20,7 @@ from pyspark.sql import functions as F
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 START = "▁"  # the vocabulary's mark of a word's start
 UNKNOWN = 0  # index of the piece that stands for a character outside the vocabulary
+SHORT = 32  # letters of a word that is worth remembering
 
 
 def words(text: str) -> list[str]:
@@ -37,11 +41,16 @@ def vocabulary(path: str | None = None) -> dict[str, int]:
     return {p: k for k, p in enumerate(sorted(letters), 1)}
 
 
+def with_prefixes(pieces: dict, beginning: object) -> dict:
+    """``pieces`` and every beginning of one, so that a search can stop where no piece goes on."""
+    return {p[:n]: beginning for p in pieces for n in range(1, len(p))} | pieces
+
+
 class Lattice:
     """The ways to cut a word into pieces, as edges (from, to, piece)."""
 
     def __init__(self, pieces: dict[str, int]):
-        self.pieces, self.longest = pieces, max(map(len, pieces), default=1)
+        self.pieces, self.longest = with_prefixes(pieces, UNKNOWN), max(map(len, pieces), default=1)
 
     def edges(self, word: str) -> list[tuple[int, int, int]]:
         s, get, out = START + word, self.pieces.get, []
@@ -53,7 +62,9 @@ class Lattice:
             single = get(s[i:first], UNKNOWN)
             out.append((i, first, single))
             for j in range(first + 1, min(n, i + self.longest) + 1):
-                if p := get(s[i:j]):
+                if (p := get(s[i:j])) is None:
+                    break
+                if p:
                     out.append((i, j, p))
         return out
 
@@ -93,12 +104,15 @@ class Scorer:
 
     def __init__(self, pieces: dict[str, int], probabilities: dict[int, tuple[float, ...]], n_langs: int, keep: int = 400_000):
         self.n, self.keep, self.known = n_langs, keep, {}
-        self.at = {p: probabilities[k] for p, k in pieces.items()}
-        self.unknown, self.longest = probabilities[UNKNOWN], max(map(len, pieces), default=1)
-
-    def word(self, word: str) -> list[float]:
-        if (found := self.known.get(word)) is not None:
-            return found
+        self.at, self.longest = with_prefixes(pieces, UNKNOWN), max(map(len, pieces), default=1)
+        self.table = np.array([probabilities[k] for k in range(len(probabilities))])
+        self.rows = [tuple(r) for r in self.table.tolist()]
+        self.search = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for p, k in pieces.items():
+            self.search.add_word(p, len(p) << 24 | k)
+        self.search.make_automaton()
+
+    def word(self, word: str) -> tuple[float, ...]:
         s, get, longest, langs = START + word, self.at.get, self.longest, range(self.n)
         n, shift = len(s), [0.0] * self.n
         forth: list[list[float] | None] = [None] * (n + 1)
@@ -110,17 +124,16 @@ class Scorer:
             forth[i] = None
             first = i + (2 if i == 0 else 1)
             for j in range(first, min(n, i + longest) + 1):
-                p = get(s[i:j])
-                if p is None:
-                    if j > first:
-                        continue
-                    p = self.unknown
-                to = forth[j]
+                k = get(s[i:j])
+                if not k and j > first:
+                    if k is None:
+                        break
+                    continue
+                p, to = self.rows[k or UNKNOWN], forth[j]
                 if to is None:
-                    forth[j] = [a * b for a, b in zip(here, p, strict=True)]
+                    forth[j] = [a * b for a, b in zip(here, p)]  # noqa: B905
                 else:
-                    for k in langs:
-                        to[k] += here[k] * p[k]
+                    forth[j] = [t + a * b for t, a, b in zip(to, here, p)]  # noqa: B905
             if i % 24 == 23:  # keep long words' sums within range
                 for k in langs:
                     top = max(f[k] for f in forth[i + 1 : i + longest + 1] if f is not None)
@@ -128,20 +141,55 @@ class Scorer:
                     for f in forth[i + 1 : i + longest + 1]:
                         if f is not None:
                             f[k] /= top
-        out = [math.log(forth[n][k]) + shift[k] for k in langs]
-        if len(word) <= 40:
-            if len(self.known) >= self.keep:
-                self.known.clear()
-            self.known[word] = out
+        return tuple(math.log(forth[n][k]) + shift[k] for k in langs)
+
+    def learn_words(self, new: list[str]) -> None:
+        """Remember many words at once: one search finds the pieces in all of them, then the sums go from each start position of all words at a time."""
+        joined = "\n".join([START + w for w in new])
+        size = np.array([len(w) + 2 for w in new])
+        base = np.cumsum(size) - size
+        offset = np.arange(len(joined) + 1) - np.repeat(base, size)
+        found = np.array(list(self.search.iter(joined)), dtype="int64").reshape(-1, 2)
+        ends, length, pieces = found[:, 0] + 1, found[:, 1] >> 24, found[:, 1] & 0xFFFFFF
+        # a letter that is no piece is the unknown one; the first letter goes with the start mark
+        alone = offset > 1
+        alone[base + size - 1] = False
+        alone[(ends - 1)[length == 1]] = False
+        alone[base] = True
+        alone[(ends - 2)[(length == 2) & (offset[ends - 2] == 0)]] = False
+        lone = np.flatnonzero(alone)
+        starts = np.concatenate([ends - length, lone])
+        ends = np.concatenate([ends, np.where(offset[lone] == 0, lone + 2, lone + 1)])
+        pieces = np.concatenate([pieces, np.full(len(lone), UNKNOWN)])
+        order = np.argsort(offset[starts], kind="stable")
+        starts, ends, pieces = starts[order], ends[order], pieces[order]
+        forth = np.zeros((len(joined) + 1, self.n))
+        forth[base] = 1.0
+        cuts = np.searchsorted(offset[starts], np.arange(size.max() + 1))
+        for i in range(len(cuts) - 1):
+            e = slice(cuts[i], cuts[i + 1])
+            forth[ends[e]] += forth[starts[e]] * self.table[pieces[e]]  # a word's pieces from i end at different places
+        whole = np.log(forth[base + size - 1])
+        self.known.update(zip(new, map(tuple, whole.tolist()), strict=True))
+
+    def texts(self, found: list[list[str]]) -> list[list[float]]:
+        """Each text's log probability in every language, from its words."""
+        counts, known = [Counter(f) for f in found], self.known
+        new = [w for w in set().union(*counts) if w not in known]
+        if len(known) + len(new) > self.keep:
+            known.clear()
+            new = list(set().union(*counts))
+        short = [w for w in new if len(w) <= SHORT]
+        for k in range(0, len(short), 5000):
+            self.learn_words(short[k : k + 5000])
+        rare = [w for w in new if len(w) > SHORT]
+        for w in rare:
+            known[w] = self.word(w)
+        out = [[sum(map(mul, c.values(), column)) for column in zip(*map(known.__getitem__, c), strict=True)] for c in counts]
+        for w in rare:
+            del known[w]
         return out
 
-    def text(self, found: Iterable[str]) -> list[float]:
-        total = [0.0] * self.n
-        for w, c in Counter(found).items():
-            for k, x in enumerate(self.word(w)):
-                total[k] += c * x
-        return total
-
 
 def held_out(id_col: str) -> Column:
     """crc32 of the id as text leaves 2 when divided by 4; a null id counts as empty text."""
@@ -201,20 +249,31 @@ def fit(
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = _scorer(name, shipped, len(langs))
         for texts in batches:
-            said = []
-            for text in texts:
-                found = words(text) if text and scorer else []
-                if not found:
-                    said.append(("und", 0.0))
-                    continue
-                total = scorer.text(found)
-                best = max(range(len(total)), key=total.__getitem__)
-                said.append((langs[best], 1.0 / sum(math.exp(max(-700.0, x - total[best])) for x in total)))
+            said = [("und", 0.0)] * len(texts)
+            for some in _in_turn(texts if scorer else []):
+                for k, total in zip(some, scorer.texts(list(some.values())), strict=True):
+                    best = max(range(len(total)), key=total.__getitem__)
+                    said[k] = (langs[best], 1.0 / sum(math.exp(max(-700.0, x - total[best])) for x in total))
             yield pd.DataFrame(said, columns=["lang_pred", "score"])
 
     return predict
 
 
+def _in_turn(texts: Iterable[str | None], most: int = 60_000) -> Iterator[dict[int, list[str]]]:
+    """Words of the texts that have any, by position, for ``most`` words or one text at a time."""
+    some: dict[int, list[str]] = {}
+    n = 0
+    for k, text in enumerate(texts):
+        if text and (found := words(text)):
+            some[k] = found
+            n += len(found)
+            if n >= most:
+                yield some
+                some, n = {}, 0
+    if some:
+        yield some
+
+
 def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         n: Counter[tuple[str, str]] = Counter()
