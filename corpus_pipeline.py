@@ -1,21 +1,60 @@
-"""Corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input."""
+"""Corpus pipeline: five stages over documents, each written as Parquet and read again as the next one's input.
+
+Every stage works on all rows that its predecessor kept and, but for the last, returns the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quern.llm import language_id as _language_id
 from quern.llm import line_dedup as _line_dedup
+from quern.llm import mixing as _mixing
+from quern.llm import ngram_join as _ngram_join
+from quern.llm import packing as _packing
 from quern.llm.common import table, written
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language go on: not those without a letter, nor those whose best language has less than half of all."""
+    language = _language_id.fit(docs)
+    judged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), language(F.col("text")).alias("said"))
+    return judged.filter((F.col("said.lang_pred") != "und") & (F.col("said.score") >= 0.5)).select("doc.*")
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _line_dedup.line_dedup(docs).select(*docs.columns)
+    """Cross-site boilerplate lines leave the texts but for their first place; n_chars follows the text."""
+    cleaned = _line_dedup.line_dedup(docs)
+    return cleaned.select(*[(F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`")) for c in docs.columns])
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document stays of each group that shingles of five words link at 0.8: its smallest doc_id. Documents without words stay."""
+    return _ngram_join.keep_one(docs, n_words=5, percent=80)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them: 0 to 3 times."""
+    return _mixing.mixed_rows(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' tokens in sequences of 4096 at most."""
+    return _packing.best_fit_pack(_packing.token_pieces(docs))
 
 
-STAGES = [("line dedup", line_dedup)]
+STAGES = [
+    ("language ID", language_id),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", ngram_jaccard_join),
+    ("mixing sources to target weights", mixing),
+    ("best-fit packing", best_fit_packing),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
@@ -24,4 +63,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
+#: Fitted models, draws and packing have no SQL form; the stages are tested against brute force instead.
 ORACLE_SQL = None

@@ -36,15 +36,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return a scan of it.
 
     This cuts the lineage: a lost executor costs the tasks that it ran, not the
     stages before this table, and the rows are computed once however often they are read.
+    ``by``: a column of few values whose filters then read only their own files.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quern/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chat, fingerprint, language_id, line_dedup, mixing, packing, sharding, topk, url_filter
+from quern.llm import chat, fingerprint, language_id, line_dedup, mixing, ngram_join, packing, sharding, topk, url_filter
 from quern.llm.common import table
 
 
@@ -35,6 +35,11 @@ def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.document_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.ngram_components(table(spark, sf_dir, "documents"), n_words=4, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 def op7_mixing_to_target_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filters": op3_url_filters,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_document_fingerprints": op5_document_fingerprints,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_mixing_to_target_weights": op7_mixing_to_target_weights,
     "op8_sharding": op8_sharding,
     "op9_exact_topk_search": op9_exact_topk_search,
