@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quern.llm.common import written
 
 BLANKS = " \t\r\f\x0b"
+SALTS = 32  # parts of a line's places in joins
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
@@ -26,10 +27,18 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFr
             F.posexplode(F.split(text_col, "\n", -1)).alias("pos", "line"),
         )
         .filter(line != "")
-        .select("doc", "body", "pos", "site", F.xxhash64(line).alias("k1"), F.xxhash64(F.lit("line"), line).alias("k2"))
+        .select(
+            "doc", "body", "pos", "site", F.xxhash64(line).alias("k1"), F.xxhash64(F.lit("line"), line).alias("k2"),
+            F.pmod(F.xxhash64("doc", "body", "pos"), F.lit(SALTS)).cast("int").alias("salt"),
+        )
     )
 
 
+def _salted(keys: DataFrame) -> DataFrame:
+    """Each key once for every salt: a line of very many places meets its key in ``SALTS`` tasks."""
+    return keys.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+
+
 def boilerplate_lines(lines: DataFrame, min_sites: int, lg_k: int) -> DataFrame:
     """k1, k2, first (doc, pos of the earliest occurrence) of every line on ``min_sites`` sites or more."""
     band = max(1, math.ceil(4 * 1.04 / math.sqrt(2**lg_k) * min_sites))
@@ -39,8 +48,8 @@ def boilerplate_lines(lines: DataFrame, min_sites: int, lg_k: int) -> DataFrame:
     likely = written(
         spread.select("k1", "k2", "first", F.hll_sketch_estimate("sketch").alias("sites")).filter(F.col("sites") >= min_sites - band), "line-spread"
     )
-    near = likely.filter(F.col("sites") <= min_sites + band).select("k1", "k2")
-    exact = lines.select("k1", "k2", "site").join(near, ["k1", "k2"]).distinct().groupBy("k1", "k2").agg(F.count("*").alias("counted"))
+    near = _salted(likely.filter(F.col("sites") <= min_sites + band).select("k1", "k2"))
+    exact = lines.select("k1", "k2", "salt", "site").join(near, ["k1", "k2", "salt"]).select("k1", "k2", "site").distinct().groupBy("k1", "k2").agg(F.count("*").alias("counted"))
     return likely.join(exact, ["k1", "k2"], "left").filter(F.coalesce("counted", "sites") >= min_sites).select("k1", "k2", "first")
 
 
@@ -72,7 +81,7 @@ def line_dedup(
         raise ValueError("min_sites must be 3 or more")
     lines = _lines(docs, id_col, text_col, site_col)
     boiler = boilerplate_lines(lines, min_sites, lg_k)
-    hits = lines.drop("site").join(boiler, ["k1", "k2"])
+    hits = lines.drop("site").join(_salted(boiler), ["k1", "k2", "salt"])
     if keep_first:
         hits = hits.filter(~(F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("pos") == F.col("first.pos"))))
     gone = hits.groupBy("doc", "body").agg(F.collect_set("pos").alias("gone"))
