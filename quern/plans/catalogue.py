@@ -6,5 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from quern.plans import marts_queries
+
+LANES = (marts_queries,)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for lane in LANES for name, f in lane.QUERIES.items()}
+ORACLES: dict[str, str] = {name: sql for lane in LANES for name, sql in lane.ORACLES.items()}
