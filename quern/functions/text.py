@@ -1,4 +1,4 @@
-"""Text columns: normalisers, tokens, shingles, similarity. JVM expressions unless a name says udf."""
+"""Text columns: normalisers, tokens, shingles, similarity. JVM expressions but for :func:`folded` and :func:`ratio`."""
 
 from __future__ import annotations
 
@@ -31,14 +31,17 @@ def fact_tokens(c: Column, stop: frozenset[str]) -> Column:
     return F.array_join(F.filter(words(c), lambda w: ~w.isin(*sorted(stop))), " ")
 
 
-@F.pandas_udf("string")
-def folded_udf(s: pd.Series) -> pd.Series:
-    """NFKC, lower case, typographic quotes made plain, anything but word characters and quotes to spaces, trimmed."""
+def _fold(s: pd.Series) -> pd.Series:
     plain = str.maketrans("‘’“”", "''\"\"")
     folded = s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).lower().translate(plain))
     return folded.str.replace(r"[^\w']+", " ", regex=True).str.strip()
 
 
+def folded(c: Column) -> Column:
+    """NFKC, lower case, typographic quotes made plain, anything but word characters and quotes to spaces, trimmed; an Arrow UDF, as Spark has no NFKC."""
+    return F.pandas_udf(_fold, "string")(c)
+
+
 def shingles(tokens: Column, k: int) -> Column:
     """Distinct runs of k tokens joined by spaces; empty with fewer tokens."""
     runs = F.transform(F.sequence(F.lit(1), F.size(tokens) - k + 1), lambda i: F.array_join(F.slice(tokens, i, k), " "))
@@ -64,12 +67,15 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))
 
 
-@F.pandas_udf("double")
-def ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    """difflib's similarity ratio of two strings (null as empty)."""
+def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def ratio(a: Column, b: Column) -> Column:
+    """difflib's similarity ratio of two strings (null as empty); an Arrow UDF."""
+    return F.pandas_udf(_ratio, "double")(a, b)
+
+
 def sentences(c: Column) -> Column:
     """Array of trimmed sentences: cut after . ! or ? before white space."""
     return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
