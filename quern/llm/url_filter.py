@@ -119,9 +119,9 @@ def _segmenter(path: str | None) -> Segmenter:
 
 
 def tokens(segment: Segmenter, host: str, path: str) -> list[str]:
-    """``h:`` words of the host and ``p:`` words of the path; a word that the vocabulary lacks is ``?``, so there are no more kinds than words."""
+    """``h:`` words of the host and ``p:`` words of the path, each once, so that one very long url does not outweigh the rest; a word that the vocabulary lacks is ``?``, so there are no more kinds than words."""
     known = segment.model
-    return [f"{k}:{w if w in known or w == '0' else '?'}" for k, part in (("h", host), ("p", path)) for w in segment(part) if w not in STOP]
+    return sorted({f"{k}:{w if w in known or w == '0' else '?'}" for k, part in (("h", host), ("p", path)) for w in segment(part) if w not in STOP})
 
 
 def fit(urls: DataFrame, *, vocabulary_path: str | None = None, max_rows: int = 200_000, seeds: frozenset[str] = SEEDS, seed_count: int = 10) -> Callable[[Column, Column], Column]:
