@@ -205,7 +205,7 @@ class RTree:
     """Points packed into nodes of ``FAN``; a node keeps the largest of each coordinate and its smallest set size."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray):
-        self.order = np.lexsort((*points.T[:4].astype("int64"), sizes))
+        self.order = np.lexsort((*points.T[:4], sizes)) if len(sizes) > FAN else np.arange(len(sizes))
         hi, low = points[self.order], sizes[self.order]
         self.levels = [(hi, low)]
         while len(low) > FAN:
@@ -227,23 +227,55 @@ class RTree:
         return self.order[at]
 
 
-def _tree_pairs(percent: int) -> Callable[[pa.Table], pa.Table]:
+def _cell_pairs(i: int, j: int, name: np.ndarray, comp: np.ndarray, size: np.ndarray, block: np.ndarray, points: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of one cell that can link and are not connected yet."""
-
-    def pairs(cell: pa.Table) -> pa.Table:
-        i, j = cell["i"][0].as_py(), cell["j"][0].as_py()
-        name, comp, size, block = (cell[c].to_numpy() for c in ("name", "comp", "size", "block"))
-        points = np.frombuffer(b"".join(cell["point"].to_pylist()), dtype="uint8").reshape(len(name), GROUPS)
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        tree = RTree(points[right], size[right])
-        a, b = [], []
-        for k in left:
-            met = right[tree.meet(points[k], int(size[k]), percent)]
-            met = met[(comp[met] != comp[k]) & ((name[met] > name[k]) | (i != j))]
-            a.append(np.full(len(met), name[k]))
-            b.append(name[met])
-        x, y = np.concatenate(a), np.concatenate(b)
-        return pa.table({"x": np.minimum(x, y), "y": np.maximum(x, y)})
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    if not len(left) or not len(right):
+        return left[:0], right[:0]
+    tree = RTree(points[right], size[right])
+    a, b = [], []
+    for k in left:
+        met = right[tree.meet(points[k], int(size[k]), percent)]
+        met = met[(comp[met] != comp[k]) & ((name[met] > name[k]) | (i != j))]
+        a.append(np.full(len(met), name[k]))
+        b.append(name[met])
+    x, y = np.concatenate(a), np.concatenate(b)
+    return np.minimum(x, y), np.maximum(x, y)
+
+
+def _tree_pairs(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """:func:`_cell_pairs` of every cell, from rows sorted by cell; holds one batch and one cell."""
+    cell_of = ("key", "i", "j")
+
+    def cells(table: pa.Table) -> Iterator[tuple[int, int]]:
+        new = np.zeros(table.num_rows, dtype=bool)
+        new[0] = True
+        for c in cell_of:
+            v = table[c].to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        at = [*np.flatnonzero(new).tolist(), table.num_rows]
+        return zip(at[:-1], at[1:], strict=True)
+
+    def solve(table: pa.Table, spans: list[tuple[int, int]]) -> pa.RecordBatch:
+        i, j, name, comp, size, block = (table[c].to_numpy() for c in ("i", "j", "name", "comp", "size", "block"))
+        points = np.frombuffer(b"".join(table["point"].to_pylist()), dtype="uint8").reshape(-1, GROUPS)
+        found = [_cell_pairs(int(i[a]), int(j[a]), name[a:b], comp[a:b], size[a:b], block[a:b], points[a:b], percent) for a, b in spans if b - a > 1]
+        x, y = (np.concatenate([f[k] for f in found] or [np.empty(0, dtype="int64")]) for k in (0, 1))
+        return pa.RecordBatch.from_pydict({"x": x, "y": y})
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([*rest, batch])
+            spans = list(cells(table))
+            rest = table.slice(spans[-1][0]).to_batches()  # its cell may go on
+            if len(spans) > 1:
+                yield solve(table.slice(0, spans[-1][0]), spans[:-1])
+        if rest:
+            table = pa.Table.from_batches(rest)
+            yield solve(table, [(0, table.num_rows)])
 
     return pairs
 
@@ -302,7 +334,11 @@ def ngram_components(
     star = apart.repartition(partitions(spark), "key").sortWithinPartitions("key", "name").mapInArrow(_gather, "key long, lead long, name long")
     near = passed.filter("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("lead"), F.col("c").alias("name"))
     shared = written(star.unionByName(near), "shared-keys")
-    members = written(shared.select("key", F.explode(F.array("lead", "name")).alias("name")).distinct(), "members")
+    every = written(shared.select("key", F.explode(F.array("lead", "name")).alias("name")).distinct(), "key-members")
+    # near copies meet under many keys; keys of the same sets say the same, and one of them is enough
+    same = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("name")).alias("h"), F.bit_xor(F.xxhash64(F.lit("set"), "name")).alias("g")]
+    keep = every.groupBy("key").agg(*same).groupBy("n", "h", "g").agg(F.min("key").alias("key")).select("key")
+    members = written(every.join(keep, "key"), "members")
     pool = written(members.select("name").distinct().join(points, "name"), "points")
 
     links: list[DataFrame] = []
@@ -325,7 +361,8 @@ def ngram_components(
     cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "name", "comp", "size", "point"
     )
-    tree = cells.groupBy("key", "i", "j").applyInArrow(_tree_pairs(percent), "x long, y long")
+    sorted_cells = cells.repartition(partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    tree = sorted_cells.mapInArrow(_tree_pairs(percent), "x long, y long")
     links.append(_links(tree, texts, sets, n_words, percent, broadcast_rows))
     comps = _components(links)
 
