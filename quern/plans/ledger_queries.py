@@ -172,8 +172,8 @@ def nearest_event_join(spark, d):
 
 
 NEAREST_SQL = """WITH p AS (SELECT * FROM events WHERE event_type = 'purchase'), c AS (SELECT * FROM events WHERE event_type = 'click'),
-x AS (SELECT p.event_id AS id, c.event_id AS other, abs(epoch_us(p.ts) - epoch_us(c.ts)) / 1e6 AS gap, c.ts AS at FROM p JOIN c ON p.user_id = c.user_id),
-r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY gap, at, other DESC) AS k FROM x)
+x AS (SELECT p.event_id AS id, c.event_id AS other, abs(epoch_us(p.ts) - epoch_us(c.ts)) / 1e6 AS gap, c.ts AS tm FROM p JOIN c ON p.user_id = c.user_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY gap, tm, other DESC) AS k FROM x)
 SELECT id, other, gap FROM r WHERE k = 1 AND gap <= 604800"""
 
 

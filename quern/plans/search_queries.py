@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quern.functions import text as tx
 from quern.operators import search
 from quern.plans.fixtures import CHUNKS_SQL, chunks
+from quern.sources import transcripts
 from quern.sources.tables import table
 
 
@@ -203,3 +204,27 @@ SELECT source, ord, cumulative, next_ord FROM x WHERE kept""",
 FROM conversations WHERE role = 'assistant' AND length(text) >= 50 GROUP BY conv_id""",
     "shingle_containment": CONTAIN_SQL,
 }
+
+
+def breadcrumbs(spark, d):
+    """Lines of documents under their headings; table rows and shouted lines count as headings of levels 2 and 1 here, as the texts have few of their own."""
+    text = F.regexp_replace(F.regexp_replace("text", r"(?m)^(?=[A-Z]{3})", "# "), r"(?m)^(?=[A-Z][a-z]+\.)", "## ")
+    docs = table(spark, d, "documents").filter("text is not null").select("doc_id", text.alias("text"))
+    return transcripts.headings(docs, "doc_id", "text").select("id", "pos", "level", "breadcrumb", "parent")
+
+
+def section_chunks(spark, d):
+    return transcripts.sections(table(spark, d, "documents").filter("text is not null"), "doc_id", "text", 1200).groupBy("id").agg(F.count("*").alias("n"), F.max(F.length("text")).alias("longest"), F.sum(F.length("text")).alias("n_chars"))
+
+
+BREADCRUMBS_SQL = r"""WITH l AS (
+  SELECT doc_id AS id, CAST(unnest(range(0, len(ls))) AS INTEGER) AS pos, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)
+), m AS (SELECT id, pos, CASE WHEN regexp_matches(line, '^[A-Z]{3}') THEN '# ' || line WHEN regexp_matches(line, '^[A-Z][a-z]+\.') THEN '## ' || line ELSE line END AS line FROM l),
+t AS (SELECT *, CAST(nullif(length(regexp_extract(line, '^(#{1,6})\s+\S', 1)), 0) AS INTEGER) AS level, trim(regexp_replace(line, '^#{1,6}\s+', '')) AS title FROM m),
+s AS (SELECT *, last_value(CASE WHEN level = 1 THEN title END IGNORE NULLS) OVER w AS h1, last_value(CASE WHEN level = 2 THEN title WHEN level < 2 THEN '' END IGNORE NULLS) OVER w AS h2,
+  last_value(CASE WHEN level = 3 THEN title WHEN level < 3 THEN '' END IGNORE NULLS) OVER w AS h3 FROM t WINDOW w AS (PARTITION BY id ORDER BY pos)),
+p AS (SELECT id, pos, level, list_filter([h1, h2, h3], lambda h: h IS NOT NULL AND h <> '') AS path FROM s)
+SELECT id, pos, level, array_to_string(path, ' > ') AS breadcrumb, CASE WHEN len(path) > 1 THEN path[len(path) - 1] END AS parent FROM p"""
+
+QUERIES |= {"breadcrumbs": breadcrumbs, "section_chunks": section_chunks}
+ORACLES["breadcrumbs"] = BREADCRUMBS_SQL
