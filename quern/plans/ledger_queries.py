@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as tx
-from quern.operators import memory
+from quern.operators import matching, memory
 from quern.sources.tables import table
 
 CUT = "2024-01-20 00:00:00"
@@ -279,3 +279,39 @@ t AS (SELECT doc_id, pos, concat_ws(',', CASE WHEN regexp_matches(line, '[0-9]')
   CASE WHEN regexp_matches(line, '[$%]') THEN 'money' END, CASE WHEN contains(line, '@') THEN 'address' END) AS tags FROM l) SELECT * FROM t WHERE tags <> ''""",
     "jaccard_topk": JACCARD_SQL,
 }
+
+
+def bm25_task_candidates(spark, d):
+    """Benchmark passages as messages of one day, documents as tasks with a creation day."""
+    day = F.date_format(F.date_add(F.lit("2026-01-01").cast("date"), (F.col("n_chars") % 60).cast("int")), "yyyy-MM-dd")
+    tasks = table(spark, d, "documents").filter("text is not null").select(F.col("doc_id").cast("string").alias("task_id"), "text", day.alias("created"))
+    msgs = table(spark, d, "benchmark").select(F.col("item_id").alias("msg_id"), "text", F.lit("2026-02-10").alias("day"))
+    return matching.task_candidates(msgs, tasks)
+
+
+TASK_SQL = """WITH t AS (SELECT CAST(doc_id AS VARCHAR) AS task_id, strftime(DATE '2026-01-01' + CAST(n_chars % 60 AS INT), '%Y-%m-%d') AS created, regexp_extract_all(lower(text), '[a-z0-9]{1,}') AS ts FROM documents WHERE text IS NOT NULL),
+p AS (SELECT task_id, w, any_value(created) AS created, any_value(len) AS len, count(*) AS f FROM (SELECT task_id, created, len(ts) AS len, unnest(ts) AS w FROM t) GROUP BY 1, 2),
+st AS (SELECT count(*) AS n, avg(len(ts)) AS a FROM t), q AS (SELECT DISTINCT item_id AS msg_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{1,}')) AS w FROM benchmark), df AS (SELECT w, count(*) AS df FROM p GROUP BY w),
+s AS (SELECT msg_id, task_id, round(sum(ln(1 + (st.n - df.df + 0.5) / (df.df + 0.5)) * f * 2.4 / (f + 1.4 * (0.25 + 0.75 * len / st.a))), 3) AS score FROM q JOIN p ON q.w = p.w JOIN df ON df.w = p.w, st WHERE created <= '2026-02-10' GROUP BY 1, 2),
+x AS (SELECT s.*, coalesce(q.w IS NOT NULL, false) AS named FROM s LEFT JOIN q ON q.msg_id = s.msg_id AND q.w = s.task_id WHERE score > 0)
+SELECT msg_id, task_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY msg_id ORDER BY named DESC, score DESC, task_id) AS rank FROM x) WHERE rank <= 8"""
+
+
+def similar_titles(spark, d):
+    """Part types with their brands as titles under types."""
+    n = table(spark, d, "part").select(F.concat_ws(" ", "p_type", "p_brand", "p_size").alias("title"), F.col("p_type").alias("parent_title")).distinct()
+    return matching.similar_nodes(n.select(F.col("title").alias("node"), F.lit("task").alias("kind"), "title", "parent_title"), k=2, least=0.6)
+
+
+def claim_continuity(spark, d):
+    """Lines of each document as claims; the draft repeats every other version with changed case and an added line."""
+    docs = table(spark, d, "documents").filter("text is not null")
+    body = F.concat(F.lit("- "), F.array_join(F.split("text", "\n"), "\n- "))
+    base = docs.select(F.lit("t").alias("task"), F.col("doc_id").cast("string").alias("section"), body.alias("body"))
+    draft = docs.select(F.lit("t").alias("task"), F.col("doc_id").cast("string").alias("section"), F.concat(F.when(F.col("n_chars") % 2 == 0, F.upper(body)).otherwise(body), F.lit("\n- one more claim that was not there")).alias("body"))
+    m = matching.match_claims(matching.claims(base), matching.claims(draft))
+    return m.groupBy("section", "category").agg(F.count("*").alias("n"))
+
+
+QUERIES |= {"bm25_task_candidates": bm25_task_candidates, "similar_titles": similar_titles, "claim_continuity": claim_continuity}
+ORACLES["bm25_task_candidates"] = TASK_SQL
