@@ -36,10 +36,9 @@ def graph_children(spark, d):
 
 
 def _orders_lines(spark, d):
-    """A citation graph: customer -> order -> part -> supplier of the part's lines."""
-    li = table(spark, d, "lineitem")
-    o = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.concat(F.lit("c"), "o_custkey").alias("source"), F.concat(F.lit("o"), "o_orderkey").alias("target"))
-    p = li.filter("l_returnflag = 'R'").select(F.concat(F.lit("o"), "l_orderkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target"))
+    """A citation graph: customer -> order -> part."""
+    o = table(spark, d, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("source"), F.concat(F.lit("o"), "o_orderkey").alias("target"))
+    p = table(spark, d, "lineitem").select(F.concat(F.lit("o"), "l_orderkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target"))
     return o.unionByName(p).distinct()
 
 
@@ -54,8 +53,8 @@ def provenance_index(spark, d):
 
 
 CLOSURE_SQL = """RECURSIVE e AS (
-  SELECT DISTINCT 'c' || o_custkey AS source, 'o' || o_orderkey AS target FROM orders WHERE o_orderpriority = '1-URGENT'
-  UNION SELECT DISTINCT 'o' || l_orderkey, 'p' || l_partkey FROM lineitem WHERE l_returnflag = 'R'
+  SELECT DISTINCT 'c' || o_custkey AS source, 'o' || o_orderkey AS target FROM orders
+  UNION SELECT DISTINCT 'o' || l_orderkey, 'p' || l_partkey FROM lineitem
 ), r AS (SELECT source, target, 1 AS depth FROM e UNION SELECT r.source, e.target, r.depth + 1 FROM r JOIN e ON r.target = e.source),
 c AS (SELECT source, target, min(depth) AS depth FROM r WHERE source LIKE 'c%' GROUP BY ALL)"""
 

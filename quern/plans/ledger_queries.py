@@ -20,13 +20,13 @@ def _assertions(spark, d):
 def _links(spark, d):
     e = table(spark, d, "events").filter("event_type <> 'error'")
     w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
-    n = e.withColumn("target", F.concat(F.lit("a"), F.lag("event_id").over(w))).filter("target is not null and event_id % 2 = 0")
+    n = e.withColumn("target", F.concat(F.lit("a"), F.lag("event_id").over(w))).filter("target is not null and value >= 50")
     return n.select(F.concat(F.lit("a"), "event_id").alias("assertion_id"), F.when(F.col("event_id") % 10 == 0, "contradicts").otherwise("supersedes").alias("relation"), "target")
 
 
-ASSERT_SQL = """a AS (SELECT 'a' || event_id AS assertion_id, user_id AS entity, event_type AS predicate, CAST(floor(value) AS BIGINT) AS value, ts AS asserted_at, event_id % 3 AS authority, event_id FROM events WHERE event_type <> 'error'),
+ASSERT_SQL = """a AS (SELECT 'a' || event_id AS assertion_id, user_id AS entity, event_type AS predicate, CAST(floor(value) AS BIGINT) AS value, ts AS asserted_at, event_id % 3 AS authority, event_id, value AS raw FROM events WHERE event_type <> 'error'),
 l AS (SELECT assertion_id, CASE WHEN event_id % 10 = 0 THEN 'contradicts' ELSE 'supersedes' END AS relation, target FROM (
-  SELECT *, lag(assertion_id) OVER (PARTITION BY entity, predicate ORDER BY asserted_at, event_id) AS target FROM a) WHERE target IS NOT NULL AND event_id % 2 = 0)"""
+  SELECT *, lag(assertion_id) OVER (PARTITION BY entity, predicate ORDER BY asserted_at, event_id) AS target FROM a) WHERE target IS NOT NULL AND raw >= 50)"""
 
 
 def asof_current_fact(spark, d):
@@ -62,8 +62,9 @@ SELECT q.question_id, CASE WHEN answer_id IS NULL THEN 'open' ELSE 'resolved' EN
 
 
 def immutable_insert(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
-    stored = o.filter("o_orderkey % 2 = 0")
+    orders = table(spark, d, "orders")
+    o = orders.select("o_orderkey", "o_orderstatus")
+    stored = orders.filter(F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp")).select("o_orderkey", "o_orderstatus")
     incoming = o.withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 10 == 0, "X").otherwise(F.col("o_orderstatus")))
     return memory.new_rows(stored, incoming, "o_orderkey")
 
@@ -254,7 +255,7 @@ ORACLES = {
     "asof_current_fact": CURRENT_SQL,
     "auto_supersede_links": SUPERSEDE_SQL,
     "question_status_asof": QUESTION_SQL,
-    "immutable_insert": """SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderkey % 2 = 1 THEN 'new' ELSE 'clash' END AS state FROM orders WHERE o_orderkey % 2 = 1 OR (o_orderkey % 10 = 0 AND o_orderstatus <> 'X')""",
+    "immutable_insert": """SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_orderdate >= TIMESTAMP '1998-01-01' THEN 'new' ELSE 'clash' END AS state FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' OR (o_orderkey % 10 = 0 AND o_orderstatus <> 'X')""",
     "turn_merge": MERGE_SQL,
     "turn_fold": FOLD_SQL,
     "turn_pack": PACK_SQL,
