@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -18,36 +19,53 @@ from quern.llm.common import written
 END_ID = 1
 
 
-class WordIds:
-    """Ids of a text by a tokenizer that never joins characters across white space.
+class WordIds(dict):
+    """Ids, as little-endian unsigned 32-bit numbers, of what stands between white space, by a tokenizer that never joins across it.
 
-    Each piece between white space is encoded once and remembered, as little-endian unsigned
-    32-bit ids; the memory is bounded and pieces too long to come again are not kept.
+    A word is encoded when it is first met and remembered; the memory is bounded, and words
+    too long to come again are not kept. The tokenizer's own rules (lower case, then runs of
+    letters, single digits and runs of other characters, each for itself through its merges)
+    are simple for words of printable ASCII and Latin letters, which go to the merges
+    directly; words with an apostrophe, ``<`` or anything else take the whole way.
     """
 
+    #: Letters of Latin-1 are composed and have their own lower case there.
+    PLAIN = re.compile("[!-&(-;=-~À-ÖØ-öø-ÿ]+")
+    RUNS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+
     def __init__(self, path: str, keep: int = 500_000, longest: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-
-        self.tokenizer, self.known, self.keep, self.longest = Tokenizer.from_file(path), {}, keep, longest
-
-    def __call__(self, text: str) -> bytes:
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        super().__init__()
+        self.tokenizer, self.keep, self.longest = Tokenizer.from_file(path), keep, longest
+        self.merges = self.tokenizer.model
+        if hasattr(self.merges, "_resize_cache"):
+            self.merges._resize_cache(0)  # this memory stands in front of its own
+        self.four = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
+        as_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: "".join(t for t, _ in as_bytes.pre_tokenize_str(chr(c))) for c in range(0xC0, 0x100)}
+
+    def __missing__(self, word: str) -> bytes:
+        if self.PLAIN.fullmatch(word):
+            runs = self.RUNS.findall(word.lower())
+            if runs != [word]:
+                found = b"".join([self[r] for r in runs])
+            else:
+                found = b"".join([self.four[t.id] for t in self.merges.tokenize(word if word.isascii() else word.translate(self.letters))])
+        else:
+            found = np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if len(word) <= self.longest:
+            if len(self) >= self.keep:
+                self.clear()
+            self[word] = found
+        return found
+
+    def of(self, text: str) -> bytes:
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to str.split, not to the tokenizer
             return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        pieces = text.split()
-        known = self.known
-        if new := [w for w in set(pieces) if w not in known]:
-            if len(known) + len(new) > self.keep:
-                known.clear()
-                new = list(set(pieces))
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[w] = np.asarray(e.ids, dtype="<u4").tobytes()
-            out = b"".join(map(known.__getitem__, pieces))
-            for w in new:
-                if len(w) > self.longest:
-                    del known[w]
-            return out
-        return b"".join(map(known.__getitem__, pieces))
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 _encoders: dict[str, WordIds] = {}
@@ -75,7 +93,7 @@ def token_pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         encode = encoder(tokenizer_path)
         out = []
         for text in texts:
-            ids = (encode(text) if text else b"") + END_ID.to_bytes(4, "little")
+            ids = (encode.of(text) if text else b"") + END_ID.to_bytes(4, "little")
             n = len(ids) // 4
             out.append([(k, at, min(capacity, n - at), zlib.crc32(ids[4 * at : 4 * (at + capacity)])) for k, at in enumerate(range(0, n, capacity))])
         return pd.Series(out)
