@@ -33,7 +33,7 @@ class WordIds(dict):
     PLAIN = re.compile("[!-&(-;=-~À-ÖØ-öø-ÿ]+")
     RUNS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
-    def __init__(self, path: str, keep: int = 500_000, longest: int = 48):
+    def __init__(self, path: str, keep: int = 1_000_000, longest: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
@@ -48,7 +48,11 @@ class WordIds(dict):
         self.letters = {c: "".join(t for t, _ in as_bytes.pre_tokenize_str(chr(c))) for c in range(0xC0, 0x100)}
 
     def __missing__(self, word: str) -> bytes:
-        if self.PLAIN.fullmatch(word):
+        if word.isascii() and word.isalpha() and word.islower():
+            found = b"".join([self.four[t.id] for t in self.merges.tokenize(word)])
+        elif word[-1] in ".," and (stem := word[:-1]).isascii() and stem.isalpha() and stem.islower():
+            found = self[stem] + self[word[-1]]
+        elif self.PLAIN.fullmatch(word):
             runs = self.RUNS.findall(word.lower())
             if runs != [word]:
                 found = b"".join([self[r] for r in runs])
