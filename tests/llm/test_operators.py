@@ -350,7 +350,7 @@ def test_mixing(spark):
         full |= over
     assert sorted({(round(t, 3), int(n)) for t, n in zip(r.target, r.source_size, strict=True)}) == sorted({(round(target[s], 3), total[s]) for s in order})
     for (t, _), g in r.groupby(["target", "source_size"]):
-        assert abs(g.taken.sum() - t) <= 0.02 * t + 60
+        assert abs(g.taken.sum() - t) <= max(0.02 * t + 60, g["size"].max() / 2)  # a lone long document is taken whole or not
     again = mixing.mix(df, block_rows=64).toPandas()
     key = ["doc_id", "size", "taken"]
     assert again[key].sort_values(key).reset_index(drop=True).equals(r[key].sort_values(key).reset_index(drop=True))
