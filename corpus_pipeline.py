@@ -24,8 +24,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cross-site boilerplate lines leave the texts but for their first place; n_chars follows the text."""
-    cleaned = _line_dedup.line_dedup(docs)
+    """Cross-site boilerplate lines, those of 50 words or more from 3 sites on, leave the texts but for their first place; n_chars follows the text."""
+    cleaned = _line_dedup.line_dedup(docs, long_words=50)
     return cleaned.select(*[(F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`")) for c in docs.columns])
 
 

@@ -12,15 +12,16 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import written
+from quern.llm.common import WORD, written
 
 BLANKS = " \t\r\f\x0b"
 SALTS = 32  # parts of a line's places in joins
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
-    """doc, body (hash of the text), pos, site, k1, k2: a row per line that is not blank; two 64-bit hashes name a line."""
+def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str, long_words: int | None = None) -> DataFrame:
+    """doc, body (hash of the text), pos, site, k1, k2, long: a row per line that is not blank; two 64-bit hashes name a line. Without ``long_words`` no line is long."""
     line = F.btrim(F.col("line"), F.lit(BLANKS))
+    long = F.lit(False) if long_words is None else F.regexp_count(line, F.lit(WORD)) >= long_words
     return (
         docs.select(
             F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("body"), F.xxhash64(site_col).alias("site"),
@@ -30,6 +31,7 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFr
         .select(
             "doc", "body", "pos", "site", F.xxhash64(line).alias("k1"), F.xxhash64(F.lit("line"), line).alias("k2"),
             F.pmod(F.xxhash64("doc", "body", "pos"), F.lit(SALTS)).cast("int").alias("salt"),
+            long.alias("long"),
         )
     )
 
@@ -39,18 +41,20 @@ def _salted(keys: DataFrame) -> DataFrame:
     return keys.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
 
 
-def boilerplate_lines(lines: DataFrame, min_sites: int, lg_k: int) -> DataFrame:
-    """k1, k2, first (doc, pos of the earliest occurrence) of every line on ``min_sites`` sites or more."""
-    band = max(1, math.ceil(4 * 1.04 / math.sqrt(2**lg_k) * min_sites))
+def boilerplate_lines(lines: DataFrame, min_sites: int, lg_k: int, long_sites: int | None = None) -> DataFrame:
+    """k1, k2, first (doc, pos of the earliest occurrence) of every line on ``min_sites`` sites or more, long lines on ``long_sites`` or more."""
+    bands = {n: max(1, math.ceil(4 * 1.04 / math.sqrt(2**lg_k) * n)) for n in (min_sites, long_sites or min_sites)}
+    need, band = F.lit(min_sites), F.lit(bands[min_sites])
+    if long_sites is not None:
+        need, band = F.when(F.col("long"), long_sites).otherwise(need), F.when(F.col("long"), bands[long_sites]).otherwise(band)
     spread = lines.groupBy("k1", "k2").agg(
-        F.hll_sketch_agg("site", F.lit(lg_k)).alias("sketch"), F.min(F.struct(F.col("doc").isNull().alias("no_id"), "doc", "pos")).alias("first")
+        F.hll_sketch_agg("site", F.lit(lg_k)).alias("sketch"), F.min(F.struct(F.col("doc").isNull().alias("no_id"), "doc", "pos")).alias("first"), F.max("long").alias("long")
     )
-    likely = written(
-        spread.select("k1", "k2", "first", F.hll_sketch_estimate("sketch").alias("sites")).filter(F.col("sites") >= min_sites - band), "line-spread"
-    )
-    near = _salted(likely.filter(F.col("sites") <= min_sites + band).select("k1", "k2"))
+    estimated = spread.select("k1", "k2", "first", F.hll_sketch_estimate("sketch").alias("sites"), need.alias("need"), band.alias("band"))
+    likely = written(estimated.filter(F.col("sites") >= F.col("need") - F.col("band")), "line-spread")
+    near = _salted(likely.filter(F.col("sites") <= F.col("need") + F.col("band")).select("k1", "k2"))
     exact = lines.select("k1", "k2", "salt", "site").join(near, ["k1", "k2", "salt"]).select("k1", "k2", "site").distinct().groupBy("k1", "k2").agg(F.count("*").alias("counted"))
-    return likely.join(exact, ["k1", "k2"], "left").filter(F.coalesce("counted", "sites") >= min_sites).select("k1", "k2", "first")
+    return likely.join(exact, ["k1", "k2"], "left").filter(F.coalesce("counted", "sites") >= F.col("need")).select("k1", "k2", "first")
 
 
 def line_dedup(
@@ -62,6 +66,8 @@ def line_dedup(
     min_sites: int = 10,
     keep_first: bool = True,
     lg_k: int = 12,
+    long_words: int | None = None,
+    long_sites: int = 3,
 ) -> DataFrame:
     """``docs`` with its text cleaned, and n_lines long, n_removed long beside its columns.
 
@@ -72,6 +78,10 @@ def line_dedup(
     many sites survives once; ``keep_first=False`` removes that too. ``min_sites`` is
     at least 3, so a sketch's band never reaches lines of a single site.
 
+    ``long_words``: lines of so many words or more are boilerplate from ``long_sites``
+    distinct sites on (3 or more, ``min_sites`` at most), since chance does not repeat a
+    line of that length; without it one threshold holds for all lines, as in :data:`SQL`.
+
     Null site: one site of its own. Null id: as a document after all others, told
     apart by its text; repeated rows are cleaned alike. Null text: stays null, with 0
     lines. A text of boilerplate only becomes empty; no document is dropped. An input
@@ -79,9 +89,11 @@ def line_dedup(
     """
     if min_sites < 3:
         raise ValueError("min_sites must be 3 or more")
-    lines = _lines(docs, id_col, text_col, site_col)
-    boiler = boilerplate_lines(lines, min_sites, lg_k)
-    hits = lines.drop("site").join(_salted(boiler), ["k1", "k2", "salt"])
+    if long_words is not None and not 3 <= long_sites <= min_sites:
+        raise ValueError("long_sites must be 3 or more, and min_sites at most")
+    lines = _lines(docs, id_col, text_col, site_col, long_words)
+    boiler = boilerplate_lines(lines, min_sites, lg_k, None if long_words is None else long_sites)
+    hits = lines.drop("site", "long").join(_salted(boiler), ["k1", "k2", "salt"])
     if keep_first:
         hits = hits.filter(~(F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("pos") == F.col("first.pos"))))
     gone = hits.groupBy("doc", "body").agg(F.collect_set("pos").alias("gone"))
