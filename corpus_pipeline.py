@@ -63,5 +63,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: Fitted models, draws and packing have no SQL form; the stages are tested against brute force instead.
+#: Fitted models, draws and packing have no SQL form; the stages and run() are tested against brute force instead (tests/llm/test_pipeline.py).
 ORACLE_SQL = None
