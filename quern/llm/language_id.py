@@ -220,7 +220,8 @@ def fit(
 
     The model is fitted on whole texts of ``training`` with a language and an id, from
     each language a share of rows, picked by a hash of the id, of ``sample_chars`` code
-    points on average: the bound on what reaches the driver. Words are runs of letters,
+    points on average, and always the row of smallest hash that has a letter, so that a
+    language of a few very long texts is learned too: the bound on what reaches the driver. Words are runs of letters,
     lower-cased; a word's probability in a language is the sum over all its cuts into
     pieces of the vocabulary, a text's the product over its words. ``score`` is the share
     of the best language among all (equal priors); ties go to the first by name.
@@ -233,9 +234,10 @@ def fit(
     labelled = training.filter(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("i"), F.col(lang_col).alias("lang"), F.col(text_col).alias("t")
     )
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.sum(F.length("t")).alias("n")).collect()}
-    share = spark.createDataFrame([(k, min(1.0, sample_chars / n)) for k, n in sizes.items() if n], "lang string, share double")
-    picked = labelled.join(F.broadcast(share), "lang").filter(F.pmod(F.xxhash64("i"), F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    place = F.struct(F.pmod(F.xxhash64("i"), F.lit(1 << 20)).alias("bucket"), F.xxhash64("i").alias("hash"))
+    sizes = labelled.groupBy("lang").agg(F.sum(F.length("t")).alias("n"), F.min(F.when(F.col("t").rlike(r"\p{L}"), place)).alias("least")).filter("n > 0").collect()
+    share = spark.createDataFrame([(r["lang"], min(1.0, sample_chars / r["n"]), r["least"] and r["least"]["hash"]) for r in sizes], "lang string, share double, least long")
+    picked = labelled.join(F.broadcast(share), "lang").filter((F.pmod(F.xxhash64("i"), F.lit(1 << 20)) < F.col("share") * (1 << 20)) | (F.xxhash64("i") == F.col("least")))
     counted = picked.select("lang", "t").mapInPandas(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts: dict[str, dict[str, int]] = {}
     for r in counted.collect():
