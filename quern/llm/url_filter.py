@@ -131,7 +131,10 @@ def fit(urls: DataFrame, *, vocabulary_path: str | None = None, max_rows: int =
     a hash of the url: a row of which a segmented host word is one of ``seeds`` is an example to block, any other an example to allow. Counts
     per word and class are summed in Spark, and each seed counts as met ``seed_count`` times more in hosts
     to block; the model has a row per vocabulary word at most. ``block_score``
-    is the posterior of block; above one half the verdict is ``block``. Nothing to learn from, or no words: allow, score 0.
+    is the posterior of block; above one half the verdict is ``block``. No words: allow, score 0.
+
+    Without an example of either class nothing tells how their words differ: then only seeds in the host weigh,
+    ``seed_count`` + 1 to 1 each, against a prior of 1 to the root of that, so one seed blocks and none allows.
     """
     spark = urls.sparkSession
     n = urls.count()
@@ -155,22 +158,25 @@ def fit(urls: DataFrame, *, vocabulary_path: str | None = None, max_rows: int =
     rows = [c.pop("", 0) for c in counts]
     kinds = set(counts[0]) | set(counts[1])
     whole = [sum(c.values()) + len(kinds) + 1 for c in counts]
-    for w in seeds if all(rows) else ():  # over what was counted, so that it leaves the other words' shares as they are
+    for w in seeds:  # over what was counted, so that it leaves the other words' shares as they are
         kinds.add(f"h:{w}")
         counts[1][f"h:{w}"] = counts[1].get(f"h:{w}", 0) + seed_count
     weight = {t: math.log((counts[1].get(t, 0) + 1) / whole[1]) - math.log((counts[0].get(t, 0) + 1) / whole[0]) for t in kinds}
-    shipped: Broadcast = spark.sparkContext.broadcast((weight, math.log((rows[1] + 1) / (rows[0] + 1)), all(rows)))
+    prior = math.log((rows[1] + 1) / (rows[0] + 1))
+    if not all(rows):
+        weight, prior = {f"h:{w}": math.log(seed_count + 1) for w in seeds}, -math.log(seed_count + 1) / 2
+    shipped: Broadcast = spark.sparkContext.broadcast((weight, prior))
 
     @F.pandas_udf("verdict string, block_score double, words string")
     def judge(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         segment = _segmenter(vocabulary_path)
-        weights, prior, learned = shipped.value
+        weights, prior = shipped.value
         for hosts, paths in batches:
             rows = []
             for h, p in zip(hosts, paths, strict=True):
                 found = tokens(segment, h, p)
                 odds = prior + sum(weights.get(t, 0.0) for t in found)
-                score = 1 / (1 + math.exp(-max(-700.0, min(700.0, odds)))) if found and learned else 0.0
+                score = 1 / (1 + math.exp(-max(-700.0, min(700.0, odds)))) if found else 0.0
                 rows.append(("block" if score > 0.5 else "allow", score, " ".join(segment(h))))
             yield pd.DataFrame(rows, columns=["verdict", "block_score", "words"])
 
