@@ -17,8 +17,13 @@ from quern.llm.common import table, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language go on: not those without a letter, nor those whose best language has less than half of all."""
+    """Documents with a language go on: not those without a letter, nor those whose best language has less than half of all.
+
+    Where no language could be learned (no document has text with a letter, a lang and an id), all documents with a letter go on.
+    """
     language = _language_id.fit(docs)
+    if not language.languages:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     judged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), language(F.col("text")).alias("said"))
     return judged.filter((F.col("said.lang_pred") != "und") & (F.col("said.score") >= 0.5)).select("doc.*")
 

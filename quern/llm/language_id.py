@@ -226,7 +226,8 @@ def fit(
     pieces of the vocabulary, a text's the product over its words. ``score`` is the share
     of the best language among all (equal priors); ties go to the first by name.
 
-    Null text, text without a letter, or nothing to learn from: ``und`` with score 0.
+    Null text, text without a letter, or nothing to learn from: ``und`` with score 0. The
+    function's ``languages`` are those learned.
     Texts of any length are read whole; rows are judged one by one, so null ids, repeated
     rows, empty tables and other columns make no difference.
     """
@@ -258,6 +259,7 @@ def fit(
                     said[k] = (langs[best], 1.0 / sum(math.exp(max(-700.0, x - total[best])) for x in total))
             yield pd.DataFrame(said, columns=["lang_pred", "score"])
 
+    predict.languages = tuple(langs)
     return predict
 
 

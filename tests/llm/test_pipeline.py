@@ -128,3 +128,10 @@ def test_every_stage_and_run_equal_brute_force(spark, tmp_path):
         exp += [(i, k, a, len(ids[a : a + 4096]), zlib.crc32(np.array(ids[a : a + 4096], "<u4").tobytes())) for k, a in enumerate(range(0, len(ids), 4096))]
     assert packed(got) == sorted(exp)
     assert packed(corpus_pipeline.run(spark, str(tmp_path))) == sorted(exp)
+
+
+def test_documents_go_on_when_no_language_can_be_learned(spark):
+    rows = [(1, EN, None, "a"), (2, "123 !!", None, "a"), (3, None, None, "a"), (4, "é", None, None), (5, "", None, "b"), (None, DE, "de", "b"), (6, "12", "de", "b")]
+    got = corpus_pipeline.language_id(spark, frame(spark, rows), "")
+    assert got.columns == [c.split()[0] for c in DOCS.split(", ")]
+    assert sorted((r["text"] for r in got.collect())) == sorted([EN, DE, "é"])
