@@ -32,6 +32,13 @@ def test_closure_ends_on_cycles(spark):
     assert got["a", "d"] == 3 and got["b", "a"] == 2 and ("a", "a") not in got and len(got) == 9
 
 
+def test_closure_reaches_the_far_end_of_long_chains(spark):
+    e = spark.createDataFrame([(k, k + 1) for k in range(36)], "source int, target int").coalesce(1)
+    got = graph.closure(e)
+    assert got.count() == 36 * 37 // 2 and got.filter("source = 0 and target = 36").first()["depth"] == 36
+    assert graph.closure(e, max_depth=3).agg(F.max("depth")).first()[0] == 3
+
+
 def test_tags_follow_aliases_and_parents(spark):
     nodes, edges = graph.tree(spark.createDataFrame([("Top", "Kid One"), ("Top", None)], "parent_label string, label string"), "l1", "l2")
     assert [(r["source"], r["target"]) for r in edges.collect()] == [("kid_one", "top")]
