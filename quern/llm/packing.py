@@ -9,7 +9,6 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,19 +18,25 @@ from quern.llm.common import written
 END_ID = 1
 
 
-class WordIds(dict):
-    """Ids, as little-endian unsigned 32-bit numbers, of what stands between white space, by a tokenizer that never joins across it.
+def _lowered() -> bytes:
+    """Latin-1 in lower case: a to z, and its letters from 0xC0 to 0xDE but the sign at 0xD7."""
+    return bytes(c + 32 if 65 <= c <= 90 or 0xC0 <= c <= 0xDE and c != 0xD7 else c for c in range(256))
 
-    A word is encoded when it is first met and remembered; the memory is bounded, and words
-    too long to come again are not kept. The tokenizer's own rules (lower case, then runs of
-    letters, single digits and runs of other characters, each for itself through its merges)
-    are simple for words of printable ASCII and Latin letters, which go to the merges
-    directly; words with an apostrophe, ``<`` or anything else take the whole way.
+
+class RunIds(dict):
+    """Ids, as little-endian unsigned 32-bit numbers, of lower-case runs: of letters, of other characters, a digit or an apostrophe's ending.
+
+    The tokenizer lower-cases a text and cuts it into such runs, each of which goes through its
+    merges for itself. So a text of printable ASCII, Latin letters and white space is cut here,
+    as Latin-1 bytes, by one expression, and a run is encoded when it is first met and remembered; the memory is
+    bounded, and runs too long to come again are not kept. Texts with any other character, or with what could be a
+    special token, go through the tokenizer word by word, since it never joins across white space.
     """
 
     #: Letters of Latin-1 are composed and have their own lower case there.
-    PLAIN = re.compile("[!-&(-;=-~À-ÖØ-öø-ÿ]+")
-    RUNS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+    PLAIN = bytes([*range(9, 14), *range(32, 127), *(c for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7))])
+    LOWER = _lowered()
+    RUNS = re.compile(rb"'(?:s|t|re|ve|m|ll|d)|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z\xdf-\xf6\xf8-\xff0-9\x09-\x0d ]+")
 
     def __init__(self, path: str, keep: int = 1_000_000, longest: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -39,7 +44,7 @@ class WordIds(dict):
         from tokenizers.pre_tokenizers import ByteLevel
 
         super().__init__()
-        self.tokenizer, self.keep, self.longest = Tokenizer.from_file(path), keep, longest
+        self.tokenizer, self.keep, self.longest, self.words = Tokenizer.from_file(path), keep, longest, {}
         self.merges = self.tokenizer.model
         if hasattr(self.merges, "_resize_cache"):
             self.merges._resize_cache(0)  # this memory stands in front of its own
@@ -47,62 +52,88 @@ class WordIds(dict):
         as_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {c: "".join(t for t, _ in as_bytes.pre_tokenize_str(chr(c))) for c in range(0xC0, 0x100)}
 
-    def __missing__(self, word: str) -> bytes:
-        if word.isascii() and word.isalpha() and word.islower():
-            found = b"".join([self.four[t.id] for t in self.merges.tokenize(word)])
-        elif word[-1] in ".," and (stem := word[:-1]).isascii() and stem.isalpha() and stem.islower():
-            found = self[stem] + self[word[-1]]
-        elif self.PLAIN.fullmatch(word):
-            runs = self.RUNS.findall(word.lower())
-            if runs != [word]:
-                found = b"".join([self[r] for r in runs])
-            else:
-                found = b"".join([self.four[t.id] for t in self.merges.tokenize(word if word.isascii() else word.translate(self.letters))])
-        else:
-            found = np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(word) <= self.longest:
+    def __missing__(self, run: bytes) -> bytes:
+        four = self.four
+        symbols = run.decode() if run.isascii() else run.decode("latin-1").translate(self.letters)
+        found = b"".join([four[t.id] for t in self.merges.tokenize(symbols)])
+        if len(run) <= self.longest:
             if len(self) >= self.keep:
                 self.clear()
-            self[word] = found
+            self[run] = found
+        return found
+
+    def whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def plain(self, text: str) -> bytes | None:
+        """The ids of a text of plain characters; None for any other."""
+        try:
+            raw = text.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        if raw.translate(None, self.PLAIN) or b"<|" in raw:
+            return None
+        return b"".join(map(self.__getitem__, self.RUNS.findall(raw.translate(self.LOWER))))
+
+    def word(self, word: str) -> bytes:
+        if (found := self.words.get(word)) is None:
+            if (found := self.plain(word)) is None:
+                found = self.whole(word)
+            if len(word) <= self.longest:
+                if len(self.words) >= self.keep // 4:
+                    self.words.clear()
+                self.words[word] = found
         return found
 
     def of(self, text: str) -> bytes:
+        if (found := self.plain(text)) is not None:
+            return found
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to str.split, not to the tokenizer
-            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return b"".join(map(self.__getitem__, text.split()))
+            return self.whole(text)
+        return b"".join(map(self.word, text.split()))
 
 
-_encoders: dict[str, WordIds] = {}
+_encoders: dict[str, RunIds] = {}
 
 
-def encoder(path: str) -> WordIds:
+def encoder(path: str) -> RunIds:
     """This Python worker's encoder, kept over its tasks."""
     if path not in _encoders:
-        _encoders[path] = WordIds(path)
+        _encoders[path] = RunIds(path)
     return _encoders[path]
 
 
 def token_pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, tokenizer_path: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each document's ids and an end id, cut at ``capacity`` only.
 
-    Null text counts as empty, so each document has one id at least.
+    Null text counts as empty, so each document has one id at least. Ids of any type, null or
+    repeated, pass through; texts are read whole. Empty table: empty result; other columns are ignored.
     """
     if tokenizer_path is None:
         import public_tokenizers
 
         tokenizer_path = public_tokenizers.path("word_bpe_49k.json")
+    end = END_ID.to_bytes(4, "little")
 
-    @F.pandas_udf("array<struct<piece int, start long, length long, ids_crc32 long>>")
-    def cut(texts: pd.Series) -> pd.Series:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path)
-        out = []
-        for text in texts:
-            ids = (encode.of(text) if text else b"") + END_ID.to_bytes(4, "little")
-            n = len(ids) // 4
-            out.append([(k, at, min(capacity, n - at), zlib.crc32(ids[4 * at : 4 * (at + capacity)])) for k, at in enumerate(range(0, n, capacity))])
-        return pd.Series(out)
-
-    return docs.select(F.col(id_col).alias("doc_id"), cut(F.col(text_col)).alias("cuts")).select("doc_id", F.inline("cuts"))
+        for batch in batches:
+            for rows in (batch.slice(k, 512) for k in range(0, batch.num_rows, 512)):
+                row, piece, start, length, crc = [], [], [], [], []
+                for r, text in enumerate(rows.column("text").to_pylist()):
+                    ids = memoryview((encode.of(text) if text else b"") + end)
+                    n = len(ids) // 4
+                    for k, at in enumerate(range(0, n, capacity)):
+                        row.append(r)
+                        piece.append(k)
+                        start.append(at)
+                        length.append(min(capacity, n - at))
+                        crc.append(zlib.crc32(ids[4 * at : 4 * (at + capacity)]))
+                made = [rows.column("doc_id").take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+                yield pa.RecordBatch.from_arrays(made, ["doc_id", "piece", "start", "length", "ids_crc32"])
+
+    given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return given.mapInArrow(cut, f"doc_id {dict(given.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long")
 
 
 def bin_bound(hist: np.ndarray, capacity: int) -> int:
