@@ -24,44 +24,70 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_own: dict[str, str] = {}  # temporary folders of local sessions without a shared one, by application
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only a session without one (a local test) gets a temporary folder of its own.
+    Only a local session without one (a test) gets a temporary folder of its own, gone when Python ends.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="quern-scratch-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="quern-scratch-")
+            atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
+        found = _own[app]
     return found.rstrip("/")
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/quern-{spark.sparkContext.applicationId}"
 
 
 def sweep(spark: SparkSession) -> None:
     """Delete what :func:`written` has left of this application; results that were not written elsewhere go with it."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _folder(spark))
 
 
-def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+_made: list[str] = []  # what `written` has written, in order
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return a scan of it.
 
     This cuts the lineage: a lost executor costs the tasks that it ran, not the
     stages before this table, and the rows are computed once however often they are read.
-    ``by``: a column of few values whose filters then read only their own files.
     """
     spark = df.sparkSession
     path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Deletes tables that :func:`written` makes from now on, when what is read from them has been written elsewhere."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.begin = spark, len(_made)
+
+    def clear(self, keep_last: bool = False) -> None:
+        """Delete them; with ``keep_last`` all but the newest."""
+        end = len(_made) - keep_last
+        for path in _made[self.begin : end]:
+            _delete(self.spark, path)
+        del _made[self.begin : end]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -90,6 +116,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         return out.filter("a <> b").distinct()
 
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).filter("node is not null").distinct()
+    rounds = Scratch(edges.sparkSession)
     current = written(
         edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
         "edges",
@@ -98,6 +125,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     before = current.select(mark.alias("m")).first()["m"]
     while before["n"]:
         current = written(star(star(current, True), False), "edges")
+        rounds.clear(keep_last=True)
         after = current.select(mark.alias("m")).first()["m"]
         if after == before:
             break

@@ -1,34 +1,39 @@
 """N-gram Jaccard join: an exact similarity join of shingle sets through count-vector R-trees.
 
-Tokens are hashed into groups and a set's group counts are its point. For two sets, the
+Shingles are hashed into groups and a set's group counts are its point. For two sets, the
 sum over groups of the smaller count bounds their overlap from above; boxes of points bound whole
 subtrees the same way, and pairs that survive are verified on the shingles themselves.
 
-One R-tree over a corpus would be visited almost everywhere, since two sets may differ by
-a sixth of their size in any direction. So the trees are many and small, one for each key of
-a partition that loses no pair: shingles are also dealt by hash into m parts, m being over the largest number
-of shingles by which a linked pair of that size can differ. Such a pair then has the
-same shingles in one part at least, so it meets under the key (size class, part, hash of the
-part's shingles). Texts that merely share a passage differ in every part.
+One R-tree over a corpus would be visited almost everywhere: sets may differ by a
+sixth of their size in any direction, and a box of unrelated points holds nearly every query. So there are
+two kinds of small trees.
+
+First a tree for each key of a partition that loses no pair. Shingles are dealt by hash into parts, more than a linked pair can
+differ by, so such a pair agrees in some parts whole and shares a key, which names what a part holds (:class:`Classes`).
+The trees find the pairs of a key that can link by the bound. Components of those pairs are the blocks: no link leaves one.
+
+Then a tree for each block, whose pairs are verified. A set is in one block only, so its shingles are moved
+once. Neither kind of tree returns pairs, but a spanning forest of them: no more rows than members.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quern.llm.common import connected_components, partitions, written
 
 U = np.uint64
-GROUPS = 256  # coordinates of a point, a byte each
-SPARE = 3  # parts more than needed, so that empty parts seldom have to be keys
 FAN = 16  # entries of an R-tree node
 FLUSH = 2_000_000  # keys that a task holds before it sorts them
+FULL = (1 << 16) - 1  # a count that stands for any number
 FACTORS = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % (1 << 64) for k in range(64)], dtype="uint64")
 
 
@@ -69,14 +74,15 @@ def shingles(text: str | None, n_words: int) -> np.ndarray:
     return np.unique(_mix(out))
 
 
-def point(s: np.ndarray) -> bytes:
-    """How many shingles each group holds, a byte each; all 255 if one holds more."""
-    n = np.bincount((s >> U(56)).astype("int64"), minlength=GROUPS)
-    return (n if n.max() < 255 else np.full(GROUPS, 255)).astype("uint8").tobytes()
-
-
 class Classes:
-    """Size classes such that linked sets stand in one class or in neighbours, and the parts of each."""
+    """Size classes, and for each the keys of which two linked sets share one at least.
+
+    If the larger of two linked sets is of class k, they differ by ``most(k)`` shingles at
+    most, hence in so many of m parts at most, and agree in the others. A key names the contents
+    of some parts together: of all but ``most`` of eight parts where sets are small, of
+    two parts in the next classes, of one where they are large. There m is larger than it has to be by a
+    fifth, so that parts with no shingle or one, which say little, seldom have to be keys.
+    """
 
     def __init__(self, percent: int, ratio: float = 1.6):
         self.percent = percent
@@ -85,75 +91,128 @@ class Classes:
         self.lows = [1]
         while self.lows[-1] < 1 << 40:
             self.lows.append(max(self.lows[-1] + 1, int(self.lows[-1] * ratio)))
+        self.plans: dict[int, tuple[int, np.ndarray | None, int]] = {}
 
-    def levels(self, n: int) -> list[tuple[int, int]]:
-        """(class, parts) under which a set of ``n`` shingles makes keys: its own, and the next if a linked set can be there."""
+    def levels(self, n: int) -> list[int]:
+        """Classes under which a set of ``n`` shingles makes keys: its own, and those above in which a linked set can be."""
         k = int(np.searchsorted(self.lows, n, side="right")) - 1
-        out = [(k, self.parts(k))]
-        if 100 * n >= self.percent * self.lows[k + 1]:
-            out.append((k + 1, self.parts(k + 1)))
+        out = [k]
+        while 100 * n >= self.percent * self.lows[out[-1] + 1]:
+            out.append(out[-1] + 1)
         return out
 
-    def parts(self, k: int) -> int:
-        """One more than the most by which linked sets differ whose larger is of class ``k``, and some spare.
+    def most(self, k: int) -> int:
+        """At J = p, sets of a and b differ by (1 - p) / (1 + p) (a + b), and a + b is less than twice the class's end."""
+        return (100 - self.percent) * 2 * (self.lows[k + 1] - 1) // (100 + self.percent)
 
-        At J = p, sets of a and b differ by (1 - p) / (1 + p) (a + b), and a + b < twice the class's end.
-        """
-        p = self.percent
-        return (100 - p) * 2 * (self.lows[k + 1] - 1) // (100 + p) + 1 + SPARE
+    def plan(self, k: int) -> tuple[int, np.ndarray | None, int]:
+        """Parts of class ``k``, the groups of parts that are keys (None: each part), and by how many parts linked sets agree beyond one key's."""
+        if k not in self.plans:
+            d = self.most(k)
+            if d <= 12:
+                m, together, spare = (8, 8 - d, 0) if d <= 4 else (d + 3, 2, 1)
+                self.plans[k] = m, np.array(list(combinations(range(m), together)), dtype="int64").reshape(-1, together), spare
+            else:
+                spare = max(3, d // 5)
+                self.plans[k] = d + 1 + spare, None, spare
+        return self.plans[k]
 
 
 def keys(s: np.ndarray, classes: Classes) -> np.ndarray:
-    """Keys of a set: a hash of its shingles in each part that has any; of the empty parts too, if they are more than ``SPARE``."""
+    """Keys of a set, for each of its classes and groups of parts: a hash of what those parts hold.
+
+    If no more parts than the class can spare hold less than two shingles, those are no keys; else, if no more are empty, those.
+    """
     out = []
-    for k, m in classes.levels(len(s)):
+    for k in classes.levels(len(s)):
+        m, groups, spare = classes.plan(k)
         part = (s % U(m)).astype("int64")
-        order = np.argsort(part, kind="stable")
-        at = np.flatnonzero(np.diff(part[order], prepend=-1))
-        filled = part[order][at].astype("uint64")
-        label = np.add.reduceat(_mix(s[order]), at)
-        out.append(_mix(_mix(label + U(k + 1)) + filled))
-        if m - len(at) > SPARE:
-            bare = np.setdiff1d(np.arange(m, dtype="uint64"), filled)
-            out.append(_mix(_mix(np.full(len(bare), k + 1, dtype="uint64")) ^ bare))
+        n = np.bincount(part, minlength=m)
+        at = np.cumsum(n) - n
+        label = np.where(n > 0, np.add.reduceat(_mix(s[np.argsort(part, kind="stable")]), np.minimum(at, len(s) - 1)), U(0))
+        held = label if groups is None else label[groups].sum(axis=1, dtype="uint64")
+        made = _mix(_mix(held + U(k + 1)) + np.arange(len(held), dtype="uint64"))
+        for few in (2, 1) if spare else ():
+            if (n < few).sum() <= spare:
+                made = made[n >= few] if groups is None else made[(n >= few)[groups].any(axis=1)]
+                break
+        out.append(made)
     return np.concatenate(out)
 
 
-def _sorted_runs(held: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, set, whether it is its key's first) without repeats, by key and set."""
-    key = np.concatenate([k for k, _ in held]).astype("int64")
-    name = np.repeat(np.array([c for _, c in held], dtype="int64"), [len(k) for k, _ in held])
-    order = np.lexsort((name, key))
-    key, name = key[order], name[order]
-    first = np.ones(len(key), dtype=bool)
-    first[1:] = key[1:] != key[:-1]
-    fresh = first.copy()
-    fresh[1:] |= name[1:] != name[:-1]
-    return key[fresh], name[fresh], first[fresh]
+def point(s: np.ndarray) -> bytes:
+    """How many shingles each group holds, two bytes each; about four shingles a group, and from 64 to 4096 groups by a hash's first bits."""
+    bits = min(12, max(6, (len(s) // 4).bit_length()))
+    n = np.bincount((s >> U(64 - bits)).astype("int64"), minlength=1 << bits)
+    return (n if n.max() < FULL else np.full(1 << bits, FULL)).astype("<u2").tobytes()
 
 
-PASS = "kind int, body long, a long, b long, c long, point binary"
+def grid_of(points: list[bytes]) -> np.ndarray:
+    """Points as rows of counts, by the groups of the one that has fewest: groups that begin alike are added up."""
+    width = min(map(len, points)) // 2
+    rows = [np.frombuffer(p, "<u2") for p in points]
+    return np.stack([r if len(r) == width else np.minimum(r.reshape(width, -1).sum(axis=1, dtype="int64"), FULL).astype("uint16") if r[0] < FULL else np.full(width, FULL, dtype="uint16") for r in rows])
 
 
-def _reader(n_words: int, classes: Classes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """One pass over the texts. Kind 0: a = set, b = its size, with body and point. Kind 1: a = key, b = the first set of it in
-    this task. Kind 2: a = key, b = that first set, c = another: a key that very many sets share leaves a task once."""
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest of the items joined with each of ``n`` items by the edges a - b."""
+    root = list(range(n))
 
-    def rows(kind: int, **columns) -> pa.RecordBatch:
-        n = len(columns["a"])
-        full = {"kind": np.full(n, kind, dtype="int32")} | {c: columns.get(c, pa.nulls(n, pa.int64())) for c in ("body", "a", "b", "c")}
-        return pa.RecordBatch.from_pydict(full | {"point": columns.get("point", pa.nulls(n, pa.binary()))}, schema=pa.schema(SCHEMA))
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
 
-    def sort_out(held: list[tuple[np.ndarray, int]]) -> Iterator[pa.RecordBatch]:
-        key, name, first = _sorted_runs(held)
-        lead = name[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
-        yield rows(1, a=key[first], b=name[first])
-        if not first.all():
-            yield rows(2, a=key[~first], b=lead[~first], c=name[~first])
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        x, y = find(x), find(y)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+    return np.array([find(x) for x in range(n)], dtype="int64")
+
+
+def _runs(key: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, who) without repeats by key and who; whether each is its key's first; whether its key has others."""
+    order = np.lexsort((who, key))
+    key, who = key[order], who[order]
+    first = np.ones(len(key), dtype=bool)
+    first[1:] = key[1:] != key[:-1]
+    fresh = first.copy()
+    fresh[1:] |= who[1:] != who[:-1]
+    key, who, first = key[fresh], who[fresh], first[fresh]
+    several = ~first
+    several[:-1] |= several[1:]
+    return key, who, first, several
+
+
+def _reader(n_words: int, classes: Classes, buckets: int, id_type: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """One pass over the texts. Kind 0: a document, a = its set, b = the set's size, its point in ``blob``. Kind 1: a run of keys of one bucket in
+    ``blob`` with one set each, a = their number, b = that of the sets there. Kind 2: a = a key that sets of this task share, b = one of them."""
+    schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("doc_id", id_type), ("body", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("blob", pa.binary())])
+
+    def rows(kind: int, bucket: np.ndarray, **columns) -> pa.RecordBatch:
+        n = len(bucket)
+        full = {"bucket": pa.array(bucket, pa.int32()), "kind": pa.array(np.full(n, kind), pa.int32())}
+        return pa.RecordBatch.from_arrays([full.get(f.name, columns.get(f.name, pa.nulls(n, f.type))) for f in schema], schema=schema)
+
+    def deal(names: np.ndarray, held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key, who, first, several = _runs(np.concatenate(held), np.repeat(np.arange(len(held)), list(map(len, held))))
+        if several.any():
+            yield rows(2, np.arange(several.sum()) % buckets, a=pa.array(key[several].astype("int64")), b=pa.array(names[who[several]]))
+        key, who = key[first], who[first]
+        bucket = ((key >> U(32)) * U(buckets)) >> U(32)
+        cuts = [*np.flatnonzero(np.diff(bucket.astype("int64"), prepend=-1)).tolist(), len(key)]
+        blobs, n_keys, n_sets = [], [], []
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            used, at = np.unique(who[x:y], return_inverse=True)
+            blobs.append(key[x:y].tobytes() + names[used].tobytes() + at.astype("<u2").tobytes())
+            n_keys.append(y - x)
+            n_sets.append(len(used))
+        yield rows(1, bucket[cuts[:-1]].astype("int32"), a=pa.array(n_keys, pa.int64()), b=pa.array(n_sets, pa.int64()), blob=pa.array(blobs, pa.binary()))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, int]] = []
-        size = 0
+        met: dict[int, None] = {}
+        held: list[np.ndarray] = []
+        size = turn = 0
         for batch in batches:
             for piece in (batch.slice(k, 512) for k in range(0, batch.num_rows, 512)):
                 names, sizes, points = [], [], []
@@ -163,49 +222,51 @@ def _reader(n_words: int, classes: Classes) -> Callable[[Iterator[pa.RecordBatch
                     names.append(name)
                     sizes.append(len(s))
                     points.append(None)
-                    if len(s) >= classes.least:
+                    if len(s) >= classes.least and name not in met:
+                        met[name] = None
                         points[-1] = point(s)
-                        held.append((keys(s, classes), name))
-                        size += len(held[-1][0])
-                yield rows(0, a=pa.array(names, pa.int64()), b=sizes, body=piece.column("body"), point=pa.array(points, pa.binary()))
-                if size >= FLUSH:
-                    yield from sort_out(held)
-                    held, size = [], 0
+                        held.append(keys(s, classes))
+                        size += len(held[-1])
+                turn += 1
+                yield rows(
+                    0, (np.arange(len(names)) + turn) % buckets, doc_id=piece.column("doc_id"), body=piece.column("body"),
+                    a=pa.array(names, pa.int64()), b=pa.array(sizes, pa.int64()), blob=pa.array(points, pa.binary()),
+                )
+                if size >= FLUSH or len(held) >= 60_000:
+                    yield from deal(np.fromiter(met, dtype="int64", count=len(met)), held)
+                    met, held, size = {}, [], 0
         if held:
-            yield from sort_out(held)
+            yield from deal(np.fromiter(met, dtype="int64", count=len(met)), held)
 
     return read
 
 
-SCHEMA = [("kind", pa.int32()), ("body", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int64()), ("point", pa.binary())]
-
-
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, lead, name for every set but the first of a key, from rows sorted by key and set; holds a batch at a time."""
-    last_key = last_lead = last_name = None
+    """Kinds 0 and 2 as they are; of a bucket's runs of keys, held together, each key that several sets share, as kind 2."""
+    columns = ["kind", "doc_id", "body", "a", "b", "blob"]
+    held, schema = [], None
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        key, name = batch.column("key").to_numpy(), batch.column("name").to_numpy()
-        first = np.ones(len(key), dtype=bool)
-        first[1:] = key[1:] != key[:-1]
-        first[0] = key[0] != last_key
-        again = np.zeros(len(key), dtype=bool)
-        again[1:] = ~first[1:] & (name[1:] == name[:-1])
-        again[0] = not first[0] and name[0] == last_name
-        at = np.maximum.accumulate(np.where(first, np.arange(len(key)), -1))
-        lead = np.where(at >= 0, name[at], last_lead if last_lead is not None else 0)
-        out = ~first & ~again
-        if out.any():
-            yield pa.RecordBatch.from_pydict({"key": key[out], "lead": lead[out], "name": name[out]})
-        last_key, last_lead, last_name = key[-1], lead[-1], name[-1]
+        runs = np.asarray(batch.column("kind").to_numpy()) == 1
+        schema = pa.schema([batch.schema.field(c) for c in columns])
+        if not runs.all():
+            yield batch.select(columns).filter(pa.array(~runs))
+        mine = batch.filter(pa.array(runs))
+        for n, m, blob in zip(*(mine.column(c).to_pylist() for c in ("a", "b", "blob")), strict=True):
+            names = np.frombuffer(blob, "int64", m, 8 * n)
+            held.append((np.frombuffer(blob, "uint64", n), names[np.frombuffer(blob, "<u2", n, 8 * n + 8 * m)]))
+    if not held:
+        return
+    key, name, _, several = _runs(*(np.concatenate([h[k] for h in held]) for k in (0, 1)))
+    if n := int(several.sum()):
+        made = {"kind": pa.array(np.full(n, 2), pa.int32()), "a": pa.array(key[several].astype("int64")), "b": pa.array(name[several])}
+        yield pa.RecordBatch.from_arrays([made.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
 
 
 class RTree:
-    """Points packed into nodes of ``FAN``; a node keeps the largest of each coordinate and its smallest set size."""
+    """Points packed into nodes of ``FAN``, in the order of a recursive halving; a node keeps the largest of each coordinate and its smallest set size."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray):
-        self.order = np.lexsort((*points.T[:4], sizes)) if len(sizes) > FAN else np.arange(len(sizes))
+        self.order = self._tiled(points, sizes)
         hi, low = points[self.order], sizes[self.order]
         self.levels = [(hi, low)]
         while len(low) > FAN:
@@ -213,168 +274,281 @@ class RTree:
             hi, low = np.maximum.reduceat(hi, at, axis=0), np.minimum.reduceat(low, at)
             self.levels.append((hi, low))
 
+    @staticmethod
+    def _tiled(points: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Bulk load: halve at the median of the coordinate that varies most there, ties by size, until a node's worth is left."""
+        out, todo = [], [np.arange(len(sizes))]
+        while todo:
+            at = todo.pop()
+            if len(at) <= FAN:
+                out.append(at)
+                continue
+            here = points[at].astype("float32")
+            at = at[np.lexsort((sizes[at], here[:, int(here.var(axis=0).argmax())]))]
+            half = -(-len(at) // (2 * FAN)) * FAN
+            todo += [at[half:], at[:half]]
+        return np.concatenate(out) if out else np.arange(0)
+
     def meet(self, point: np.ndarray, size: int, percent: int) -> np.ndarray:
         """Members whose overlap with a set can reach the threshold by the summed coordinate minima."""
         at = np.arange(len(self.levels[-1][1]))
         for depth in range(len(self.levels) - 1, -1, -1):
             hi, low = self.levels[depth]
             most = np.minimum(np.minimum(point, hi[at]).sum(axis=1, dtype="int64"), size)
-            full = (point[0] == 255) & (hi[at, 0] == 255)  # 255 stands for any number
-            at = at[full | (most * (100 + percent) >= percent * (size + low[at]))]
+            at = at[most * (100 + percent) >= percent * (size + low[at])]
             if depth:
                 at = (at[:, None] * FAN + np.arange(FAN)).ravel()
                 at = at[at < len(self.levels[depth - 1][1])]
         return self.order[at]
 
 
-def _cell_pairs(i: int, j: int, name: np.ndarray, comp: np.ndarray, size: np.ndarray, block: np.ndarray, points: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one cell that can link and are not connected yet."""
-    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-    if not len(left) or not len(right):
-        return left[:0], right[:0]
-    tree = RTree(points[right], size[right])
-    a, b = [], []
-    for k in left:
-        met = right[tree.meet(points[k], int(size[k]), percent)]
-        met = met[(comp[met] != comp[k]) & ((name[met] > name[k]) | (i != j))]
-        a.append(np.full(len(met), name[k]))
-        b.append(name[met])
-    x, y = np.concatenate(a), np.concatenate(b)
-    return np.minimum(x, y), np.maximum(x, y)
-
-
-def _tree_pairs(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """:func:`_cell_pairs` of every cell, from rows sorted by cell; holds one batch and one cell."""
-    cell_of = ("key", "i", "j")
-
-    def cells(table: pa.Table) -> Iterator[tuple[int, int]]:
-        new = np.zeros(table.num_rows, dtype=bool)
-        new[0] = True
-        for c in cell_of:
-            v = table[c].to_numpy()
-            new[1:] |= v[1:] != v[:-1]
-        at = [*np.flatnonzero(new).tolist(), table.num_rows]
-        return zip(at[:-1], at[1:], strict=True)
-
-    def solve(table: pa.Table, spans: list[tuple[int, int]]) -> pa.RecordBatch:
-        i, j, name, comp, size, block = (table[c].to_numpy() for c in ("i", "j", "name", "comp", "size", "block"))
-        points = np.frombuffer(b"".join(table["point"].to_pylist()), dtype="uint8").reshape(-1, GROUPS)
-        found = [_cell_pairs(int(i[a]), int(j[a]), name[a:b], comp[a:b], size[a:b], block[a:b], points[a:b], percent) for a, b in spans if b - a > 1]
-        x, y = (np.concatenate([f[k] for f in found] or [np.empty(0, dtype="int64")]) for k in (0, 1))
-        return pa.RecordBatch.from_pydict({"x": x, "y": y})
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def cell_pairs(grid: np.ndarray, size: np.ndarray, comp: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int, linked: Callable[[int, np.ndarray], np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """Pairs of a set of ``left`` and one of ``right`` (positions) that join two components, found through an R-tree of ``right``.
+
+    A pair is one that the bound lets link and, if ``linked`` is given (which of some sets a set links with), that does link. Not all
+    pairs, but enough to join whatever they join; ``comp`` is changed to the components then reached. Candidates are
+    verified a few at first and then twice as many, so that members of a large component are not verified one by one.
+    """
+    tree = RTree(grid[right], size[right])
+    out = []
+    for k in left.tolist():
+        met = right[tree.meet(grid[k], int(size[k]), percent)]
+        if left is right:
+            met = met[met > k]
+        met = met[comp[met] != comp[k]]
+        some = 8
+        while len(met):
+            now, met = met[:some], met[some:]
+            for c in (now if linked is None else linked(k, now)).tolist():
+                if comp[c] != comp[k]:
+                    out.append((k, c))
+                    comp[comp == comp[c]] = comp[k]
+            met = met[comp[met] != comp[k]]
+            some *= 2
+        if (comp == comp[0]).all():
+            break
+    return out
+
+
+def cell_links(sets: list[np.ndarray], comp: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """:func:`cell_pairs` verified on the sets themselves."""
+    size = np.array(list(map(len, sets)))
+    names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    begin = np.concatenate([[0], np.cumsum(size)])
+    mark = np.zeros(len(names), dtype=bool)
+
+    def linked(k: int, met: np.ndarray) -> np.ndarray:
+        own, n = flat[begin[k] : begin[k + 1]], size[met]
+        mark[own] = True
+        both = np.add.reduceat(mark[np.concatenate([flat[begin[c] : begin[c + 1]] for c in met.tolist()])].astype("int64"), np.cumsum(n) - n)
+        mark[own] = False
+        return met[both * (100 + percent) >= (n + size[k]) * percent]
+
+    return cell_pairs(grid_of(list(map(point, sets))), size, comp, left, right, percent, linked)
+
+
+CELL = ("block", "i", "j")
+
+
+def _solver(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """x, y: the pairs of every cell (block, i, j), from rows sorted by cell and name; holds one batch and one cell.
+
+    A cell has the sets of tile i and those of tile j, or of one tile if they are the same. With a column ``set`` (shingles, with ``comp``) its pairs are
+    :func:`cell_links`, with ``point`` and ``size`` :func:`cell_pairs` by the bound only.
+    """
+
+    def solve(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        name = t["name"].to_numpy()
+        fresh = np.flatnonzero(np.diff(name, prepend=name[0] - 1) != 0)  # a set read in several tasks comes several times
+        t, name = t.take(fresh), name[fresh]
+        tile, i, j = t["tile"].to_numpy(), t["i"][0].as_py(), t["j"][0].as_py()
+        left = np.flatnonzero(tile == i)
+        right = left if i == j else np.flatnonzero(tile == j)
+        verify = "set" in t.column_names
+        comp = np.unique(t["comp"].to_numpy(), return_inverse=True)[1] if verify else np.arange(len(name))
+        if not len(left) or not len(right) or comp.max() == 0:
+            return name[:0], name[:0]
+        if verify:
+            found = cell_links([np.frombuffer(b, dtype="uint64") for b in t["set"].to_pylist()], comp, left, right, percent)
+        else:
+            found = cell_pairs(grid_of(t["point"].to_pylist()), t["size"].to_numpy(), comp, left, right, percent)
+        at = np.array(found, dtype="int64").reshape(-1, 2)
+        return name[at[:, 0]], name[at[:, 1]]
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []
+        made: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({c: np.concatenate([m[k] for m in made] or [np.empty(0, "int64")]) for k, c in enumerate("xy")})
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = pa.Table.from_batches([*rest, batch])
-            spans = list(cells(table))
-            rest = table.slice(spans[-1][0]).to_batches()  # its cell may go on
-            if len(spans) > 1:
-                yield solve(table.slice(0, spans[-1][0]), spans[:-1])
+            cell = [batch.column(c).to_numpy() for c in CELL]
+            new = np.zeros(batch.num_rows, dtype=bool)
+            for v in cell:
+                new[1:] |= v[1:] != v[:-1]
+            if rest:
+                new[0] = any(v[0] != rest[-1].column(c)[0].as_py() for v, c in zip(cell, CELL, strict=True))
+            at = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+            for a, b in zip(at[:-1], at[1:], strict=True):
+                if new[a] and rest:
+                    made.append(solve(pa.Table.from_batches(rest)))
+                    rest = []
+                if b > a:
+                    rest.append(batch.slice(a, b - a))
+            yield out()
+            made = []
         if rest:
-            table = pa.Table.from_batches(rest)
-            yield solve(table, [(0, table.num_rows)])
+            made.append(solve(pa.Table.from_batches(rest)))
+            yield out()
 
-    return pairs
+    return links
 
 
-def _links(pairs: DataFrame, texts: DataFrame, sets: DataFrame, n_words: int, percent: int, broadcast_rows: int) -> DataFrame:
-    """The (x, y) of ``pairs`` whose sets link, verified on shingles read anew from one text of each set."""
-    pairs = written(pairs.select("x", "y").distinct(), "pairs")
-    one = pairs.select(F.explode(F.array("x", "y")).alias("name")).distinct().join(sets, "name").groupBy("name").agg(F.min("body").alias("body"))
-    needed = written(one, "needed")
-    want = needed.select("body").distinct()
-    if needed.count() <= broadcast_rows:
-        want = F.broadcast(want)  # 8 bytes a row
+def _sets_of(texts: DataFrame, placed: DataFrame, n_words: int, broadcast_rows: int) -> DataFrame:
+    """block, tile, name, set (its shingles' hashes) of every set of ``placed`` (name, body, block, tile), read anew from a text of it."""
+    want = placed.select("body", "name", "block", "tile")
+    if placed.count() <= broadcast_rows:
+        want = F.broadcast(want)  # 32 bytes a row
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for piece in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
-                got = [shingles(t, n_words).astype("int64") for t in piece.column("text").to_pylist()]
-                yield pa.RecordBatch.from_pydict({"body": piece.column("body"), "set": pa.array(got, pa.list_(pa.int64()))})
+                fresh = []
+                for r, name in enumerate(piece.column("name").to_pylist()):
+                    if name not in seen:
+                        fresh.append(r)
+                        seen.add(name)
+                        if len(seen) > 1_000_000:
+                            seen.clear()
+                piece = piece.take(pa.array(fresh, pa.int64()))
+                got = [shingles(t, n_words).tobytes() for t in piece.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in ("block", "tile", "name")), pa.array(got, pa.binary())], ["block", "tile", "name", "set"])
+
+    return texts.select("text", "body").join(want, "body").mapInArrow(read, "block long, tile long, name long, set binary")
 
-    found = texts.join(want, "body", "left_semi").mapInArrow(read, "body long, set array<bigint>").dropDuplicates(["body"]).join(needed, "body").select("name", "set")
-    found = written(found, "sets")
-    both = pairs.join(found.select(F.col("name").alias("x"), F.col("set").alias("p")), "x").join(found.select(F.col("name").alias("y"), F.col("set").alias("q")), "y")
-    shared = both.select("x", "y", F.size(F.array_intersect("p", "q")).alias("s"), (F.size("p") + F.size("q")).alias("n"))
-    return written(shared.filter(F.col("s") * (100 + percent) >= F.col("n") * percent).select("x", "y"), "links")
+
+def _pairs(cells: DataFrame, percent: int, name: str) -> DataFrame:
+    """x, y of :func:`_solver` over ``cells`` (block, i, j, tile, name, and what it reads)."""
+    dealt = cells.repartition(partitions(cells.sparkSession), *CELL).sortWithinPartitions(*CELL, "name")
+    return written(dealt.mapInArrow(_solver(percent), "x long, y long"), name)
+
+
+def _links(cells: DataFrame, percent: int) -> DataFrame:
+    return _pairs(cells.select(*CELL, "tile", "name", "comp", "set"), percent, "links")
+
+
+def _blocks(passed: DataFrame, points: DataFrame, percent: int, cell_rows: int) -> DataFrame:
+    """name, block: components of the pairs that share a key and can link by the bound."""
+    every = written(passed.filter("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("name")).distinct(), "key-members")
+    # near copies meet under many keys; keys of the same sets say the same, and one of them is enough
+    same = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("name")).alias("h"), F.bit_xor(F.xxhash64(F.lit("set"), "name")).alias("g")]
+    keep = every.groupBy("key").agg(*same).groupBy("n", "h", "g").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / cell_rows).alias("tiles"))
+    dealt = every.join(keep, "key").withColumn("tile", F.pmod(F.xxhash64("name"), F.col("tiles")))
+    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).join(points, "name")
+    found = _pairs(cells.select(F.col("key").alias("block"), F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "name", "size", "point"), percent, "near-pairs")
+    blocks = connected_components(found.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    return blocks.select(F.col("node").alias("name"), F.col("component").alias("block"))
+
+
+def _components(links: list[DataFrame]) -> DataFrame:
+    edges = links[0]
+    for more in links[1:]:
+        edges = edges.unionByName(more)
+    found = connected_components(edges.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    return written(found.select(F.col("node").alias("name"), F.col("component").alias("comp")), "components")
+
+
+def _wide(sets: DataFrame, members: DataFrame, links: list[DataFrame], percent: int) -> DataFrame:
+    """Components when also the tiles of blocks (``members``: name, block, load) that have more than one are joined; adds to ``links``.
+
+    First one set of each component stands for it, over and over while that finds links: a large group
+    of near copies becomes one component at a cost that grows with its size. What is still apart after that is tried in full, tile by
+    tile: tiles hold one component or only small ones, and two tiles of the same component are not tried.
+    """
+    parts = F.greatest(F.ceil("n"), F.lit(1)).cast("long")
+
+    def apart(comps: DataFrame) -> DataFrame:
+        m = members.join(comps, "name", "left").withColumn("comp", F.coalesce("comp", "name"))
+        several = m.groupBy("block").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).filter("p <> q").select("block")
+        return m.join(several, "block")
+
+    comps, turn = _components(links), 0
+    while True:
+        reps = apart(comps).groupBy("block", "comp").agg(F.min(F.struct("load", "name")).alias("r")).select("block", "comp", "r.*")
+        reps = reps.join(reps.groupBy("block").agg(F.sum("load").alias("n")), "block")
+        tile = F.pmod(F.xxhash64("name", F.lit(turn)), parts)
+        cells = sets.select("name", "set").join(reps.select("block", "comp", "name", tile.alias("tile")), "name")
+        found = _links(cells.withColumns({"i": F.col("tile"), "j": F.col("tile")}), percent)
+        if found.isEmpty():
+            break
+        links.append(found)
+        comps, turn = _components(links), turn + 1
+
+    m = written(apart(comps), "apart")
+    if m.isEmpty():
+        return comps
+    large = m.groupBy("block", "comp").agg(F.sum("load").alias("n")).filter("n >= 0.5").withColumn("own", F.col("comp"))
+    m = m.join(large.select("block", "comp", "own"), ["block", "comp"], "left")
+    m = m.join(m.groupBy("block", "own").agg(F.sum("load").alias("n")).select("block", F.col("own").alias("of"), "n"), "block").filter(F.col("own").eqNullSafe(F.col("of")))
+    tiled = m.select("block", "comp", "name", "own", F.xxhash64("own", F.pmod(F.xxhash64("name", F.lit(-1)), parts)).alias("tile"))
+    tiles = written(tiled.groupBy("block", "tile").agg(F.first("own").alias("own")), "tiles")
+    a, b = (tiles.select("block", F.col("tile").alias(i), F.col("own").alias(f"own_{i}")) for i in "ij")
+    pairs = a.join(b, "block").filter((F.col("i") <= F.col("j")) & ~F.coalesce(F.col("own_i") == F.col("own_j"), F.lit(False)))
+    cells = tiled.drop("own").join(pairs.select("block", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("tile")), ["block", "tile"])
+    links.append(_links(sets.select("name", "set").join(cells, "name"), percent))
+    return _components(links)
 
 
 def ngram_components(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, percent: int = 80, cell_rows: int = 2048, star_rounds: int = 2, broadcast_rows: int = 500_000
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, percent: int = 80, cell_rows: int = 1024, cell_shingles: int = 2_000_000, broadcast_rows: int = 500_000
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id, component (names it), body (hash of the text): a row per document.
 
     Two documents link if 100 * shared >= ``percent`` * all of their distinct word
-    ``n_words``-grams; component_id is the smallest doc_id that links reach. Equal sets are one class (class_id
-    names it) and take part once. A class without words has no links and no class_id.
+    ``n_words``-grams; component_id is the smallest doc_id that links reach. Equal sets are one class, named by
+    its smallest doc_id (class_id), and take part once. A document without words has no links and no class_id.
 
-    Candidates meet under the keys of the module's partition, in three kinds of step.
-    Star rounds verify each class against one other class of a key, picked anew each round, and
-    join what links; then every pair of classes of a key that is not connected by then goes through the R-tree of that key's
-    points; what survives is verified on the shingles. So no link that
-    could join two components is left out, while groups of near copies are never expanded into all pairs.
-    Members of a key are dealt over cells of two blocks of ``cell_rows``, so no task holds a whole group, however large.
+    The steps: a pass over the texts makes every class's keys and point; the keys that several classes share are found
+    within a task and within a bucket of keys; R-trees of their points give the blocks (:func:`_blocks`). The shingles of classes that
+    are not alone in their block go to its task, which joins them through an R-tree (:func:`cell_links`). Keys and blocks of
+    more than ``cell_rows`` classes, or blocks of ``cell_shingles`` shingles, are dealt over tiles (:func:`_wide`), so no task holds a whole
+    group, however large. No link that could join two components is left out.
 
-    Ids may repeat or be null; component_id ignores nulls unless all are. Null text counts
+    Ids may be of any type that has an order, and may repeat or be null; component_id ignores nulls unless all are. Null text counts
     as empty. Long texts are read whole. Empty table: empty result; other columns are ignored.
     Sets are compared by 64-bit hashes of shingles.
     """
     spark = docs.sparkSession
     classes = Classes(percent)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("body"))
-    passed = written(texts.select("text", "body").mapInArrow(_reader(n_words, classes), PASS), "shingle-pass", by="kind")
-    rows = passed.filter("kind = 0").select("body", F.col("a").alias("name"), F.col("b").alias("size"), "point")
-    sets = rows.filter("name is not null").select("name", "body")
-    points = rows.filter("point is not null").groupBy("name").agg(F.first("size").alias("size"), F.first("point").alias("point"))
-
-    apart = passed.filter("kind = 1").select(F.col("a").alias("key"), F.col("b").alias("name"))
-    star = apart.repartition(partitions(spark), "key").sortWithinPartitions("key", "name").mapInArrow(_gather, "key long, lead long, name long")
-    near = passed.filter("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("lead"), F.col("c").alias("name"))
-    shared = written(star.unionByName(near), "shared-keys")
-    every = written(shared.select("key", F.explode(F.array("lead", "name")).alias("name")).distinct(), "key-members")
-    # near copies meet under many keys; keys of the same sets say the same, and one of them is enough
-    same = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("name")).alias("h"), F.bit_xor(F.xxhash64(F.lit("set"), "name")).alias("g")]
-    keep = every.groupBy("key").agg(*same).groupBy("n", "h", "g").agg(F.min("key").alias("key")).select("key")
-    members = written(every.join(keep, "key"), "members")
-    pool = written(members.select("name").distinct().join(points, "name"), "points")
-
-    links: list[DataFrame] = []
-    comps = None
-    for turn in range(star_rounds):
-        m = members if comps is None else members.join(comps, "name", "left")
-        m = m.withColumn("comp", F.coalesce("comp", "name") if comps is not None else F.col("name"))
-        rank = F.struct(F.xxhash64("name", F.lit(turn)).alias("h"), F.col("name").alias("lead"), F.col("comp").alias("its"))
-        leads = m.groupBy("key").agg(F.min(rank).alias("l"), F.min("comp").alias("p"), F.max("comp").alias("q")).filter("p <> q").select("key", "l.lead", "l.its")
-        tried = m.join(leads, "key").filter("comp <> its").select("name", "lead").distinct()
-        best = _likely(tried, pool, percent).groupBy("name").agg(F.max_by("lead", F.struct("spare", "lead")).alias("lead"))
-        links.append(_links(best.select(F.least("name", "lead").alias("x"), F.greatest("name", "lead").alias("y")), texts, sets, n_words, percent, broadcast_rows))
-        comps = _components(links)
-
-    m = members.join(comps, "name", "left").withColumn("comp", F.coalesce("comp", "name"))
-    open_keys = m.groupBy("key").agg(F.min("comp").alias("p"), F.max("comp").alias("q"), F.count("*").alias("n")).filter("p <> q")
-    open_keys = open_keys.select("key", F.ceil(F.col("n") / cell_rows).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("name", F.lit(-1)), F.col("blocks")).cast("int")
-    dealt = m.join(open_keys, "key").join(pool, "name").withColumn("block", block)
-    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "name", "comp", "size", "point"
-    )
-    sorted_cells = cells.repartition(partitions(spark), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    tree = sorted_cells.mapInArrow(_tree_pairs(percent), "x long, y long")
-    links.append(_links(tree, texts, sets, n_words, percent, broadcast_rows))
-    comps = _components(links)
-
-    body_sets = sets.distinct()
-    sizes = rows.select("body", "size").distinct()
-    of_text = written(sizes.join(body_sets, "body", "left").join(comps, "name", "left").select("body", "size", "name", F.coalesce("comp", "name").alias("comp")), "of-text")
-    full = texts.select("doc_id", "body").join(of_text, "body")
-    full = written(full, "documents")
-    low = full.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("low"))
-    return full.join(low, "comp", "left").select(
+    id_type, n = texts.schema["doc_id"].dataType, partitions(spark)
+    kind = id_type.simpleString()
+    dealt = texts.mapInArrow(_reader(n_words, classes, n, to_arrow_type(id_type)), f"bucket int, kind int, doc_id {kind}, body long, a long, b long, blob binary")
+    passed = written(dealt.repartitionById(n, "bucket").mapInArrow(_gather, f"kind int, doc_id {kind}, body long, a long, b long, blob binary"), "shingle-pass")
+    rows = passed.filter("kind = 0").select("doc_id", "body", F.col("a").alias("name"), F.col("b").alias("size"))
+    points = passed.filter("kind = 0 and blob is not null").groupBy(F.col("a").alias("name")).agg(F.first("b").alias("size"), F.first("blob").alias("point"))
+    blocks = _blocks(passed, points, percent, cell_rows)
+    load = F.greatest(F.lit(1.0 / cell_rows), F.col("size") / cell_shingles)
+    members = rows.join(blocks, "name").groupBy("name").agg(F.first("block").alias("block"), F.first("size").alias("size"), F.min("body").alias("body")).withColumn("load", load)
+    members = written(members, "members")
+    tiles = members.groupBy("block").agg(F.ceil(F.sum("load")).cast("long").alias("tiles"))
+    placed = written(members.join(tiles, "block").withColumn("tile", F.pmod(F.xxhash64("name"), F.col("tiles"))), "placed")
+    sets = written(_sets_of(texts, placed, n_words, broadcast_rows), "sets")
+    links = [_links(sets.withColumns({"i": F.col("tile"), "j": F.col("tile"), "comp": F.col("name")}), percent)]
+    wide = placed.filter("tiles > 1").select("name", "block", "load")
+    comps = _components(links) if wide.isEmpty() else _wide(sets, wide, links, percent)
+
+    full = written(rows.join(comps, "name", "left").withColumn("comp", F.coalesce("comp", "name")), "documents")
+    known = full.filter("name is not null")
+    low = known.groupBy("comp").agg(F.min("doc_id").alias("low"))
+    own = known.groupBy("name").agg(F.min("doc_id").alias("own"))
+    return full.join(low, "comp", "left").join(own, "name", "left").select(
         "doc_id", F.col("size").cast("long").alias("n_shingles"), F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("low")).alias("component_id"),
-        F.col("name").alias("class_id"), F.col("comp").alias("component"), "body",
+        F.col("own").alias("class_id"), F.col("comp").alias("component"), "body",
     )
 
 
@@ -382,10 +556,10 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` without all but one document of each group of :func:`ngram_components`, with the same columns.
 
     The one with the smallest id stays (of rows that share it, the smallest text hash, and of equal rows one). Documents
-    without words are no group and stay; a null id is after all others.
+    without words are no group and stay, repeated rows of them too; a null id is after all others.
     """
     named = ngram_components(docs, id_col=id_col, text_col=text_col, **options)
-    grouped = named.filter("class_id is not null")
+    grouped = named.filter("component is not null")
     place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("body").alias("body"))
     first = grouped.groupBy("component").agg(F.min(place).alias("k")).select("k.doc_id", "k.body").distinct()
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
@@ -393,33 +567,3 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     bare = keyed.filter("t = ''").select("row.*")
     kept = keyed.filter("t <> ''").join(first, F.col("its").eqNullSafe(F.col("doc_id")) & (F.col("text_hash") == F.col("body")), "left_semi")
     return kept.dropDuplicates(["its", "text_hash"]).select("row.*").unionByName(bare)
-
-
-def _likely(pairs: DataFrame, pool: DataFrame, percent: int) -> DataFrame:
-    """name, lead, spare of the pairs that can link by the summed minima of their points; spare: by how much."""
-
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="uint8").reshape(-1, GROUPS) for c in ("p", "q"))
-            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
-            most = np.minimum(np.minimum(p, q).sum(axis=1, dtype="int64"), np.minimum(a, b))
-            most = np.where((p[:, 0] == 255) & (q[:, 0] == 255), np.minimum(a, b), most)
-            spare = most * (100 + percent) - percent * (a + b)
-            ok = pa.array(spare >= 0)
-            yield pa.RecordBatch.from_arrays([batch.column("name").filter(ok), batch.column("lead").filter(ok), pa.array(spare).filter(ok)], ["name", "lead", "spare"])
-
-    def its(column: str, size: str, at: str) -> DataFrame:
-        return pool.select(F.col("name").alias(at), F.col("size").alias(size), F.col("point").alias(column))
-
-    both = pairs.join(its("p", "a", "name"), "name").join(its("q", "b", "lead"), "lead")
-    return both.select("name", "lead", "a", "b", "p", "q").mapInArrow(bound, "name long, lead long, spare long")
-
-
-def _components(links: list[DataFrame]) -> DataFrame:
-    edges = links[0]
-    for more in links[1:]:
-        edges = edges.unionByName(more)
-    found = connected_components(edges.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    return written(found.select(F.col("node").alias("name"), F.col("component").alias("comp")), "components")

@@ -154,7 +154,7 @@ def test_tokens_equal_the_tokenizer():
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    whole, mine = Tokenizer.from_file(path), packing.WordIds(path)
+    whole, mine = Tokenizer.from_file(path), packing.RunIds(path)
     rng = np.random.default_rng(3)
     letters = list("abcXYZéÀßüÜ.,!-_1230 '&@×÷^~ÞØøΣσςİıé   \x1c\x85\nstTll½Ⅷ漢字<>|​") + ["<|endoftext|>"]
     for _ in range(3000):
@@ -288,7 +288,7 @@ def test_ngram_join_equals_brute_force(spark, n, percent):
     rows += ["same passage " * 30, "Same passage " * 30, "one two", "ONE  two", "one", "", None, " \t", "é É", "é é"]
     rows = [(int(i), t) for i, t in zip(rng.permutation(len(rows)), rows, strict=True)] + [(None, "one two"), (3, "repeat me now please ok")] * 2
     df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, body string")
-    got = ngram_join.ngram_components(df, n_words=n, percent=percent, cell_rows=3, star_rounds=1)
+    got = ngram_join.ngram_components(df, n_words=n, percent=percent, cell_rows=3)
     exp, sets = brute_components(rows, n, percent)
     assert sorted([(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()], key=repr) == exp
     kept = ngram_join.keep_one(df, n_words=n, percent=percent)
@@ -316,14 +316,46 @@ def test_linked_sets_share_a_key():
 
 def test_rtree_meets_all_that_can_link():
     rng = np.random.default_rng(9)
-    sets = [np.unique(rng.integers(0, 2**63, rng.integers(20, 60)).astype("uint64")) for _ in range(200)]
+    sets = [np.unique(rng.integers(0, 2**63, rng.integers(20, 60)).astype("uint64") * np.uint64(2)) for _ in range(200)]
     sets += [np.unique(np.concatenate([s[3:], rng.integers(0, 2**63, 2).astype("uint64")])) for s in sets[:100]]
-    points = np.frombuffer(b"".join(map(ngram_join.point, sets)), "uint8").reshape(len(sets), -1)
+    grid = ngram_join.grid_of(list(map(ngram_join.point, sets)))
+    assert grid.sum(axis=1).tolist() == [len(s) for s in sets]
     sizes = np.array([len(s) for s in sets])
-    tree = ngram_join.RTree(points, sizes)
+    tree = ngram_join.RTree(grid, sizes)
+    assert sorted(tree.order.tolist()) == list(range(300)) and len(tree.levels) == 3
     for k in range(0, 300, 7):
-        can = np.minimum(np.minimum(points[k], points).sum(axis=1, dtype="int64"), sizes[k])
-        assert sorted(tree.meet(points[k], int(sizes[k]), 85).tolist()) == np.flatnonzero(can * 185 >= 85 * (sizes[k] + sizes)).tolist()
+        can = np.minimum(np.minimum(grid[k], grid).sum(axis=1, dtype="int64"), sizes[k])
+        met = np.flatnonzero(can * 185 >= 85 * (sizes[k] + sizes)).tolist()
+        assert sorted(tree.meet(grid[k], int(sizes[k]), 85).tolist()) == met and len(met) < 30
+
+
+def test_cell_links_are_a_forest_of_all_links():
+    """One set of the other side or of the same, against all pairs."""
+    rng = np.random.default_rng(11)
+    base = [np.unique(rng.integers(0, 2**63, 80).astype("uint64")) for _ in range(12)]
+    sets = [np.unique(np.concatenate([b[rng.integers(0, 16) :], rng.integers(0, 2**63, rng.integers(0, 9)).astype("uint64")])) for b in base for _ in range(12)]
+    linked = [(a, b) for a in range(144) for b in range(a) if 100 * (k := len(np.intersect1d(sets[a], sets[b]))) >= 85 * (len(sets[a]) + len(sets[b]) - k)]
+    every, some = np.arange(144), np.arange(40)
+    for left, right in ((every, every), (some, np.arange(40, 144))):
+        edges = [(a, b) for a, b in linked if left is right or (a < 40) != (b < 40)]
+        exp = ngram_join.forest(144, *np.array(edges).T)
+        comp = every.copy()
+        found = ngram_join.cell_links(sets, comp, left, right, 85)
+        assert {tuple(sorted(f, reverse=True)) for f in found} <= set(edges) and len(found) == 144 - len(set(exp.tolist()))
+        assert ngram_join.forest(144, *np.array(found).T).tolist() == exp.tolist()
+
+
+def test_a_group_over_many_tiles_is_joined(spark):
+    """Near copies of one text, some linked over others only, in tiles of four sets."""
+    rng = np.random.default_rng(13)
+    base = [f"w{k}" for k in range(120)]
+    rows = [(i, " ".join(base[: 120 - 4 * (i % 9)] + [f"x{i}"] * (i % 2) + [f"v{rng.integers(900)}" for _ in range(i % 3)])) for i in range(70)]
+    rows += [(100 + i, " ".join([*base[:60], *(f"y{i // 2}_{k}" for k in range(60 + i % 2))])) for i in range(16)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.ngram_components(df, n_words=4, percent=85, cell_rows=4)
+    assert sorted([(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()], key=repr) == brute_components(rows, 4, 85)[0]
+    named = ngram_join.ngram_components(df.selectExpr("'d' || doc_id as doc_id", "text"), n_words=4, percent=85)
+    assert {r["component_id"] for r in named.collect()} >= {"d0", "d100"}
 
 
 def test_mixing(spark):
