@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,6 +93,27 @@ class Scratch:
         del _made[self.begin : end]
 
 
+_memory: dict[str, object] = {}
+
+
+def give_back() -> None:
+    """Return what this Python worker has freed to the system, so that idle workers of an executor do not hold the peak of their last task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def remembered(name: str, make: Callable[[], object]) -> object:
+    """What an operator keeps in a Python worker over its tasks (words met, a model); that of the operator before goes."""
+    if name not in _memory:
+        if _memory:
+            _memory.clear()
+            give_back()
+        _memory[name] = make()
+    return _memory[name]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -7,7 +7,7 @@ import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
-from operator import mul
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -17,6 +17,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.common import give_back, remembered
+
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 START = "▁"  # the vocabulary's mark of a word's start
 UNKNOWN = 0  # index of the piece that stands for a character outside the vocabulary
@@ -69,6 +71,40 @@ class Lattice:
         return out
 
 
+def _shares(edges: list[tuple[int, int, int]], n: int, p: list[float], longest: int) -> Iterator[tuple[int, float]]:
+    """Each edge's piece and its share of all cuts of a word of ``n`` places, by probability.
+
+    Sums forth and back are kept within range in words of any length: ``forth`` and ``back`` hold, at
+    each place, the sum times 2 to the power of minus ``fe`` or ``be`` there.
+    """
+    forth, back, fe, be = [0.0] * (n + 1), [0.0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+    forth[0] = back[n] = 1.0
+    if n <= 64:
+        for i, j, k in edges:
+            forth[j] += forth[i] * p[k]
+        for i, j, k in reversed(edges):
+            back[i] += back[j] * p[k]
+    else:
+        for sums, powers, order, at, to in ((forth, fe, edges, 0, 1), (back, be, edges[::-1], 1, 0)):
+            last = None
+            for e in order:
+                x, y, q = e[at], e[to], p[e[2]]
+                if x != last:  # all that comes to x is there
+                    last = x
+                    if sums[x]:
+                        sums[x], more = math.frexp(sums[x])
+                        powers[x] += more
+                if not sums[y]:
+                    powers[y] = powers[x]
+                elif powers[y] < powers[x]:
+                    sums[y], powers[y] = math.ldexp(sums[y], powers[y] - powers[x]), powers[x]
+                sums[y] += math.ldexp(sums[x] * q, powers[x] - powers[y])
+    if not (whole := forth[n]):
+        return
+    for i, j, k in edges:
+        yield k, math.ldexp(forth[i] * p[k] * back[j] / whole, fe[i] + be[j] - fe[n])
+
+
 def learn(counts: dict[str, dict[str, int]], pieces: dict[str, int], rounds: int = 3, prior: float = 0.02) -> tuple[list[str], dict[int, tuple[float, ...]]]:
     """Languages, and each piece's probability in each: expectation maximisation over all segmentations.
 
@@ -78,32 +114,38 @@ def learn(counts: dict[str, dict[str, int]], pieces: dict[str, int], rounds: int
     lattice, langs = Lattice(pieces), sorted(counts)
     tables = []
     for lang in langs:
-        edges = [(lattice.edges(w), len(w) + 1, c) for w, c in sorted(counts[lang].items()) if len(w) <= 64]
+        edges = [(lattice.edges(w), len(w) + 1, c) for w, c in sorted(counts[lang].items())]
         p = [1.0 / (len(pieces) + 1)] * (len(pieces) + 1)
         for _ in range(rounds):
             expected = [prior] * len(p)
             for es, n, c in edges:
-                forth, back = [0.0] * (n + 1), [0.0] * (n + 1)
-                forth[0] = back[n] = 1.0
-                for i, j, k in es:
-                    forth[j] += forth[i] * p[k]
-                if not (whole := forth[n]):
-                    continue
-                for i, j, k in reversed(es):
-                    step = back[j] * p[k]
-                    back[i] += step
-                    expected[k] += c * forth[i] * step / whole
+                for k, share in _shares(es, n, p, lattice.longest):
+                    expected[k] += c * share
             total = sum(expected)
             p = [e / total for e in expected]
         tables.append(p)
     return langs, {k: tuple(t[k] for t in tables) for k in range(len(pieces) + 1)}
 
 
+class Places(dict):
+    """Words to their rows of a table; a word not met before gets the next row and is listed as fresh."""
+
+    def __init__(self):
+        super().__init__()
+        self.rows, self.fresh = 0, []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = row = self.rows
+        self.rows += 1
+        self.fresh.append(word)
+        return row
+
+
 class Scorer:
     """Log probability of a word in every language by the forward algorithm, with a bounded memory of words."""
 
-    def __init__(self, pieces: dict[str, int], probabilities: dict[int, tuple[float, ...]], n_langs: int, keep: int = 400_000):
-        self.n, self.keep, self.known = n_langs, keep, {}
+    def __init__(self, pieces: dict[str, int], probabilities: dict[int, tuple[float, ...]], n_langs: int, keep: int = 200_000):
+        self.n, self.keep, self.places, self.values = n_langs, keep, Places(), np.empty((1 << 16, n_langs))
         self.at, self.longest = with_prefixes(pieces, UNKNOWN), max(map(len, pieces), default=1)
         self.table = np.array([probabilities[k] for k in range(len(probabilities))])
         self.rows = [tuple(r) for r in self.table.tolist()]
@@ -143,8 +185,8 @@ class Scorer:
                             f[k] /= top
         return tuple(math.log(forth[n][k]) + shift[k] for k in langs)
 
-    def learn_words(self, new: list[str]) -> None:
-        """Remember many words at once: one search finds the pieces in all of them, then the sums go from each start position of all words at a time."""
+    def many(self, new: list[str]) -> np.ndarray:
+        """:meth:`word` of many words at once: one search finds the pieces in all of them, then the sums go from each start position of all words at a time."""
         joined = "\n".join([START + w for w in new])
         size = np.array([len(w) + 2 for w in new])
         base = np.cumsum(size) - size
@@ -169,25 +211,27 @@ class Scorer:
         for i in range(len(cuts) - 1):
             e = slice(cuts[i], cuts[i + 1])
             forth[ends[e]] += forth[starts[e]] * self.table[pieces[e]]  # a word's pieces from i end at different places
-        whole = np.log(forth[base + size - 1])
-        self.known.update(zip(new, map(tuple, whole.tolist()), strict=True))
-
-    def texts(self, found: list[list[str]]) -> list[list[float]]:
-        """Each text's log probability in every language, from its words."""
-        counts, known = [Counter(f) for f in found], self.known
-        new = [w for w in set().union(*counts) if w not in known]
-        if len(known) + len(new) > self.keep:
-            known.clear()
-            new = list(set().union(*counts))
-        short = [w for w in new if len(w) <= SHORT]
+        return np.log(forth[base + size - 1])
+
+    def texts(self, found: list[list[str]]) -> np.ndarray:
+        """Each text's log probability in every language, a row each, from its words; each has one at least."""
+        rows = np.fromiter(map(self.places.__getitem__, chain.from_iterable(found)), dtype="int64", count=sum(map(len, found)))
+        fresh, self.places.fresh = self.places.fresh, []
+        first = self.places.rows - len(fresh)
+        if self.places.rows > len(self.values):
+            self.values = np.concatenate([self.values[:first], np.empty((2 * self.places.rows - first, self.n))])
+        long = np.array([len(w) > SHORT for w in fresh], dtype=bool)
+        short = np.flatnonzero(~long)
         for k in range(0, len(short), 5000):
-            self.learn_words(short[k : k + 5000])
-        rare = [w for w in new if len(w) > SHORT]
-        for w in rare:
-            known[w] = self.word(w)
-        out = [[sum(map(mul, c.values(), column)) for column in zip(*map(known.__getitem__, c), strict=True)] for c in counts]
-        for w in rare:
-            del known[w]
+            at = short[k : k + 5000]
+            self.values[first + at] = self.many([fresh[i] for i in at.tolist()])
+        for i in np.flatnonzero(long).tolist():
+            self.values[first + i] = self.word(fresh[i])
+            del self.places[fresh[i]]
+        ends = np.cumsum(list(map(len, found)))
+        out = np.add.reduceat(self.values[rows], np.concatenate([[0], ends[:-1]]), axis=0)
+        if self.places.rows > self.keep:
+            self.places = Places()
         return out
 
 
@@ -196,15 +240,9 @@ def held_out(id_col: str) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(4)) == 2
 
 
-_scorers: dict[str, Scorer | None] = {}  # of this Python worker, by model
-
-
 def _scorer(name: str, shipped: Broadcast, n_langs: int) -> Scorer | None:
     """The model's scorer, kept over this worker's tasks with the words that it has met."""
-    if name not in _scorers:
-        _scorers.clear()
-        _scorers[name] = Scorer(*shipped.value, n_langs) if n_langs else None
-    return _scorers[name]
+    return remembered(f"language {name}", lambda: Scorer(*shipped.value, n_langs)) if n_langs else None
 
 
 def fit(
@@ -254,13 +292,17 @@ def fit(
         for texts in batches:
             said = [("und", 0.0)] * len(texts)
             for some in _in_turn(texts if scorer else []):
-                for k, total in zip(some, scorer.texts(list(some.values())), strict=True):
-                    best = max(range(len(total)), key=total.__getitem__)
-                    said[k] = (langs[best], 1.0 / sum(math.exp(max(-700.0, x - total[best])) for x in total))
+                totals = scorer.texts(list(some.values()))
+                best = totals.argmax(axis=1)
+                shares = np.exp(np.maximum(totals - totals.max(axis=1, keepdims=True), -700.0)).sum(axis=1)
+                for k, b, whole in zip(some, best.tolist(), shares.tolist(), strict=True):
+                    said[k] = (langs[b], 1.0 / whole)
             yield pd.DataFrame(said, columns=["lang_pred", "score"])
+        give_back()
 
-    predict.languages = tuple(langs)
-    return predict
+    once = predict.asNondeterministic()  # or a filter on its result would call it a second time
+    once.languages = tuple(langs)
+    return once
 
 
 def _in_turn(texts: Iterable[str | None], most: int = 60_000) -> Iterator[dict[int, list[str]]]:

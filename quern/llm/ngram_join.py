@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quern.llm.common import connected_components, partitions, written
+from quern.llm.common import connected_components, give_back, partitions, remembered, written
 
 U = np.uint64
 FAN = 16  # entries of an R-tree node
-FLUSH = 2_000_000  # keys that a task holds before it sorts them
+FLUSH = 1_000_000  # keys that a task holds before it sorts them
 FULL = (1 << 16) - 1  # a count that stands for any number
 FACTORS = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % (1 << 64) for k in range(64)], dtype="uint64")
 
@@ -48,16 +48,13 @@ class WordHash(dict):
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         if len(word) <= 48:
             self[word] = h
         return h
 
 
-_hashes = WordHash()
-
-
 def shingles(text: str | None, n_words: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's word n-grams; of all its words if there are fewer; none without words.
 
@@ -66,7 +63,7 @@ def shingles(text: str | None, n_words: int) -> np.ndarray:
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not found:
         return np.empty(0, dtype="uint64")
-    h = np.fromiter(map(_hashes.__getitem__, found), dtype="uint64", count=len(found))
+    h = np.fromiter(map(remembered("word hashes", WordHash).__getitem__, found), dtype="uint64", count=len(found))
     k = min(n_words, len(h))
     out = np.full(len(h) - k + 1, k, dtype="uint64")
     for j in range(k):
@@ -237,6 +234,8 @@ def _reader(n_words: int, classes: Classes, buckets: int, id_type: pa.DataType)
                     met, held, size = {}, [], 0
         if held:
             yield from deal(np.fromiter(met, dtype="int64", count=len(met)), held)
+        del met, held
+        give_back()
 
     return read
 
@@ -257,9 +256,12 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not held:
         return
     key, name, _, several = _runs(*(np.concatenate([h[k] for h in held]) for k in (0, 1)))
+    held.clear()
     if n := int(several.sum()):
         made = {"kind": pa.array(np.full(n, 2), pa.int32()), "a": pa.array(key[several].astype("int64")), "b": pa.array(name[several])}
         yield pa.RecordBatch.from_arrays([made.get(f.name, pa.nulls(n, f.type)) for f in schema], schema=schema)
+    del key, name, several
+    give_back()
 
 
 class RTree:
@@ -567,3 +569,29 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     bare = keyed.filter("t = ''").select("row.*")
     kept = keyed.filter("t <> ''").join(first, F.col("its").eqNullSafe(F.col("doc_id")) & (F.col("text_hash") == F.col("body")), "left_semi")
     return kept.dropDuplicates(["its", "text_hash"]).select("row.*").unionByName(bare)
+
+
+#: The query's rows in SQL: an inverted index of shingles, and components by recursion. {n} words a shingle, {percent} to link.
+SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT r, array_to_string(w[k : k + {n} - 1], ' ') AS g
+  FROM (SELECT r, w, unnest(range(1, greatest(len(w) - {n} + 1, least(len(w), 1)) + 1)) AS k FROM d)
+), size AS (SELECT r, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS h FROM s GROUP BY r),
+class AS (SELECT h, any_value(n) AS n, min(r) AS r FROM size GROUP BY h),
+t AS (SELECT s.r, s.g, class.n FROM s JOIN class ON s.r = class.r),
+pair AS (
+  SELECT a.r AS x, b.r AS y FROM t a JOIN t b ON a.g = b.g AND a.r < b.r AND 100 * b.n >= {percent} * a.n AND 100 * a.n >= {percent} * b.n
+  GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))
+), edge AS (SELECT x, y FROM pair UNION ALL SELECT y, x FROM pair),
+reach AS (
+  SELECT r AS x, r AS y FROM class UNION SELECT reach.x, edge.y FROM reach JOIN edge ON reach.y = edge.x
+), root AS (SELECT x AS r, min(y) AS root FROM reach GROUP BY x),
+named AS (SELECT d.r, d.doc_id, size.n, size.h, root.root FROM d LEFT JOIN size ON d.r = size.r LEFT JOIN class ON size.h = class.h LEFT JOIN root ON class.r = root.r)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles,
+       CASE WHEN root IS NULL THEN doc_id ELSE min(doc_id) OVER (PARTITION BY root) END AS component_id,
+       CASE WHEN root IS NOT NULL THEN min(doc_id) OVER (PARTITION BY h) END AS class_id
+FROM named
+"""

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import written
+from quern.llm.common import remembered, written
 
 END_ID = 1
 
@@ -38,7 +38,7 @@ class RunIds(dict):
     LOWER = _lowered()
     RUNS = re.compile(rb"'(?:s|t|re|ve|m|ll|d)|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z\xdf-\xf6\xf8-\xff0-9\x09-\x0d ]+")
 
-    def __init__(self, path: str, keep: int = 1_000_000, longest: int = 48):
+    def __init__(self, path: str, keep: int = 300_000, longest: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
@@ -93,14 +93,9 @@ class RunIds(dict):
         return b"".join(map(self.word, text.split()))
 
 
-_encoders: dict[str, RunIds] = {}
-
-
 def encoder(path: str) -> RunIds:
     """This Python worker's encoder, kept over its tasks."""
-    if path not in _encoders:
-        _encoders[path] = RunIds(path)
-    return _encoders[path]
+    return remembered(f"runs {path}", lambda: RunIds(path))
 
 
 def token_pieces(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, tokenizer_path: str | None = None) -> DataFrame:
