@@ -1,10 +1,16 @@
-"""URL filters: rules by host and path, and a naive Bayes verdict over segmented host and path words."""
+"""URL filters: rules by host and path, and a naive Bayes verdict over segmented host and path words.
+
+The urls that a rule decides are the labelled rows: naive Bayes learns from their other words, not those
+that make the rule fit, and judges the urls that no rule decides.
+"""
 
 from __future__ import annotations
 
 import json
 import math
 import re
+import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,18 +18,9 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import ascii_lower
+from quern.llm.common import ascii_lower, remembered
 
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
-#: Words that mark a training row as one to block: spam, gambling, adult and tracking hosts.
-SEEDS = frozenset(
-    "ad ads adult bet bets betting casino cheap click clicks coupon crack escort farm free gambling jackpot keygen loan loans "
-    "lottery nude payday pill pills pharmacy poker porn prize replica sex slots spam torrent track tracker tracking viagra warez xxx".split()
-)
-#: Words of a url that say nothing about its content.
-STOP = frozenset("www com net org http https html htm php index m blog example".split())
-
-
 def host_path(url: Column) -> tuple[Column, Column]:
     """Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; path: then up to ``?``, ``#`` or the end. Empty without ``://``."""
     at = F.instr(url, "://")
@@ -108,93 +105,98 @@ class Segmenter:
         return out
 
 
-_segmenters: dict[str, Segmenter] = {}
-
-
 def _segmenter(path: str | None) -> Segmenter:
     """This Python worker's segmenter, kept over its tasks."""
-    if str(path) not in _segmenters:
-        _segmenters[str(path)] = Segmenter(word_model(path))
-    return _segmenters[str(path)]
+    return remembered(f"words {path}", lambda: Segmenter(word_model(path)))
 
 
 def tokens(segment: Segmenter, host: str, path: str) -> list[str]:
-    """``h:`` words of the host and ``p:`` words of the path, each once, so that one very long url does not outweigh the rest; a word that the vocabulary lacks is ``?``, so there are no more kinds than words."""
+    """``h:`` words of the host and ``p:`` words of the path, each once, so that one very long url does not outweigh the rest.
+
+    A word that the vocabulary lacks is one of 65,536 marks by its hash, so there are no more kinds than that and the vocabulary's words, twice.
+    """
     known = segment.model
-    return sorted({f"{k}:{w if w in known or w == '0' else '?'}" for k, part in (("h", host), ("p", path)) for w in segment(part) if w not in STOP})
+    return sorted({f"{k}:{w if w in known or w == '0' else f'#{zlib.crc32(w.encode()) & 0xFFFF:04x}'}" for k, part in (("h", host), ("p", path)) for w in segment(part)})
+
 
+def weights(counts: tuple[dict[str, int], dict[str, int]], rows: tuple[int, int], common: float) -> tuple[dict[str, float], float]:
+    """Each token's log odds of block against allow, and the prior's, by multinomial naive Bayes with one added to every count.
 
-def fit(urls: DataFrame, *, vocabulary_path: str | None = None, max_rows: int = 200_000, seeds: frozenset[str] = SEEDS, seed_count: int = 10) -> Callable[[Column, Column], Column]:
+    ``counts`` and ``rows`` are those of allow and block. A token in more than the share ``common`` of the rows is a stop word.
+    """
+    found = (rows[0] + rows[1]) * common
+    kinds = {t for c in counts for t in c if counts[0].get(t, 0) + counts[1].get(t, 0) <= found}
+    whole = [sum(n for t, n in c.items() if t in kinds) + len(kinds) for c in counts]
+    return {t: math.log((counts[1].get(t, 0) + 1) / whole[1]) - math.log((counts[0].get(t, 0) + 1) / whole[0]) for t in kinds}, math.log((rows[1] + 1) / (rows[0] + 1))
+
+
+def fit(examples: DataFrame, *, vocabulary_path: str | None = None, max_rows: int = 200_000, common: float = 0.5) -> Callable[[Column, Column], Column]:
     """A function of host and path columns to a struct column (verdict, block_score double, words string).
 
-    Multinomial naive Bayes, fitted on ``max_rows`` rows of ``urls`` (url) on average, picked by
-    a hash of the url: a row of which a segmented host word is one of ``seeds`` is an example to block, any other an example to allow. Counts
-    per word and class are summed in Spark, and each seed counts as met ``seed_count`` times more in hosts
-    to block; the model has a row per vocabulary word at most. ``block_score``
-    is the posterior of block; above one half the verdict is ``block``. No words: allow, score 0.
+    Multinomial naive Bayes, fitted on ``max_rows`` distinct rows of ``examples`` (host, path, block boolean) on average, picked by
+    a hash of host and path. Counts per word and class are summed in Spark; what reaches the driver are two rows per kind of token at most.
+    Words in more than the share ``common`` of those rows are stop words. ``block_score`` is the posterior of block; above
+    one half the verdict is ``block``. Words never met in an example weigh nothing. No words: allow, score 0.
 
-    Without an example of either class nothing tells how their words differ: then only seeds in the host weigh,
-    ``seed_count`` + 1 to 1 each, against a prior of 1 to the root of that, so one seed blocks and none allows.
+    Null host or path: empty; null block: no example. Without an example of either class nothing tells how their words differ: allow, score 0.
     """
-    spark = urls.sparkSession
-    n = urls.count()
-    distinct = urls.select("url").filter("url is not null").filter(F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < min(1.0, max_rows / max(1, n)) * (1 << 20)).distinct()
-    host, path = host_path(F.col("url"))
+    spark = examples.sparkSession
+    given = examples.filter("block is not null").select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("host", "path")], "block")
+    n = given.count()
+    distinct = given.filter(F.pmod(F.xxhash64("host", "path"), F.lit(1 << 20)) < min(1.0, max_rows / max(1, n)) * (1 << 20)).distinct()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         segment = _segmenter(vocabulary_path)
         for pdf in batches:
-            rows = []
-            for h, p in zip(pdf["host"], pdf["path"], strict=True):
-                found = tokens(segment, h, p)
-                block = int(not seeds.isdisjoint(t[2:] for t in found if t[0] == "h"))
-                rows += [(t, block, 1) for t in found] + [("", block, 1)]
-            yield pd.DataFrame(rows, columns=["token", "block", "n"])
+            met: Counter[tuple[str, int]] = Counter()
+            for h, p, b in zip(pdf["host"], pdf["path"], pdf["block"], strict=True):
+                met.update((t, int(b)) for t in [*tokens(segment, h, p), ""])
+            yield pd.DataFrame([(t, b, k) for (t, b), k in met.items()], columns=["token", "block", "n"])
 
-    counted = distinct.select(host.alias("host"), path.alias("path")).mapInPandas(count, "token string, block int, n long").groupBy("token", "block").agg(F.sum("n").alias("n"))
+    counted = distinct.mapInPandas(count, "token string, block int, n long").groupBy("token", "block").agg(F.sum("n").alias("n"))
     counts: tuple[dict[str, int], dict[str, int]] = ({}, {})
-    for r in counted.collect():  # two rows per vocabulary word at most
+    for r in counted.collect():  # two rows per kind of token at most
         counts[r["block"]][r["token"]] = r["n"]
-    rows = [c.pop("", 0) for c in counts]
-    kinds = set(counts[0]) | set(counts[1])
-    whole = [sum(c.values()) + len(kinds) + 1 for c in counts]
-    for w in seeds:  # over what was counted, so that it leaves the other words' shares as they are
-        kinds.add(f"h:{w}")
-        counts[1][f"h:{w}"] = counts[1].get(f"h:{w}", 0) + seed_count
-    weight = {t: math.log((counts[1].get(t, 0) + 1) / whole[1]) - math.log((counts[0].get(t, 0) + 1) / whole[0]) for t in kinds}
-    prior = math.log((rows[1] + 1) / (rows[0] + 1))
-    if not all(rows):
-        weight, prior = {f"h:{w}": math.log(seed_count + 1) for w in seeds}, -math.log(seed_count + 1) / 2
-    shipped: Broadcast = spark.sparkContext.broadcast((weight, prior))
+    rows = tuple(c.pop("", 0) for c in counts)
+    learned = all(rows)
+    shipped: Broadcast = spark.sparkContext.broadcast(weights(counts, rows, common) if learned else ({}, 0.0))
 
     @F.pandas_udf("verdict string, block_score double, words string")
     def judge(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         segment = _segmenter(vocabulary_path)
-        weights, prior = shipped.value
+        weigh, prior = shipped.value
         for hosts, paths in batches:
-            rows = []
-            for h, p in zip(hosts, paths, strict=True):
+            said = []
+            for h, p in zip(hosts.fillna(""), paths.fillna(""), strict=True):
                 found = tokens(segment, h, p)
-                odds = prior + sum(weights.get(t, 0.0) for t in found)
-                score = 1 / (1 + math.exp(-max(-700.0, min(700.0, odds)))) if found else 0.0
-                rows.append(("block" if score > 0.5 else "allow", score, " ".join(segment(h))))
-            yield pd.DataFrame(rows, columns=["verdict", "block_score", "words"])
+                odds = prior + math.fsum(weigh.get(t, 0.0) for t in found)
+                score = 1 / (1 + math.exp(-max(-700.0, min(700.0, odds)))) if found and learned else 0.0
+                said.append(("block" if score > 0.5 else "allow", score, " ".join(segment(h))))
+            yield pd.DataFrame(said, columns=["verdict", "block_score", "words"])
 
     return judge
 
 
+def beside_rule(host: Column, path: Column, rule: Column) -> tuple[Column, Column]:
+    """Host and path without what makes ``rule`` fit: the host's end and the path's beginning."""
+    domain, rest = F.substring_index(rule, "/", 1), F.length(rule) - F.length(F.substring_index(rule, "/", 1)) - 1
+    return F.left(host, F.length(host) - F.length(domain)), F.substr(path, rest + 2)
+
+
 def url_verdicts(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules: tuple[tuple[str, str], ...] = RULES, **fitting) -> DataFrame:
     """page_id, host, path, rule, verdict, block_score, words: a row per page.
 
-    A rule decides where one fits (:func:`rule_of`), else the fitted method (:func:`fit`);
-    ``block_score`` is the method's in either case. Null url, or one without ``://``: empty
+    A rule decides where one fits (:func:`rule_of`), and such rows are the examples, each by what is beside the rule in it; else the
+    fitted method decides (:func:`fit`). ``block_score`` is the method's in either case. Null url, or one without ``://``: empty
     host and path, no rule, allow. Urls of any length are read whole; repeated rows pass one
     for one. Empty table: empty result; other columns are ignored.
     """
     urls = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
-    judge = fit(urls.select("url"), **fitting)
     host, path = host_path(F.col("url"))
     split = urls.select("page_id", host.alias("host"), path.alias("path"))
     rule, say = rule_of(F.col("host"), F.col("path"), rules)
-    judged = split.select("page_id", "host", "path", rule.alias("rule"), say.alias("say"), judge("host", "path").alias("j"))
+    ruled = split.select("page_id", "host", "path", rule.alias("rule"), say.alias("say"))
+    h, p = beside_rule(F.col("host"), F.col("path"), F.col("rule"))
+    judge = fit(ruled.filter("rule is not null").select(h.alias("host"), p.alias("path"), (F.col("say") == "block").alias("block")), **fitting)
+    judged = ruled.withColumn("j", judge("host", "path"))
     return judged.select("page_id", "host", "path", "rule", F.coalesce("say", "j.verdict").alias("verdict"), "j.block_score", "j.words")

@@ -1,4 +1,9 @@
-"""URL filters whose sample lacks one class."""
+"""URL filters: labels from the rules, and naive Bayes against a brute-force version."""
+
+import math
+import zlib
+
+import pytest
 
 from quern.llm import url_filter
 
@@ -8,16 +13,47 @@ def verdicts(spark, urls, **fitting):
     return {r["page_id"]: (r["verdict"], r["block_score"]) for r in url_filter.url_verdicts(df, **fitting).collect()}
 
 
-def test_seed_hosts_are_blocked_when_a_class_is_empty(spark):
-    spam = [f"http://cheap-pills{i}.net/buy/{i}" for i in range(30)]
-    got = verdicts(spark, [*spam, None, "no scheme"])
-    assert all(got[k][0] == "block" for k in range(30)) and got[30] == got[31] == ("allow", 0.0)
-    clean = [f"http://gardennews{i}.net/read/casino/{i}" for i in range(200)]
-    df = spark.createDataFrame([(u,) for u in clean], "url string")
-    host, path = url_filter.host_path(df["url"])
-    judge = url_filter.fit(df)  # a sample without a seed host
-    assert {r["j"]["verdict"] for r in df.select(judge(host, path).alias("j")).collect()} == {"allow"}
-    other = spark.createDataFrame([(u,) for u in spam], "url string")
-    assert {r["j"]["verdict"] for r in other.select(judge(*url_filter.host_path(other["url"])).alias("j")).collect()} == {"block"}
-    nothing = url_filter.fit(df.limit(0))
-    assert {r["j"]["verdict"] for r in other.select(nothing(*url_filter.host_path(other["url"])).alias("j")).collect()} == {"block"}
+def ruled(block, allow, n=40):
+    """Urls that rules block and allow, with the given words beside the rule."""
+    return [f"http://{block}{k}.com/de/{block}/{k}" for k in range(n)] + [f"http://{allow}{k}.com/fr/{allow}/{k}" for k in range(n)]
+
+
+def test_hosts_that_no_rule_decides_take_the_side_of_their_words(spark):
+    """The same hosts change sides with what the rules say of their words."""
+    new = ["http://www.orangewater.net/x", "http://stonehouse.net/x", None, "no scheme"]
+    one = verdicts(spark, ruled("orange", "stone") + new)
+    two = verdicts(spark, ruled("stone", "orange") + new)
+    assert (one[80][0], one[81][0]) == ("block", "allow") and (two[80][0], two[81][0]) == ("allow", "block")
+    assert one[82] == one[83] == ("allow", 0.0)
+
+
+def test_a_class_without_an_example_leaves_all_allowed(spark):
+    for urls in (["http://a.com/fr/x"] * 5, ["http://b.com/de/x"] * 5, ["http://c.net/"]):
+        got = verdicts(spark, [*urls, "http://cheap-pills.net/buy"])
+        assert got[len(urls)] == ("allow", 0.0)
+
+
+def test_naive_bayes_equals_brute_force(spark):
+    rows = [(f"green{'' if k % 3 else 'tea'}{k % 7}.shop", f"/page/{'sale' * (k % 2)}{k}", k % 4 == 0) for k in range(60)] + [("xqzv.shop", "/page/qqx", True), (None, "/page/1", False), ("a", "b", None)]
+    df = spark.createDataFrame(rows, "host string, path string, block boolean")
+    got = {(r["host"], r["path"]): r["j"]["block_score"] for r in df.withColumn("j", url_filter.fit(df)("host", "path")).collect()}
+    segment = url_filter.Segmenter(url_filter.word_model())
+
+    def words(h, p):
+        out = set()
+        for k, part in (("h", h or ""), ("p", p or "")):
+            for w in segment(part):
+                out.add((k, w if w in segment.model or w == "0" else f"#{zlib.crc32(w.encode()) % 65536:04x}"))
+        return out
+
+    given = {(h or "", p or "", b) for h, p, b in rows if b is not None}
+    n = {b: [words(h, p) for h, p, c in given if c == b] for b in (True, False)}
+    seen = {t for b in n for w in n[b] for t in w}
+    kinds = {t for t in seen if sum(t in w for b in n for w in n[b]) <= 0.5 * len(given)}
+    assert kinds and kinds != seen
+    total = {b: sum(len(w & kinds) for w in n[b]) + len(kinds) for b in n}
+    for h, p, b in rows:
+        odds = math.log((len(n[True]) + 1) / (len(n[False]) + 1))
+        for t in words(h, p) & kinds:
+            odds += math.log((sum(t in w for w in n[True]) + 1) / total[True]) - math.log((sum(t in w for w in n[False]) + 1) / total[False])
+        assert got[(h, p)] == pytest.approx(1 / (1 + math.exp(-odds)))
