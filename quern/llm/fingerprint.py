@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Iterator
 
@@ -9,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quern.llm.common import partitions
 
@@ -123,40 +125,54 @@ def document_fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col:
 
     Documents are dealt over ranges of that order, with a copy of each range's first row for
     the range before it, so that each task reads its rows in order and holds a
-    few ten thousand characters or one text. The ranges' first keys are all that reaches the driver.
+    few ten thousand characters or one text. The ranges' first keys are all that reaches the driver; a row's range is found among them by bisection.
 
     Null text counts as empty: no names, an empty fingerprint, alike only to another empty
-    text. A single document is followed by itself. Repeated rows follow each other. Empty
+    text. A single document is followed by itself. Repeated rows follow each other. Ids may be of any type that has an order. Empty
     table: empty result; other columns are ignored.
     """
     spark = docs.sparkSession
-    kind = dict(docs.dtypes)[id_col]
+    kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col), F.lit(""))
-    key = F.struct(F.col("doc_id").isNull().alias("last"), F.bitwise_not("doc_id").alias("falling"), F.xxhash64("text").alias("hash"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("key", key)
-    n = partitions(spark)
-    laid = rows.select("key").repartitionByRange(n, "key").groupBy(F.spark_partition_id().alias("part")).agg(F.min("key").alias("key"))
-    starts = [r["key"] for r in laid.orderBy("key").collect()]
-    schema = "doc_id {}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double".format(kind)
-    if not starts:
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
+    #: Falls where the order of documents rises: falling ids, nulls after them, then rising hashes.
+    key = F.struct(F.col("doc_id").isNotNull().alias("has"), F.col("doc_id").alias("id"), F.bitwise_not(F.xxhash64("text")).alias("hash"))
+    rows = rows.withColumn("key", key)
+    laid = rows.select("key").repartitionByRange(partitions(spark), F.col("key").desc()).groupBy(F.spark_partition_id().alias("part")).agg(F.max("key").alias("key"))
+    firsts = sorted((_comparable(r["key"]) for r in laid.collect()), reverse=True)  # a key per partition
+    schema = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    if not firsts:
         return spark.createDataFrame([], schema)
-    firsts = F.lit(F.array(*[F.struct(F.lit(s["last"]).alias("last"), F.lit(s["falling"]).cast(kind).alias("falling"), F.lit(s["hash"]).alias("hash")) for s in starts]))
-    bucket = F.greatest(F.size(F.filter(firsts, lambda s: s <= F.col("key"))) - 1, F.lit(0))
-    opens = F.exists(firsts, lambda s: s == F.col("key"))
-    own = F.struct(F.col("own").alias("bucket"), F.lit(False).alias("copy"))
-    ahead = F.struct(((F.col("own") + (len(starts) - 1)) % len(starts)).alias("bucket"), F.lit(True).alias("copy"))
+    n = len(firsts)
+    rising = firsts[::-1]
+
+    @F.arrow_udf("struct<bucket: int, opens: boolean>")
+    def place(keys: pa.Array) -> pa.Array:
+        found = [_comparable((k["has"], k["id"], k["hash"])) for k in keys.to_pylist()]
+        at = [bisect.bisect_left(rising, k) for k in found]  # so many ranges begin after the key
+        opens = [a < n and rising[a] == k for a, k in zip(at, found, strict=True)]
+        return pa.StructArray.from_arrays([pa.array([max(n - 1 - a, 0) for a in at], pa.int32()), pa.array(opens)], ["bucket", "opens"])
+
+    own = F.struct(F.col("at.bucket").alias("bucket"), F.lit(False).alias("copy"))
+    ahead = F.struct(F.pmod(F.col("at.bucket") + (n - 1), F.lit(n)).cast("int").alias("bucket"), F.lit(True).alias("copy"))
     dealt = (
-        rows.withColumn("own", bucket)
-        .withColumn("to", F.explode(F.when(opens, F.array(own, ahead)).otherwise(F.array(own))))
+        rows.withColumn("at", place("key"))
+        .withColumn("to", F.explode(F.when(F.col("at.opens"), F.array(own, ahead)).otherwise(F.array(own))))
         .select("to.bucket", "to.copy", "key", "doc_id", "text")
-        .repartitionById(len(starts), "bucket")
-        .sortWithinPartitions("bucket", "copy", "key")
+        .repartitionById(n, "bucket")
+        .sortWithinPartitions("bucket", "copy", F.col("key").desc())
         .select("bucket", "copy", "doc_id", "text")
     )
-    return dealt.mapInArrow(_printer(chunk_chars), schema)
+    return dealt.mapInArrow(_printer(chunk_chars, to_arrow_type(docs.schema[id_col].dataType)), schema)
 
 
-def _printer(chunk_chars: int):
+def _comparable(key: tuple) -> tuple:
+    """A key as a tuple that Python compares as Spark does: without its id if that is null; text by its UTF-8 bytes."""
+    has, i, h = key
+    return (bool(has), i.encode("utf-8", "surrogatepass") if isinstance(i, str) else i, int(h)) if has else (False, int(h))
+
+
+def _printer(chunk_chars: int, kind: pa.DataType):
     def in_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         """Lists of rows in order; each begins with the last row of the one before."""
         held: list[tuple] = []
@@ -185,7 +201,7 @@ def _printer(chunk_chars: int):
                 continue
             yield pa.RecordBatch.from_pydict(
                 {
-                    "doc_id": pa.array([rows[k][2] for k in pairs], pa.int64()),
+                    "doc_id": pa.array([rows[k][2] for k in pairs], kind),
                     "n_chars": pa.array([len(rows[k][3]) for k in pairs], pa.int64()),
                     "edited_sha256": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited],
                     "fingerprint": [fingerprint_text(made[k]) for k in pairs],
