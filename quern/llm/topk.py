@@ -12,18 +12,32 @@ from pyspark.sql import functions as F
 from quern.llm.common import written
 
 
+#: Components under this, up to 2,048 of them, cannot overflow 64 bits in a product.
+SMALL = 1 << 26
+LONG = (1 << 63) - 1
+
+
 def _ints(column: pd.Series, scale: float) -> list[np.ndarray | None]:
-    """Each vector as floor(scale * x); None if it or a component is null or not finite."""
+    """Each vector as floor(scale * x), in Python's whole numbers if one is large; None if it or a component is null or not finite."""
     out: list[np.ndarray | None] = []
     for v in column:
-        if v is None:
+        x = None if v is None else scale * np.asarray([math.nan if c is None else c for c in v], dtype="float64")
+        if x is None or not np.isfinite(x).all():
             out.append(None)
-            continue
-        x = np.asarray([math.nan if c is None else c for c in v], dtype="float64")
-        out.append(np.floor(scale * x).astype("int64") if np.isfinite(x).all() else None)
+        elif len(x) <= 2048 and (np.abs(x) < SMALL).all():
+            out.append(np.floor(x).astype("int64"))
+        else:
+            out.append(np.array([math.floor(c) for c in x.tolist()], dtype=object))
     return out
 
 
+def _best(scores: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` highest scores, ties to the smaller row."""
+    if scores.dtype != object:
+        return np.lexsort((rows, -scores))[:k]
+    return np.array(sorted(range(len(rows)), key=lambda i: (-scores[i], rows[i]))[:k], dtype="int64")
+
+
 class SortedLists:
     """A block of vectors with one list of them per dimension, sorted by component."""
 
@@ -49,7 +63,7 @@ class SortedLists:
         if not len(used):
             rows = np.flatnonzero(self.ids != skip)[:k]
             return np.zeros(len(rows), dtype="int64"), rows
-        best_s, best_r = np.empty(0, dtype="int64"), np.empty(0, dtype="int64")
+        best_s, best_r = np.empty(0, dtype=(self.vectors[:0, :1] * query[:1]).dtype), np.empty(0, dtype="int64")
         at = 0
         while at < n:
             to = min(n, at + depth)
@@ -62,7 +76,7 @@ class SortedLists:
             rows = rows[self.ids[rows] != skip]
             best_s = np.concatenate([best_s, self.vectors[rows] @ query])
             best_r = np.concatenate([best_r, rows])
-            keep = np.lexsort((best_r, -best_s))[:k]  # rows stand in the order of ids
+            keep = _best(best_s, best_r, k)  # rows stand in the order of ids
             best_s, best_r = best_s[keep], best_r[keep]
             edge = np.concatenate([self.lists[n - to, down], self.lists[to - 1, up]])
             if len(best_s) == k and int(self.vectors[edge, used] @ query[used]) < best_s[-1]:
@@ -92,6 +106,7 @@ def exact_topk(
     are merged. A task holds ``block_rows`` + ``query_rows`` vectors on average, whatever
     the table's size, so the stated queries meet all rows block by block and no side is broadcast.
 
+    Sums are exact at any size; a score beyond the range of a long is that range's end, and such scores tie.
     Vectors that are null or hold a null or a component that is not finite take no part,
     nor do rows with a null id; vectors of different lengths are read as padded with 0.
     Rows repeated whole count once; of rows that share an id each vector is a candidate. Empty tables:
@@ -109,7 +124,8 @@ def exact_topk(
         vs, qs = _ints(rows["v"], scale), _ints(asked["v"], scale)
         ok = [i for i, v in enumerate(vs) if v is not None]
         wide = max([len(v) for v in [*vs, *qs] if v is not None], default=0)
-        grid = np.zeros((len(ok), wide), dtype="int64")
+        large = any(v is not None and v.dtype == object for v in [*vs, *qs])
+        grid = np.zeros((len(ok), wide), dtype=object if large else "int64")
         for r, i in enumerate(ok):
             grid[r, : len(vs[i])] = vs[i]
         block = SortedLists(rows["id"].to_numpy()[ok], grid)
@@ -118,7 +134,9 @@ def exact_topk(
             if q is None or not ok:
                 continue
             scores, at = block.top(np.pad(q, (0, wide - len(q))), k, i)
-            out.append(pd.DataFrame({"query_id": i, "vec_id": block.ids[at], "score": scores}))
+            if large:
+                scores = [max(-LONG, min(LONG, s)) for s in scores]
+            out.append(pd.DataFrame({"query_id": i, "vec_id": block.ids[at], "score": np.array(scores, dtype="int64")}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
 
     best = left.groupBy("block", "ask").cogroup(right.groupBy("block", "ask")).applyInPandas(answer, "query_id long, vec_id long, score long")
