@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quern.llm.common import WORD, numbered, written
 
 EDGE = 1e-9
-KEPT = ["row", "doc_id", "tie", "source", "size", "source_size", "target", "whole", "p"]
+KEPT = ["row", "doc_id", "tie", "deal", "source", "size", "source_size", "target", "whole", "p"]
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
@@ -118,12 +118,17 @@ def _copies(units: DataFrame, weights: tuple[int, ...], most: int, block_rows: i
     joined = units.join(t, F.col("source").eqNullSafe(F.col("of"))).select(
         "row", "doc_id", "tie", "source", "size", "source_size", "target", F.floor("rate").cast("long").alias("whole"), (F.col("rate") - F.floor("rate")).alias("p"), F.col("rows").alias("left_rows")
     )
-    kind = f"row long, doc_id {dict(units.dtypes)['doc_id']}, tie long, source string, size long, source_size long, target double, whole long, p double"
+    kind = f"row long, doc_id {dict(units.dtypes)['doc_id']}, tie long, deal long, source string, size long, source_size long, target double, whole long, p double"
+    # rows of one id and text are alike, so it makes no difference which of them a block gets; very many of them are dealt one by one
+    many = units.groupBy("tie").count().filter(F.col("count") > block_rows).select("tie", F.lit(True).alias("many"))
+    joined = joined.withColumn("deal", F.col("tie"))
+    if not many.isEmpty():
+        joined = joined.join(many, "tie", "left").withColumn("deal", F.when(F.col("many"), F.xxhash64("tie", "row")).otherwise(F.col("tie"))).drop("many")
     settled: list[DataFrame] = []
     waiting, depth = joined, 0
     while True:
         blocks = F.ceil(F.col("left_rows") / block_rows)
-        dealt = waiting.withColumn("last", blocks == 1).withColumn("block", F.pmod(F.xxhash64("tie", F.lit(depth)), blocks))
+        dealt = waiting.withColumn("last", blocks == 1).withColumn("block", F.pmod(F.xxhash64("deal", F.lit(depth)), blocks))
         done = written(dealt.groupBy("source", "block").applyInArrow(_flyer(depth), kind), "cube")
         fraction = (F.col("p") > 0) & (F.col("p") < 1)
         settled.append(done.filter(~fraction))
