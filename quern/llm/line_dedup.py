@@ -85,7 +85,7 @@ def line_dedup(
     Null site: one site of its own. Null id: as a document after all others, told
     apart by its text; repeated rows are cleaned alike. Null text: stays null, with 0
     lines. A text of boilerplate only becomes empty; no document is dropped. An input
-    column named n_lines or n_removed is replaced. Empty table: empty result.
+    column named n_lines or n_removed, in any case, is replaced. Empty table: empty result.
     """
     if min_sites < 3:
         raise ValueError("min_sites must be 3 or more")
@@ -107,8 +107,10 @@ def line_dedup(
         "n_lines": F.coalesce(F.size(parts), F.lit(0)).cast("long"),
         "n_removed": F.coalesce(F.size("gone"), F.lit(0)).cast("long"),
     }
-    names = [*docs.columns, *[c for c in ("n_lines", "n_removed") if c not in docs.columns]]
-    return joined.select(*[(out[c] if c in out else F.col(f"row.`{c}`")).alias(c) for c in names])
+    has = {c.lower() for c in docs.columns}  # Spark does not tell names apart by case
+    names = [*docs.columns, *[c for c in ("n_lines", "n_removed") if c not in has]]
+    made = {c.lower(): v for c, v in out.items()}
+    return joined.select(*[made.get(c.lower(), F.col(f"row.`{c}`")).alias(c) for c in names])
 
 
 #: The query's rows in SQL; {min_sites} as above.

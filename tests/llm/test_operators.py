@@ -60,6 +60,7 @@ def test_line_dedup(spark, keep_first):
     df = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, source string, pos int")
     got = line_dedup.line_dedup(df, min_sites=5, keep_first=keep_first)
     assert got.columns == ["doc_id", "text", "source", "pos", "n_lines", "n_removed"]
+    assert line_dedup.line_dedup(df.withColumnRenamed("pos", "N_Lines"), min_sites=5).columns == ["doc_id", "text", "source", "N_Lines", "n_removed"]
     assert sorted([(r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in got.collect()], key=repr) == brute_lines(rows, 5, keep_first)
     assert line_dedup.line_dedup(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
@@ -86,17 +87,45 @@ def test_forward_algorithm_sums_all_segmentations():
     table = {k: tuple(rng.uniform(0.01, 0.2, 2)) for k in range(len(pieces) + 1)}
     scorer = language_id.Scorer(pieces, table, 2)
     words = ["abc", "abcbc", "abcabc", "ac"]
-    scorer.learn_words(words + ["zbc"])
+    whole = {p: table[k] for p, k in pieces.items()} | {c: table[language_id.UNKNOWN] for c in "a"}  # a letter that is no piece
+    known = dict(zip(words + ["zbc"], scorer.many(words + ["zbc"]), strict=True))
     for w in words:
         for lang in (0, 1):
-            exp = np.log(sum(np.prod([table[pieces[p]][lang] for p in cut]) for cut in segmentations("▁" + w, pieces)) if w != "abcabc" else np.exp(scorer.word(w)[lang]))
-            assert scorer.known[w][lang] == pytest.approx(exp) and scorer.word(w)[lang] == pytest.approx(exp)
+            exp = np.log(sum(np.prod([whole[p][lang] for p in cut]) for cut in segmentations("▁" + w, whole)))
+            assert known[w][lang] == pytest.approx(exp) and scorer.word(w)[lang] == pytest.approx(exp)
     unknown = table[language_id.UNKNOWN]
-    assert scorer.known["zbc"][0] == pytest.approx(np.log(unknown[0] * (table[pieces["bc"]][0] + table[pieces["b"]][0] * table[pieces["c"]][0])))
+    assert known["zbc"][0] == pytest.approx(np.log(unknown[0] * (table[pieces["bc"]][0] + table[pieces["b"]][0] * table[pieces["c"]][0])))
     long = "abc" * 400
     assert scorer.word(long)[0] > -np.inf
 
 
+def test_expectation_maximisation_counts_all_segmentations():
+    """One round by hand, and words of any length without loss of range."""
+    pieces = {p: k for k, p in enumerate(["▁a", "▁ab", "▁b", "b", "a", "ba"], 1)}
+    counts = {"x": {"ab": 3, "aba": 1, "b": 2}}
+    langs, got = language_id.learn(counts, pieces, rounds=2, prior=0.02)
+    p = dict.fromkeys([*pieces, "?"], 1 / 7)
+    for _ in range(2):
+        expected = dict.fromkeys(p, 0.02)
+        for w, c in counts["x"].items():
+            cuts = segmentations("▁" + w, pieces)
+            chance = [np.prod([p[q] for q in cut]) for cut in cuts]
+            for cut, v in zip(cuts, chance, strict=True):
+                for q in cut:
+                    expected[q] += c * v / sum(chance)
+        p = {q: v / sum(expected.values()) for q, v in expected.items()}
+    assert langs == ["x"] and all(got[k][0] == pytest.approx(p[q]) for q, k in pieces.items())
+    lattice, flat = language_id.Lattice(pieces), [0.1, 0.2, 0.05, 0.1, 0.15, 0.2, 0.05]
+    for w in ("ab" * 30, "ab" * 45, "ab" * 4000):
+        share = {}
+        for k, v in language_id._shares(lattice.edges(w), len(w) + 1, flat, lattice.longest):
+            share[k] = share.get(k, 0.0) + v
+        length = {k: len(q) for q, k in pieces.items()}
+        assert sum(v * length[k] for k, v in share.items()) == pytest.approx(len(w) + 1)
+    _, table = language_id.learn({"x": {"ab" * 500: 1}}, pieces)
+    assert table[pieces["ba"]][0] > 0.05
+
+
 def test_language_id(spark):
     en, de = "the house and the garden with a long path", "das haus und der garten mit einem langen weg"
     rows = [(i, en if i % 2 else de, "en" if i % 2 else "de", "s") for i in range(40)] + odd_rows() + [(70, "1234 !!", "en", "s")]
@@ -122,8 +151,8 @@ URLS = [
 
 
 def test_url_rules_and_verdicts(spark):
-    spam = [(100 + i, f"http://cheap-pills{i % 3}.net/buy/{i}") for i in range(30)]
-    clean = [(200 + i, f"http://gardennews{i % 5}.net/read/{i}") for i in range(60)]
+    spam = [(100 + i, f"http://cheap-pills{i % 3}.com/de/buy/{i}") for i in range(30)] + [(150, "http://cheappills.net/buy")]
+    clean = [(200 + i, f"http://gardennews{i % 5}.org/read/{i}") for i in range(60)] + [(290, "http://garden-news.net/read")]
     df = spark.createDataFrame([(k, u[0], "clash") for k, u in enumerate(URLS)] + [(*r, "clash") for r in [*spam, *clean]], "page_id long, url string, host string")
     got = {r["page_id"]: r for r in url_filter.url_verdicts(df).collect()}
     say = dict(url_filter.RULES)
@@ -242,6 +271,23 @@ def test_fingerprints(spark):
     assert same.count() == 50
 
 
+@pytest.mark.parametrize("kind", ["int", "string", "decimal(20,0)"])
+def test_fingerprints_follow_ids_of_any_type(spark, kind):
+    rows = [(k if k % 11 else None, f"text {k} " * (k % 5 + 1), "clash") for k in range(40)] + [(7, "again", "x"), (None, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, bucket string").selectExpr(f"cast(doc_id as {kind}) as doc_id", "text", "bucket")
+    got = fingerprint.document_fingerprints(df.repartition(5))
+    assert got.schema["doc_id"].dataType == df.schema["doc_id"].dataType and got.count() == 42
+    text = lambda i: str(i) if kind == "string" else i
+    ids = sorted({text(i) for i, *_ in rows if i is not None and i != 7}, reverse=True)
+    of = {text(i): t for i, t, _ in rows}
+    by = {text(int(r["doc_id"])) if r["doc_id"] is not None else None: r for r in got.collect()}
+    for a, b in zip(ids, ids[1:], strict=False):
+        seven = (text(7) > b and text(7) < a)
+        m = len(of[a]) // 3
+        if not seven:
+            assert by[a]["edited_sha256"] == hashlib.sha256((of[a][: len(of[a]) - m] + of[b][:m]).encode()).hexdigest()
+
+
 def test_equal_substrings_share_phrases_at_any_offset():
     rng = np.random.default_rng(2)
     body = "".join(rng.choice(list("abcdefghij klmn"), 3000))
@@ -431,6 +477,9 @@ def test_topk(spark):
         best = sorted((-int(ok[q] @ ok[c]), c) for c in ok if c != q)[:10]
         exp += [(q, r, c, -s) for r, (s, c) in enumerate(best, 1)]
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == exp
+    huge = spark.createDataFrame([(0, [1e30, 1.0]), (1, [1.0, 3e6]), (2, [2.0, -1.0]), (3, [1e11, 5.0]), (4, [1.5, None])], "vec_id long, embedding array<double>")
+    best = [(r["query_id"], r["vec_id"], r["score"]) for r in topk.exact_topk(huge, huge.filter("vec_id = 3")).orderBy("rank").collect()]
+    assert best == [(3, 0, (1 << 63) - 1), (3, 2, 1024 * 10**11 * 2048 - 1024 * 5120), (3, 1, 1024 * 10**11 * 1024 + 5120 * 3072 * 10**6)]
     few = df.filter("vec_id in (0, 1, 2)")
     assert topk.exact_topk(few, few.filter("vec_id = 0")).count() == 2
     assert topk.exact_topk(df.limit(0), df.limit(0)).count() == 0
