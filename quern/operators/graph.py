@@ -8,35 +8,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as tx
+from quern.sources.scratch import settled
 
 
-def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """source, target, depth: every node that directed edges (source, target) reach from another, with the fewest steps.
+def closure(edges: DataFrame, max_depth: int | None = None, starts: DataFrame | None = None) -> DataFrame:
+    """source, target, depth: every node that directed edges (source, target) reach from another, with the fewest steps; from ``starts`` (source) only, if given.
 
     Each round joins only what the last one found, so a cycle ends by itself; rounds go on until one finds nothing new, or to ``max_depth`` steps if that is given. The reach of a provenance or taxonomy graph is the result's size.
     """
-    spark = edges.sparkSession
     e = edges.select("source", "target").distinct()
-    found = e.filter("source <> target").withColumn("depth", F.lit(1))
+    first = e if starts is None else e.join(starts.select("source").distinct(), "source")
+    found = first.filter("source <> target").withColumn("depth", F.lit(1))
     fresh = found
     hops = e.select(F.col("source").alias("target"), F.col("target").alias("next"))
     for depth in itertools.count(2) if max_depth is None else range(2, max_depth + 1):
         step = fresh.join(hops, "target").select("source", F.col("next").alias("target")).filter("source <> target").distinct()
         fresh = step.join(found.select("source", "target"), ["source", "target"], "left_anti").withColumn("depth", F.lit(depth))
-        fresh = _cut(spark, fresh)
+        fresh = settled(fresh, "closure")
         if fresh.isEmpty():
             break
         found = found.unionByName(fresh)
     return found
 
 
-def _cut(spark, df: DataFrame) -> DataFrame:
-    """Checkpoint into the session's shared folder, if it has one; else, in small local runs, on the executors, so that no round computes the earlier ones again."""
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
-        return df.checkpoint()
-    return df.localCheckpoint()
-
-
 def tree(hierarchy: DataFrame, root_kind: str, child_kind: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of rows (parent_label, label): slugs as ids, ``subclass_of`` from child to parent."""
     parents = hierarchy.select(tx.slug(F.col("parent_label")).alias("id"), F.col("parent_label").alias("label"), F.lit(root_kind).alias("kind"), F.lit(None).cast("string").alias("parent"))

@@ -44,12 +44,14 @@ def _orders_lines(spark, d):
 
 def provenance_closure(spark, d):
     """Sources that each customer's claims rest on, through orders."""
-    return graph.closure(_orders_lines(spark, d)).filter("source like 'c%'").groupBy("source").agg(F.count("*").alias("n"), F.max("depth").alias("deepest"))
+    e = _orders_lines(spark, d)
+    return graph.closure(e, starts=e.filter("source like 'c%'")).groupBy("source").agg(F.count("*").alias("n"), F.max("depth").alias("deepest"))
 
 
 def provenance_index(spark, d):
     """Reverse index: each part to the customers that rest on it."""
-    return graph.closure(_orders_lines(spark, d)).filter("source like 'c%' and target like 'p%'").groupBy("target").agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("claims"))
+    e = _orders_lines(spark, d)
+    return graph.closure(e, starts=e.filter("source like 'c%'")).filter("target like 'p%'").groupBy("target").agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("claims"))
 
 
 CLOSURE_SQL = """RECURSIVE e AS (

@@ -56,7 +56,7 @@ def long_facts(cells: DataFrame, *, dim: str, measures: dict[str, str]) -> DataF
 def matrix_facts(cells: DataFrame, *, default_year: int | None = None) -> DataFrame:
     """file, sheet, metric, month, value of metric rows under month columns: the first column of a month and the first row of a label win."""
     months = F.transform("norm", lambda c: month_of(c, default_year))
-    t = _table(cells, F.exists(F.slice(months, 2, 1000), lambda m: m.isNotNull()) & (F.size("norm") > 1))
+    t = _table(cells, F.exists(F.slice(months, F.lit(2), F.size("norm")), lambda m: m.isNotNull()) & (F.size("norm") > 1))
     flat = t.select(*SHEET, "row", F.trim(F.element_at("cells", 1)).alias("metric"), F.posexplode(F.arrays_zip("cells", "head")).alias("col", "c"))
     facts = flat.filter("col > 0").select(*SHEET, "row", "metric", "col", month_of(F.col("c.head"), default_year).alias("month"), number(F.col("c.cells")).alias("value"))
     best = facts.filter("month is not null and value is not null and metric <> ''").groupBy(*SHEET, "metric", "month").agg(F.min_by("value", F.struct("row", "col")).alias("value"))

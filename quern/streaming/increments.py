@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.sources.scratch import shared_folder
+
 
 def _state_dir(spark: SparkSession) -> str:
-    """A folder for a stream's state: in the shared folder if the session has one, else a temporary one of a local session."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="quern-stream-")
-    return f"{base.rstrip('/')}/quern-stream-{uuid.uuid4().hex}"
+    """A folder for a stream's state, in the shared folder."""
+    return f"{shared_folder(spark)}/quern-stream-{uuid.uuid4().hex}"
 
 
 def run_available(stream: DataFrame, mode: str, state: str | None = None) -> DataFrame:

@@ -31,15 +31,15 @@ def collide(spark, rows, policies, weight="records"):
 
 
 def test_collision_policies(spark):
-    rows = [("north", 203.0, 18.7), ("east", 40.0, 10.0), ("north", 1.0, 100.0)]
+    rows = [("harbour", 57.0, 31.5), ("mill", 12.0, 64.0), ("harbour", 3.0, 90.0)]
     got = collide(spark, rows, {"nps": "weighted_mean", "records": "sum"})
-    assert got["north", "nps"][0] == pytest.approx((203 * 18.7 + 100) / 204) and got["north", "records"] == (204.0, False) and got["east", "nps"] == (10.0, False)
-    assert collide(spark, rows, {})["north", "nps"] == (100.0, False)
-    assert collide(spark, rows, {"nps": "error"})["north", "nps"] == (100.0, True)
-    nulls = [("north", 10.0, 50.0), ("north", 5.0, None), ("north", None, -100.0)]
-    assert collide(spark, nulls, {"nps": "weighted_mean"})["north", "nps"] == (50.0, False)
-    none = [("north", 0.0, 50.0), ("north", None, 7.0)]
-    assert collide(spark, none, {"nps": "weighted_mean"})["north", "nps"] == (7.0, True)
+    assert got["harbour", "nps"][0] == pytest.approx((57 * 31.5 + 3 * 90) / 60) and got["harbour", "records"] == (60.0, False) and got["mill", "nps"] == (64.0, False)
+    assert collide(spark, rows, {})["harbour", "nps"] == (90.0, False)
+    assert collide(spark, rows, {"nps": "error"})["harbour", "nps"] == (90.0, True)
+    nulls = [("mill", 8.0, 42.0), ("mill", 6.0, None), ("mill", None, -7.0)]
+    assert collide(spark, nulls, {"nps": "weighted_mean"})["mill", "nps"] == (42.0, False)
+    none = [("quay", 0.0, 33.0), ("quay", None, 9.0)]
+    assert collide(spark, none, {"nps": "weighted_mean"})["quay", "nps"] == (9.0, True)
     with pytest.raises(ValueError):
         marts.resolve_collisions(spark.range(1), {"nps": "best"})
 
