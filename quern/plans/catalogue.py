@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.plans import graph_queries, ledger_queries, marts_queries, search_queries, stream_queries
+from quern.plans import evidence_queries, graph_queries, index_queries, ledger_queries, marts_queries, search_queries, stream_queries, taxonomy_queries
 
-LANES = (marts_queries, search_queries, graph_queries, ledger_queries, stream_queries)
+LANES = (marts_queries, search_queries, graph_queries, ledger_queries, stream_queries, index_queries, taxonomy_queries, evidence_queries)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for lane in LANES for name, f in lane.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for lane in LANES for name, sql in lane.ORACLES.items()}
