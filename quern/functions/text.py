@@ -116,3 +116,46 @@ def is_dimension_value(c: Column) -> Column:
 def first_tag(c: Column, families: list[tuple[str, str]]) -> Column:
     """Array of the families whose pattern the text matches, in their order."""
     return F.array_compact(F.array(*[F.when(c.rlike(pattern), F.lit(name)) for name, pattern in families]))
+
+
+def cell_name(row: Column, col: Column) -> Column:
+    """A cell's name, as in ``B3``, of a row and column from 0; columns up to 702 (``ZZ``)."""
+    letter = lambda k: F.chr((F.lit(65) + k).cast("long"))
+    return F.concat(F.when(col >= 26, letter(F.floor(col / 26) - 1)).otherwise(""), letter(F.pmod(col, F.lit(26))), (row + 1).cast("string"))
+
+
+def hamming(a: Column, b: Column) -> Column:
+    """Bits in which two 64-bit hashes differ."""
+    return F.bit_count(a.bitwiseXOR(b))
+
+
+def mean_abs(a: Column, b: Column) -> Column:
+    """Mean absolute difference of two arrays of one length; null for empty ones or where the lengths differ."""
+    total = F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y)), F.lit(0.0), lambda acc, x: acc + x)
+    return F.when(F.size(a) == F.size(b), total / F.nullif(F.size(a), F.lit(0)))
+
+
+def difference_hash(rows: Column) -> Column:
+    """A 64-bit hash of a picture of 8 rows and 9 columns of brightness: a bit for each cell that is darker than its right neighbour, row by row, the first highest."""
+    bits = F.flatten(F.transform(rows, lambda r: F.zip_with(F.slice(r, 1, 8), F.slice(r, 2, 8), lambda x, y: (x < y).cast("long"))))
+    return F.aggregate(bits, F.lit(0).cast("long"), lambda acc, b: F.shiftleft(acc, 1).bitwiseOR(b))
+
+
+def parts(c: Column, mark: str) -> Column:
+    """What stands between ``mark`` in a text, trimmed, without empty parts; null: none."""
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), rf"\Q{mark}\E"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def utc(c: Column) -> Column:
+    """An ISO time as UTC, ``yyyy-MM-ddTHH:mm:ssZ``; a time without a zone is UTC already; null if it is none."""
+    return F.date_format(F.to_utc_timestamp(F.try_to_timestamp(c), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def identity(**fields: Column) -> Column:
+    """The first 16 hex digits of the sha1 of named values as JSON with sorted keys; nulls are kept as null."""
+    return F.left(F.sha1(F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})), F.lit(16))
+
+
+def smart_title(c: Column) -> Column:
+    """Words of more than three letters in capitals only become a capital and small letters; the others stay."""
+    return F.array_join(F.transform(F.split(F.trim(c), r"\s+"), lambda w: F.when(w.rlike(r"^[A-Z]{4,}$"), F.initcap(w)).otherwise(w)), " ")

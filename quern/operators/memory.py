@@ -25,18 +25,14 @@ def current_facts(assertions: DataFrame, links: DataFrame, as_of) -> DataFrame:
 
 
 def supersede_links(assertions: DataFrame) -> DataFrame:
-    """assertion_id, relation, target: a newer assertion of another value supersedes the one before it in time; at the same instant they contradict.
+    """assertion_id, relation, target: a newer assertion of another value supersedes every earlier one of its key; at the same instant they contradict.
 
-    Links go to the assertions of the last earlier instant, whose own links lead further back, so a key with n assertions makes no n * n rows.
+    All those links are the result, as many as pairs of different values of a key (entity, predicate); equal values are not linked. Null keys, times and values link with nothing.
     """
-    w = Window.partitionBy("entity", "predicate")
-    at = assertions.select("entity", "predicate", "asserted_at").distinct().withColumn("before", F.lag("asserted_at").over(w.orderBy("asserted_at")))
-    a = assertions.join(at, ["entity", "predicate", "asserted_at"])
     prior = assertions.select("entity", "predicate", F.col("asserted_at").alias("before"), F.col("assertion_id").alias("target"), F.col("value").alias("old"))
-    newer = a.join(prior, ["entity", "predicate", "before"]).filter(F.col("value") != F.col("old")).select("assertion_id", F.lit("supersedes").alias("relation"), "target")
-    same = assertions.select("entity", "predicate", "asserted_at", F.col("assertion_id").alias("target"), F.col("value").alias("old"))
-    clash = assertions.join(same, ["entity", "predicate", "asserted_at"]).filter((F.col("value") != F.col("old")) & (F.col("assertion_id") > F.col("target"))).select("assertion_id", F.lit("contradicts").alias("relation"), "target")
-    return newer.unionByName(clash)
+    j = assertions.join(prior, ["entity", "predicate"]).filter((F.col("value") != F.col("old")) & (F.col("before") <= F.col("asserted_at")))
+    j = j.filter((F.col("before") < F.col("asserted_at")) | (F.col("assertion_id") > F.col("target")))
+    return j.select("assertion_id", F.when(F.col("before") < F.col("asserted_at"), "supersedes").otherwise("contradicts").alias("relation"), "target")
 
 
 def question_status(questions: DataFrame, answers: DataFrame, as_of) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -10,22 +11,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import words
+from quern.sources.scratch import settled
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str, least: int = 3) -> DataFrame:
-    """id, token, tf, len: one row per document and distinct token of ``least`` characters or more."""
-    tokens = docs.select(F.col(id_col).alias("id"), words(F.col(text_col), least).alias("ts"))
-    return tokens.select("id", F.size("ts").alias("len"), F.explode("ts").alias("token")).groupBy("id", "token").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+def tokenised(docs: DataFrame, id_col: str, text_col: str, least: int = 3) -> DataFrame:
+    """id, ts: each document's tokens of ``least`` characters or more; documents without any are left out."""
+    return docs.select(F.col(id_col).alias("id"), words(F.col(text_col), least).alias("ts")).filter(F.size("ts") > 0)
 
 
-def bm25(queries: DataFrame, posts: DataFrame, *, k1: float = 1.2, b: float = 0.75, floor: float = 1e-6) -> DataFrame:
-    """query_id, id, score (6 places) of every document that shares a token with a query (query_id, text).
+def bm25(queries: DataFrame, tokens: DataFrame, *, k1: float = 1.2, b: float = 0.75, floor: float = 1e-6) -> DataFrame:
+    """query_id, id, score (6 places) of every document (:func:`tokenised`) that shares a token with a query (query_id, text).
 
-    idf is ln((N - df + .5) / (df + .5)), ``floor`` at least. Only tokens of queries are kept before anything is counted but N and the mean length.
+    idf is ln((N - df + .5) / (df + .5)), ``floor`` at least. Documents are counted whole, a row each; only the
+    tokens of queries are counted one by one, and settled, since both document frequencies and scores read them.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(words(F.col("text"), 3))).alias("token"))
-    stats = posts.groupBy("id").agg(F.first("len").alias("len")).agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
-    hits = posts.join(asked.select("token").distinct(), "token", "left_semi")
+    stats = tokens.agg(F.count("*").alias("n_docs"), F.avg(F.size("ts")).alias("avg_len"))
+    each = tokens.select("id", F.size("ts").alias("len"), F.explode("ts").alias("token"))
+    hits = settled(each.join(asked.select("token").distinct(), "token", "left_semi").groupBy("id", "token").agg(F.count("*").alias("tf"), F.first("len").alias("len")), "hits")
     df = hits.groupBy("token").agg(F.count("*").alias("df"))
     one = F.broadcast(stats)  # a single row
     idf = F.greatest(F.lit(floor), F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
@@ -123,3 +126,71 @@ def retrieval_scores(ranked: DataFrame, expected: DataFrame, k: int) -> DataFram
         F.count("*").alias("n_cases"), F.count("r").alias("hits"), F.round(F.try_divide(F.count("r").cast("double"), F.count("*")), 6).alias("hit_rate"),
         F.round(F.try_divide(F.sum(F.coalesce(F.lit(1.0) / F.col("r"), F.lit(0.0))), F.count("*")), 6).alias("mrr"),
     )
+
+
+def hybrid(
+    lists: list[tuple[DataFrame, float]], chunks: DataFrame, *, pool: int = 30, k: int = 10, tags: DataFrame | None = None, only_tagged: bool = False, tag_boost: bool = False,
+    source_contains: str | None = None, as_of: str | None = None, latest_only: bool = True,
+) -> tuple[DataFrame, DataFrame]:
+    """(hits, hints) of scored lists (query_id, id, score) over chunks (id, source, status, valid_from, valid_to).
+
+    hits: query_id, id, rank, score (5 places): of each list the ``pool`` best chunks that are visible (:func:`visible`), whose source holds
+    ``source_contains`` (letters' case aside) and, with ``only_tagged``, that have a tag (tags: id) are fused by reciprocal ranks; ``tag_boost`` adds 0.6 / 61 to
+    tagged ones. Ties by id. hints: query_id, n_hidden: how many chunks of the lists are hidden by their lifecycle alone.
+    """
+    seen = visible(chunks, as_of=as_of, latest_only=latest_only).select("id", "source")
+    if source_contains is not None:
+        seen = seen.filter(F.contains(F.lower("source"), F.lit(source_contains.lower())))
+    tagged = None if tags is None else tags.select("id").distinct().withColumn("tagged", F.lit(True))
+    if only_tagged and tagged is not None:
+        seen = seen.join(tagged, "id", "left_semi")
+    parts, matched = [], None
+    for scored, weight in lists:
+        near = top_per(scored.join(seen.select("id"), "id", "left_semi"), "query_id", pool)
+        parts.append(near.select("query_id", "id", (F.lit(weight) / (60 + F.col("rank"))).alias("s")))
+        own = scored.select("query_id", "id")
+        matched = own if matched is None else matched.unionByName(own)
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    score = F.sum("s")
+    fused = every.groupBy("query_id", "id").agg(score.alias("s"))
+    if tag_boost and tagged is not None:
+        fused = fused.join(tagged, "id", "left").withColumn("s", F.col("s") + F.when(F.col("tagged"), 0.6 / 61).otherwise(0.0))
+    hits = top_per(fused.select("query_id", "id", F.round("s", 5).alias("score")), "query_id", k).select("query_id", "id", F.col("rank"), "score")
+    hidden = chunks.select("id").join(visible(chunks, as_of=as_of, latest_only=latest_only).select("id"), "id", "left_anti")
+    return hits, matched.distinct().join(hidden, "id", "left_semi").groupBy("query_id").agg(F.count("*").alias("n_hidden"))
+
+
+def resolve_names(names: DataFrame, sources: DataFrame) -> DataFrame:
+    """name, status, source, n_matches of asked names (name) against sources (source).
+
+    ``exact``; else ``folded`` if one source is equal but for letters' case; else ``unique`` if the name stands in one source alone; ``ambiguous`` if in
+    several; ``not_found``. source is null for the last two. Parts are found over the first three characters of a name, so no name meets every source.
+    """
+    s = sources.filter("source is not null").select("source").distinct().withColumn("low", F.lower("source"))
+    n = names.filter("name is not null and name <> ''").select("name").distinct().withColumn("asked", F.lower("name"))
+    ends = lambda size: F.transform(F.sequence(F.lit(1), F.greatest(F.length("low") - size + 1, F.lit(1))), lambda k: F.substr("low", k, F.lit(size)))
+    grams = s.select("source", "low", F.explode(F.array_distinct(F.concat(ends(1), ends(2), ends(3)))).alias("gram"))
+    j = n.withColumn("gram", F.left("asked", F.lit(3))).join(grams, "gram").filter(F.contains("low", F.col("asked")))
+    g = j.groupBy("name").agg(
+        F.max(F.when(F.col("source") == F.col("name"), F.col("source"))).alias("exact"), F.count_if(F.col("low") == F.col("asked")).alias("n_folded"),
+        F.max(F.when(F.col("low") == F.col("asked"), F.col("source"))).alias("folded"), F.count("*").alias("n_matches"), F.max("source").alias("one"),
+    )
+    r = n.select("name").join(g, "name", "left")
+    status = F.when(F.col("exact").isNotNull(), "exact").when(F.col("n_folded") == 1, "folded").when(F.col("n_matches") == 1, "unique").when(F.col("n_matches") > 1, "ambiguous").otherwise("not_found")
+    source = F.when(status == "exact", F.col("exact")).when(status == "folded", F.col("folded")).when(status == "unique", F.col("one"))
+    return r.select("name", status.alias("status"), source.alias("source"), F.coalesce("n_matches", F.lit(0)).alias("n_matches"))
+
+
+WRITES = frozenset("alter attach create delete detach drop insert pragma replace truncate update vacuum".split())
+
+
+def guarded(sql: str) -> str:
+    """``sql`` if it is one statement that only reads: it begins with SELECT or WITH and holds no word that writes outside of quotes; else ValueError."""
+    bare = re.sub(r"'(?:[^']|'')*'|\"[^\"]*\"|--[^\n]*|/\*.*?\*/", " ", sql, flags=re.S).strip()
+    body = bare[:-1].rstrip() if bare.endswith(";") else bare
+    tokens = re.findall(r"[a-z_]+", body.lower())
+    if ";" in body or not tokens or tokens[0] not in ("select", "with") or WRITES & set(tokens):
+        raise ValueError("one SELECT or WITH statement that only reads is allowed")
+    return sql.strip().rstrip(";")

@@ -43,9 +43,9 @@ def auto_supersede_links(spark, d):
     return memory.supersede_links(_assertions(spark, d))
 
 
-SUPERSEDE_SQL = f"""WITH {ASSERT_SQL}, t AS (SELECT entity, predicate, asserted_at, lag(asserted_at) OVER (PARTITION BY entity, predicate ORDER BY asserted_at) AS before FROM (SELECT DISTINCT entity, predicate, asserted_at FROM a))
-SELECT x.assertion_id, 'supersedes' AS relation, y.assertion_id AS target FROM a x JOIN t USING (entity, predicate, asserted_at) JOIN a y ON y.entity = x.entity AND y.predicate = x.predicate AND y.asserted_at = t.before AND y.value <> x.value
-UNION ALL SELECT x.assertion_id, 'contradicts', y.assertion_id FROM a x JOIN a y ON y.entity = x.entity AND y.predicate = x.predicate AND y.asserted_at = x.asserted_at AND y.value <> x.value AND x.assertion_id > y.assertion_id"""
+SUPERSEDE_SQL = f"""WITH {ASSERT_SQL}
+SELECT x.assertion_id, CASE WHEN y.asserted_at < x.asserted_at THEN 'supersedes' ELSE 'contradicts' END AS relation, y.assertion_id AS target
+FROM a x JOIN a y ON y.entity = x.entity AND y.predicate = x.predicate AND y.value <> x.value AND (y.asserted_at < x.asserted_at OR (y.asserted_at = x.asserted_at AND x.assertion_id > y.assertion_id))"""
 
 
 def question_status_asof(spark, d):

@@ -28,8 +28,11 @@ def _questions(spark, d):
 
 
 def _bm25(spark, d, k):
-    posts = search.postings(table(spark, d, "documents").filter("text is not null"), "doc_id", "text")
-    return search.top_per(search.bm25(_questions(spark, d), posts), "query_id", k)
+    return search.top_per(_bm25_scores(spark, d), "query_id", k)
+
+
+def _bm25_scores(spark, d):
+    return search.bm25(_questions(spark, d), search.tokenised(table(spark, d, "documents").filter("text is not null"), "doc_id", "text"))
 
 
 def bm25_topk(spark, d):
@@ -62,9 +65,48 @@ def _centroids(spark, d):
 
 def _vector_hits(spark, d, k):
     """The k nearest vectors of each label's centroid."""
+    return search.top_per(_vector_scores(spark, d), "query_id", k)
+
+
+def _vector_scores(spark, d):
     c = F.broadcast(_centroids(spark, d).select(F.col("doc").alias("query_id"), F.col("embedding").alias("q")))  # a row per label
-    scored = _vectors(spark, d).join(c, F.lit(True)).select("query_id", "id", F.round(tx.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
-    return search.top_per(scored, "query_id", k)
+    return _vectors(spark, d).join(c, F.lit(True)).select("query_id", "id", F.round(tx.cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
+
+
+def _lifecycle(spark, d):
+    """Documents as chunks with a lifecycle: some superseded, some without a status, some valid from or to a day only."""
+    k = F.col("doc_id")
+    day = lambda n: F.to_timestamp(F.lit(f"2024-0{n}-01"))
+    return table(spark, d, "documents").select(
+        k.alias("id"), "source", F.when(k % 6 == 0, "SUPERSEDED").when(k % 6 < 4, "ACTIVE").alias("status"), F.when(k % 5 == 0, day(3)).alias("valid_from"), F.when(k % 7 == 0, day(6)).alias("valid_to"),
+    )
+
+
+def _searched(spark, d):
+    x = _lifecycle(spark, d)
+    return search.hybrid([(_bm25_scores(spark, d), 0.4), (_vector_scores(spark, d), 0.6)], x, tags=x.filter("id % 4 = 1").select("id"), tag_boost=True, source_contains="SRC1", as_of="2024-07-01")
+
+
+def search_knowledge(spark, d):
+    return _searched(spark, d)[0]
+
+
+def search_hints(spark, d):
+    return _searched(spark, d)[1]
+
+
+def source_names(spark, d):
+    x = table(spark, d, "documents")
+    s = x.select(F.when(F.col("source") == "src7", "SRC7").otherwise(F.col("source")).alias("source"))
+    names = spark.createDataFrame([("src1",), ("SRC2",), ("src7",), ("c19",), ("rc1",), ("nothing",), ("Src",), ("s",)], "name string")
+    return search.resolve_names(names, s)
+
+
+NAMES_SQL = """WITH s AS (SELECT DISTINCT CASE WHEN source = 'src7' THEN 'SRC7' ELSE source END AS source FROM documents), n AS (SELECT unnest(['src1', 'SRC2', 'src7', 'c19', 'rc1', 'nothing', 'Src', 's']) AS name),
+g AS (SELECT name, max(CASE WHEN source = name THEN source END) AS exact, count(*) FILTER (WHERE lower(source) = lower(name)) AS nf, max(CASE WHEN lower(source) = lower(name) THEN source END) AS folded, count(source) AS n_matches, max(source) AS one
+  FROM n LEFT JOIN s ON contains(lower(source), lower(name)) GROUP BY name)
+SELECT name, CASE WHEN exact IS NOT NULL THEN 'exact' WHEN nf = 1 THEN 'folded' WHEN n_matches = 1 THEN 'unique' WHEN n_matches > 1 THEN 'ambiguous' ELSE 'not_found' END AS status,
+  CASE WHEN exact IS NOT NULL THEN exact WHEN nf = 1 THEN folded WHEN n_matches = 1 THEN one END AS source, n_matches FROM g"""
 
 
 def vector_topk_cosine(spark, d):
@@ -80,6 +122,9 @@ VECTOR_SQL = """c AS (
 ), ve AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM vs) WHERE rank <= 30)"""
 
 
+LIFE_SQL = """life AS (SELECT doc_id AS id, source, CASE WHEN doc_id % 6 = 0 THEN 'SUPERSEDED' ELSE 'ACTIVE' END AS status, CASE WHEN doc_id % 5 = 0 THEN TIMESTAMP '2024-03-01' END AS f, CASE WHEN doc_id % 7 = 0 THEN TIMESTAMP '2024-06-01' END AS u FROM documents)"""
+
+
 def hybrid_rrf(spark, d):
     words = _bm25(spark, d, 30).select("query_id", "id", "rank")
     near = _vector_hits(spark, d, 30).select("query_id", "id", "rank")
@@ -182,11 +227,19 @@ QUERIES = {
     f.__name__: f
     for f in (
         chunk_ids, source_catalog_page, read_document_page, bm25_topk, vector_topk_cosine, hybrid_rrf, related_pairs, related_ranked, retrieval_mrr, asof_chunks, superseded_hint,
-        conversation_export, shingle_containment,
+        conversation_export, shingle_containment, search_knowledge, search_hints, source_names,
     )
 }
 
+KNOWLEDGE_SQL = f"""WITH {BM25_SQL}, {VECTOR_SQL}, {LIFE_SQL}, v AS (SELECT id FROM life WHERE (f IS NULL OR f <= TIMESTAMP '2024-07-01') AND (u IS NULL OR u > TIMESTAMP '2024-07-01') AND contains(lower(source), 'src1')),
+x AS (SELECT query_id, id, 0.4 / (60 + row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)) AS w, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS k FROM s WHERE id IN (SELECT id FROM v)
+  UNION ALL SELECT query_id, id, 0.6 / (60 + row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)), row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) FROM vs WHERE id IN (SELECT id FROM v)),
+z AS (SELECT query_id, id, round(sum(w) + CASE WHEN id % 4 = 1 THEN 0.6 / 61 ELSE 0 END, 5) AS score FROM x WHERE k <= 30 GROUP BY query_id, id)
+SELECT * FROM (SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank, score FROM z) WHERE rank <= 10"""
+HINTS_SQL = f"""WITH {BM25_SQL}, {VECTOR_SQL}, {LIFE_SQL} SELECT query_id, count(*) AS n_hidden FROM (SELECT query_id, id FROM s UNION SELECT query_id, id FROM vs) WHERE id IN (SELECT id FROM life WHERE f > TIMESTAMP '2024-07-01' OR u <= TIMESTAMP '2024-07-01') GROUP BY query_id"""
+
 ORACLES = {
+    "search_knowledge": KNOWLEDGE_SQL, "search_hints": HINTS_SQL, "source_names": NAMES_SQL,
     "chunk_ids": f"WITH {CHUNKS_SQL} SELECT id, source, ord FROM chunks",
     "source_catalog_page": f"""WITH {CHUNKS_SQL} SELECT source, count(*) AS n_chunks, sum(length(text)) AS n_chars FROM chunks WHERE contains(lower(source), 'src1') GROUP BY source ORDER BY source LIMIT 100 OFFSET 20""",
     "read_document_page": f"""WITH {CHUNKS_SQL}, r AS (SELECT source, ord, sum(length(text)) OVER (PARTITION BY source ORDER BY ord) AS cumulative, row_number() OVER (PARTITION BY source ORDER BY ord) AS k FROM chunks),

@@ -65,7 +65,7 @@ def test_as_of_facts(spark):
     now = lambda t: [(r["value"], r["conflicted"]) for r in memory.current_facts(a, links, t).collect()]
     assert now("2025-12-01") == [("new", False)] and now("2025-09-20") == [("mid", False)] and now("2025-01-01") == []
     made = {(r["assertion_id"], r["relation"], r["target"]) for r in memory.supersede_links(a).collect()}
-    assert made == {("a2", "supersedes", "a1"), ("a3", "supersedes", "a2")}
+    assert made == {("a2", "supersedes", "a1"), ("a3", "supersedes", "a2"), ("a3", "supersedes", "a1")}
 
 
 def test_fold_pins_and_lint(spark):
@@ -94,9 +94,31 @@ def test_nearest_event(spark):
 
 def test_retrieval(spark):
     docs = spark.createDataFrame([(1, "red apple pie"), (2, "green apple"), (3, "blue sky high")], "id long, text string")
-    hits = search.top_per(search.bm25(spark.createDataFrame([(0, "Red apple?")], "query_id long, text string"), search.postings(docs, "id", "text")), "query_id", 5)
+    hits = search.top_per(search.bm25(spark.createDataFrame([(0, "Red apple?")], "query_id long, text string"), search.tokenised(docs, "id", "text")), "query_id", 5)
     assert [r["id"] for r in hits.orderBy("rank").collect()] == [1, 2]
     fused = search.fuse([(hits.select("query_id", "id", "rank"), 0.4), (spark.createDataFrame([(0, 3, 1)], "query_id long, id long, rank int"), 0.6)], 2).orderBy("rank").collect()
     assert [(r["id"], r["score"]) for r in fused] == [(3, round(0.6 / 61, 6)), (1, round(0.4 / 61, 6))]
     chunks = spark.createDataFrame([("s", k, "x" * n) for k, n in enumerate((700, 300, 50))], "source string, ord int, text string")
     assert [(r["ord"], r["next_ord"]) for r in search.document_page(chunks, max_chars=600).collect()] == [(0, 1)]
+
+
+def test_names_and_guarded_statements(spark):
+    s = spark.createDataFrame([("Alpha.md", 1), ("alpha.md", 2), ("beta/x.md", 3), (None, 4)], "source string, name int")
+    n = spark.createDataFrame([("alpha.md",), ("BETA/x.md",), ("eta",), ("ALPHA.md",), (".md",), ("zz",), (None,), ("",), ("b",)], "name string")
+    got = {r["name"]: (r["status"], r["source"], r["n_matches"]) for r in search.resolve_names(n, s).collect()}
+    assert got == {
+        "alpha.md": ("exact", "alpha.md", 2), "BETA/x.md": ("folded", "beta/x.md", 1), "eta": ("unique", "beta/x.md", 1), "ALPHA.md": ("ambiguous", None, 2), ".md": ("ambiguous", None, 3), "zz": ("not_found", None, 0),
+        "b": ("unique", "beta/x.md", 1),
+    }
+    assert search.guarded(" select 'drop; x' as a; ") == "select 'drop; x' as a"
+    for bad in ("drop table t", "select 1; select 2", "with a as (delete from t) select 1", "", "-- select", "explain select 1"):
+        with pytest.raises(ValueError):
+            search.guarded(bad)
+
+
+def test_hybrid_search_filters_before_it_ranks(spark):
+    chunks = spark.createDataFrame([(k, f"S{k % 2}", "SUPERSEDED" if k == 1 else None, None, None) for k in range(6)], "id long, source string, status string, valid_from timestamp, valid_to timestamp")
+    scored = spark.createDataFrame([("q", k, 1.0 - k / 10) for k in range(6)], "query_id string, id long, score double")
+    hits, hints = search.hybrid([(scored, 0.4), (scored.limit(0), 0.6)], chunks, pool=2, source_contains="s1", tags=chunks.filter("id = 5").select("id"), tag_boost=True)
+    assert [(r["id"], r["rank"], r["score"]) for r in hits.orderBy("rank").collect()] == [(5, 1, round(0.4 / 62 + 0.6 / 61, 5)), (3, 2, round(0.4 / 61, 5))]
+    assert [(r["query_id"], r["n_hidden"]) for r in hints.collect()] == [("q", 1)]
