@@ -15,8 +15,13 @@ from quern.sources.scratch import settled
 
 
 def tokenised(docs: DataFrame, id_col: str, text_col: str, least: int = 3) -> DataFrame:
-    """id, ts: each document's tokens of ``least`` characters or more; documents without any are left out."""
-    return docs.select(F.col(id_col).alias("id"), words(F.col(text_col), least).alias("ts")).filter(F.size("ts") > 0)
+    """id, ts, len: each document's tokens of ``least`` characters or more and their number; documents without any are left out.
+
+    The number is counted in the text, so that who needs only it makes no tokens.
+    """
+    low = F.lower(F.col(text_col))
+    runs = F.filter(F.split(low, "[^a-z0-9]+"), lambda t: F.length(t) >= least)
+    return docs.select(F.col(id_col).alias("id"), runs.alias("ts"), F.regexp_count(low, F.lit(f"[a-z0-9]{{{least},}}")).alias("len")).filter("len > 0")
 
 
 def bm25(queries: DataFrame, tokens: DataFrame, *, k1: float = 1.2, b: float = 0.75, floor: float = 1e-6) -> DataFrame:
@@ -26,8 +31,8 @@ def bm25(queries: DataFrame, tokens: DataFrame, *, k1: float = 1.2, b: float = 0
     tokens of queries are counted one by one, and settled, since both document frequencies and scores read them.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(words(F.col("text"), 3))).alias("token"))
-    stats = tokens.agg(F.count("*").alias("n_docs"), F.avg(F.size("ts")).alias("avg_len"))
-    each = tokens.select("id", F.size("ts").alias("len"), F.explode("ts").alias("token"))
+    stats = tokens.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
+    each = tokens.select("id", "len", F.explode("ts").alias("token"))
     hits = settled(each.join(asked.select("token").distinct(), "token", "left_semi").groupBy("id", "token").agg(F.count("*").alias("tf"), F.first("len").alias("len")), "hits")
     df = hits.groupBy("token").agg(F.count("*").alias("df"))
     one = F.broadcast(stats)  # a single row

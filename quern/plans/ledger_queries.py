@@ -316,3 +316,17 @@ def claim_continuity(spark, d):
 
 QUERIES |= {"bm25_task_candidates": bm25_task_candidates, "similar_titles": similar_titles, "claim_continuity": claim_continuity}
 ORACLES["bm25_task_candidates"] = TASK_SQL
+
+TITLES_SQL = """WITH p AS (SELECT DISTINCT p_type || ' ' || p_brand || ' ' || p_size AS node, p_type AS parent FROM part),
+t AS (SELECT node, unnest(list_distinct(list_filter(regexp_extract_all(lower(node), '[a-z0-9]+'), lambda w: len(w) > 1))) AS w FROM p),
+n AS (SELECT node, count(*) AS n FROM t GROUP BY node),
+q AS (SELECT DISTINCT parent, unnest(regexp_extract_all(lower(parent), '[a-z0-9]+')) AS w FROM p), m AS (SELECT parent, count(*) AS n FROM q GROUP BY parent),
+pj AS (SELECT a.parent AS a, b.parent AS b, (SELECT count(*) FROM q x JOIN q y ON x.w = y.w WHERE x.parent = a.parent AND y.parent = b.parent) AS k, a.n AS na, b.n AS nb FROM m a, m b),
+c AS (SELECT a.node, b.node AS other, count(*) AS k FROM t a JOIN t b ON a.w = b.w AND a.node <> b.node GROUP BY 1, 2),
+j AS (SELECT c.node, c.other, c.k / (x.n + y.n - c.k) AS own, pj.k / (pj.na + pj.nb - pj.k) AS up FROM c JOIN n x ON x.node = c.node JOIN n y ON y.node = c.other JOIN p pa ON pa.node = c.node JOIN p pb ON pb.node = c.other JOIN pj ON pj.a = pa.parent AND pj.b = pb.parent),
+s AS (SELECT node, other, round(least(1.0, own + CASE WHEN own >= 0.3 THEN 0.25 * up ELSE 0 END), 6) AS score FROM j)
+SELECT * FROM (SELECT node, other, score, CAST(row_number() OVER (PARTITION BY node ORDER BY score DESC, other) AS INTEGER) AS rank FROM s WHERE score >= 0.6) WHERE rank <= 2"""
+HTML_SQL = r"""WITH r AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g') AS raw FROM pages),
+t AS (SELECT page_id, trim(regexp_replace(regexp_replace(raw, '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM r)
+SELECT page_id, CAST(length(text) AS INTEGER) AS n_chars, CASE WHEN length(text) < 220 THEN 'skipped-js-rendered' ELSE 'parsed' END AS status, text FROM t"""
+ORACLES |= {"similar_titles": TITLES_SQL, "html_text": HTML_SQL}
