@@ -159,3 +159,18 @@ def identity(**fields: Column) -> Column:
 def smart_title(c: Column) -> Column:
     """Words of more than three letters in capitals only become a capital and small letters; the others stay."""
     return F.array_join(F.transform(F.split(F.trim(c), r"\s+"), lambda w: F.when(w.rlike(r"^[A-Z]{4,}$"), F.initcap(w)).otherwise(w)), " ")
+
+
+def title_runs(c: Column) -> Column:
+    """Runs of letters and digits as a capital and small letters, but for runs of three characters at most whose letters are capitals; all else stays."""
+    marked = F.regexp_replace(c, "([A-Za-z0-9]+)", "\u0001$1\u0001")
+    cap = lambda w: F.when(~w.rlike("^[A-Za-z0-9]+$") | w.rlike("^(?=.*[A-Z])[A-Z0-9]{1,3}$"), w).otherwise(F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substr(w, F.lit(2)))))
+    return F.array_join(F.transform(F.split(marked, "\u0001"), cap), "")
+
+
+def preview(body: Column, title: Column, chars: int = 200) -> Column:
+    """The first characters of a section's own words: white space as single spaces, without the title (less a leading ``p3 ·`` and a closing ``(part 2)``) and a page number at the beginning."""
+    flat = lambda x: F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), r"\s+", " "))
+    text, stem = flat(body), flat(F.regexp_replace(title, r"(?i)^\s*p\d+\s*·\s*|\s*\(part \d+\)\s*$", ""))
+    rest = F.regexp_replace(F.regexp_replace(F.substr(text, F.length(stem) + 1), "^[ .:—·-]+", ""), r"^\d{1,4}\s+", "")
+    return F.left(F.when((stem != "") & F.startswith(F.lower(text), F.lower(stem)), rest).otherwise(text), F.lit(chars))

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions.text import header, is_dimension_value, title_runs
+
 KEY = ["family", "metric", "grain", "entity", "month"]
 POLICIES = ("last", "first", "max", "min", "sum", "mean", "weighted_mean", "error")
 
@@ -204,3 +206,40 @@ def forward_fill(cells: DataFrame) -> DataFrame:
     group = F.count(F.when(F.col("label").isNotNull(), 1)).over(w)
     g = cells.withColumn("g", group)
     return g.withColumn("month", F.first(F.when(is_month, F.col("label")), ignorenulls=True).over(Window.partitionBy("row_id", "g").orderBy("col").rowsBetween(Window.unboundedPreceding, 0))).drop("g")
+
+
+def nested_versions(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """``rows`` with other_values: the reports of their key with another value (source_file, value, reported_in), by file; empty without any. Keys are nested one by one, each as long as it has reports."""
+    other = facts.select(*KEY, F.struct("source_file", "value", "reported_in").alias("o")).join(rows.select(*KEY, F.col("value").alias("now")).distinct(), KEY)
+    differing = other.filter(F.bround("o.value", 9) != F.bround("now", 9)).groupBy(*KEY).agg(F.array_sort(F.collect_set("o")).alias("other_values"))
+    return rows.join(differing, KEY, "left").withColumn("other_values", F.coalesce("other_values", F.array().cast(differing.schema["other_values"].dataType)))
+
+
+def attach_merges(rows: DataFrame, merges: DataFrame) -> DataFrame:
+    """``rows`` with merged_from (policy, n_rows, inputs) of the merge with their key and file, null if none: the value came of several rows of one file."""
+    own = [*KEY, "source_file"]
+    m = merges.dropDuplicates(own).select(*own, F.struct("policy", "n_rows", "inputs").alias("merged_from"))
+    return rows.join(m, own, "left")
+
+
+def build_coverage(facts: DataFrame) -> DataFrame:
+    """family, metric, grain, n_rows, n_months, n_entities."""
+    return facts.groupBy("family", "metric", "grain").agg(F.count("*").alias("n_rows"), F.count_distinct("month").alias("n_months"), F.count_distinct("entity").alias("n_entities"))
+
+
+def conformed(values: DataFrame, aliases: DataFrame, *, titled: tuple[str, ...] = ()) -> DataFrame:
+    """``values`` (dim, value) with entity: an alias (dim, norm, entity) of the value in header form, else the value with single spaces, in title case for the dimensions ``titled``. Null value: null."""
+    flat = F.trim(F.regexp_replace("value", r"\s+", " "))
+    a = aliases.dropDuplicates(["dim", "norm"]).select("dim", F.col("norm").alias("key_"), F.col("entity").alias("alias_"))
+    j = values.withColumn("key_", header(F.col("value"))).join(a, ["dim", "key_"], "left")
+    return j.select(*values.columns, F.coalesce("alias_", F.when(F.col("dim").isin(*titled), title_runs(flat)).otherwise(flat)).alias("entity"))
+
+
+def mapped_ambiguous(rows: DataFrame, mapping: DataFrame) -> DataFrame:
+    """``rows`` (sheet, raw) with entity: spellings that meet others of their sheet in header form, and only those, go through the mapping (raw, entity), as they are or trimmed; all others stay."""
+    spelt = rows.filter(is_dimension_value(F.col("raw"))).select("sheet", header(F.col("raw")).alias("fold"), "raw")
+    clash = spelt.groupBy("sheet", "fold").agg(F.count_distinct("raw").alias("n")).filter("n > 1").select("sheet", "fold", F.lit(True).alias("clash"))
+    m = mapping.dropDuplicates(["raw"])
+    exact, loose = (m.select(F.col("raw").alias(k), F.trim("entity").alias(v)) for k, v in (("k1", "e1"), ("k2", "e2")))
+    j = rows.withColumns({"fold": header(F.col("raw")), "k1": F.col("raw"), "k2": F.trim("raw")}).join(clash, ["sheet", "fold"], "left").join(exact, "k1", "left").join(loose, "k2", "left")
+    return j.select(*rows.columns, F.when(F.col("clash"), F.coalesce("e1", "e2", "raw")).otherwise(F.col("raw")).alias("entity"))

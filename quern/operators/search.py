@@ -199,3 +199,25 @@ def guarded(sql: str) -> str:
     if ";" in body or not tokens or tokens[0] not in ("select", "with") or WRITES & set(tokens):
         raise ValueError("one SELECT or WITH statement that only reads is allowed")
     return sql.strip().rstrip(";")
+
+
+def tagged_sections(chunks: DataFrame, tags: DataFrame, label: str, limit: int = 20) -> DataFrame:
+    """id, source, ord of the first ``limit`` chunks, by source and place, with a tag (chunk_id, category_label) of that label, in any case."""
+    own = tags.filter(F.lower("category_label") == label.lower()).select(F.col("chunk_id").alias("id"))
+    return chunks.join(own, "id", "left_semi").select("id", "source", "ord").orderBy("source", "ord", "id").limit(limit)
+
+
+def retag_candidates(asked: DataFrame, tokens: DataFrame, tags: DataFrame, k: int = 20) -> DataFrame:
+    """query_id, id, score, rank: for each category (query_id, text) the k best chunks (:func:`tokenised`) by BM25 that it does not tag yet (chunk_id, category_id)."""
+    have = tags.select(F.col("category_id").alias("query_id"), F.col("chunk_id").alias("id")).distinct()
+    return top_per(bm25(asked, tokens).join(have, ["query_id", "id"], "left_anti"), "query_id", k)
+
+
+def section_evidence(hits: DataFrame, asked: DataFrame, sources: int = 3) -> DataFrame:
+    """query_id, n_hits, first_sources (the first distinct ones by rank, joined), no_evidence: what each question (query_id) found (query_id, source, rank)."""
+    per = hits.groupBy("query_id", "source").agg(F.min("rank").alias("rank"), F.count("*").alias("n"))
+    top = top_per(per.withColumn("score", -F.col("rank")), "query_id", sources, tie="source")
+    names = top.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("rank"), "source"))), lambda x: x["source"]), "|").alias("first_sources"))
+    total = per.groupBy("query_id").agg(F.sum("n").alias("n_hits"))
+    out = asked.select("query_id").distinct().join(total, "query_id", "left").join(names, "query_id", "left")
+    return out.select("query_id", F.coalesce("n_hits", F.lit(0)).alias("n_hits"), "first_sources", F.col("n_hits").isNull().alias("no_evidence"))
