@@ -43,9 +43,9 @@ def folded(c: Column) -> Column:
 
 
 def shingles(tokens: Column, k: int) -> Column:
-    """Distinct runs of k tokens joined by spaces; empty with fewer tokens."""
-    runs = F.transform(F.sequence(F.lit(1), F.size(tokens) - k + 1), lambda i: F.array_join(F.slice(tokens, i, k), " "))
-    return F.when(F.size(tokens) >= k, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+    """Distinct runs of k tokens joined by spaces; empty with fewer tokens. The tokens are bound to a variable, or each run would make them again."""
+    runs = lambda t: F.transform(F.sequence(F.lit(1), F.size(t) - k + 1), lambda i: F.array_join(F.slice(t, i, k), " "))
+    return F.element_at(F.transform(F.array(tokens), lambda t: F.when(F.size(t) >= k, F.array_distinct(runs(t))).otherwise(F.array().cast("array<string>"))), 1)
 
 
 def jaccard(a: Column, b: Column) -> Column:
