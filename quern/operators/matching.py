@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import difflib
+import re
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as tx
+from quern.sources.scratch import settled
 
 TAG = r"\[(RAG|FILE|TASK|URL):([^\]]*)\]"
 ID_MARK = r"<!--\s*c:([0-9a-z]+)[^>]*-->\s*$"
@@ -111,3 +113,50 @@ def match_claims(base: DataFrame, draft: DataFrame, least: float = 0.9) -> DataF
     cols = ["task", "section", "pos", "claim_id", "normalized", "tags"]
     key = ["task", "section"]
     return base.select(*cols).groupBy(*key).cogroup(draft.select(*cols).groupBy(*key)).applyInPandas(_matcher(least), "task string, section string, pos long, base_id string, category string")
+
+
+def redundant_pairs(frames: DataFrame, *, least: float = 0.75, min_tokens: int = 15) -> DataFrame:
+    """a, b, n_a, n_b, score (3 places): pairs of frames (id, body) whose sets of words of three characters or more have a Jaccard of ``least``, of ``min_tokens`` words at least.
+
+    Frames of one set are a class, named by its smallest id with n_a or n_b frames; pairs are between classes. A pair of sets
+    shares one of the rarest words of each, as many as can be missing and one more, so only those are joined.
+    """
+    sets = frames.select("id", F.array_sort(F.array_distinct(tx.words(F.col("body"), 3))).alias("ts")).distinct().filter(F.size("ts") >= min_tokens)
+    classes = settled(sets.groupBy("ts").agg(F.min("id").alias("id"), F.count("*").alias("n")), "classes")
+    df = classes.select(F.explode("ts").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
+    own = classes.select("id", F.size("ts").alias("size"), F.explode("ts").alias("w")).join(df, "w")
+    kept = F.col("size") - F.ceil(F.col("size") * F.lit(least) - 1e-9) + 1
+    ranked = own.groupBy("id", "size").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("ws"))
+    keys = ranked.select("id", "size", F.explode(F.slice("ws", F.lit(1), kept.cast("int"))).alias("k")).select("id", "size", F.col("k.w").alias("w"))
+    other = keys.select(F.col("id").alias("b"), F.col("size").alias("size_b"), "w")
+    near = keys.join(other, "w").filter((F.col("id") < F.col("b")) & (F.least("size", "size_b") >= F.greatest("size", "size_b") * least - 1e-9)).select(F.col("id").alias("a"), "b").distinct()
+    side = lambda s: classes.select(F.col("id").alias(s), F.col("ts").alias(f"t{s}"), F.col("n").alias(f"n_{s}"))
+    j = near.join(side("a"), "a").join(side("b"), "b").withColumn("s", tx.jaccard(F.col("ta"), F.col("tb")))
+    return j.filter(F.col("s") >= least).select("a", "b", "n_a", "n_b", F.round("s", 3).alias("score"))
+
+
+def cluster_anchors(members: DataFrame, tags: DataFrame) -> DataFrame:
+    """group, member, n_tags, anchor, overlap of groups of labels (group, member, pos): the anchor is the member that tags (chunk_id, category_id) most chunks, the earliest of equals; overlap counts the chunks that a member shares with it, null for the anchor."""
+    m = members.select("group", "member", "pos").distinct()
+    t = tags.select("chunk_id", F.col("category_id").alias("member")).distinct()
+    counted = m.join(t.groupBy("member").agg(F.count("*").alias("n_tags")), "member", "left").withColumn("n_tags", F.coalesce("n_tags", F.lit(0)))
+    best = counted.groupBy("group").agg(F.max_by("member", F.struct(F.col("n_tags"), -F.col("pos"))).alias("anchor"))
+    j = counted.join(best, "group")
+    held = t.withColumnRenamed("member", "anchor")
+    shared = j.filter("member <> anchor").select("group", "member", "anchor").join(t, "member").join(held, ["anchor", "chunk_id"]).groupBy("group", "member").agg(F.count("*").alias("both"))
+    out = j.join(shared, ["group", "member"], "left")
+    return out.select("group", "member", "n_tags", "anchor", F.when(F.col("member") != F.col("anchor"), F.coalesce("both", F.lit(0))).alias("overlap"))
+
+
+def modality_flags(claims: DataFrame, quotes: DataFrame, *, hedges: list[str], keeps: list[str]) -> DataFrame:
+    """claim, tag, marker: quotes (claim, tag, quote) that are hedged, by a closing question mark or the longest of ``hedges`` in whole words, of claims (claim, text) that neither ask nor hold one of ``keeps``."""
+    whole = lambda c, word: F.lower(c).rlike(rf"(?<!\w){re.escape(word)}(?!\w)")
+    text = F.trim(F.coalesce("text", F.lit("")))
+    open_ = text.endswith("?")
+    for w in keeps:
+        open_ = open_ | whole(text, w)
+    quote = F.trim(F.coalesce("quote", F.lit("")))
+    marker = F.when(quote.endswith("?"), "?")
+    for w in sorted(hedges, key=lambda x: (-len(x), x)):
+        marker = marker.when(whole(quote, w), w)
+    return claims.filter(~open_).select("claim").join(quotes, "claim").select("claim", "tag", marker.alias("marker")).filter("marker is not null")

@@ -91,3 +91,41 @@ def annotation_cells(cells: DataFrame, *, least: int = 40) -> DataFrame:
     down = Window.partitionBy(*SHEET, "col").orderBy("row")
     seen = flat.withColumns({"l": F.lag("text").over(across), "r": F.lead("text").over(across), "d": F.lead("text").over(down), "p": F.lag("col").over(across)})
     return seen.filter((F.length("text") >= least) & F.col("text").rlike(r"[.!?]") & F.col("l").isNull() & F.col("r").isNull() & F.col("d").isNull() & (F.col("col") > 0)).select(*SHEET, "row", "col", "text")
+
+
+def tolerant_facts(cells: DataFrame, *, dims: dict[str, list[str]], measures: dict[str, str], entity: str | None = None, scan: int = 40) -> DataFrame:
+    """file, sheet, row, grain, metric, entity, value of sheets without a template.
+
+    The header is the first of the first ``scan`` rows that holds a column of ``dims`` (grain to header names) and one of ``measures`` (header to
+    metric). The grain is the one whose column, the first of its names found, has most distinct values below; ties to the earlier in ``dims``.
+    ``entity``: a pattern from the value's beginning, whose first group becomes the entity where it fits. Blank rows don't end the table.
+    """
+    names, heads = [c.lower() for cs in dims.values() for c in cs], [m.lower() for m in measures]
+    n = cells.withColumn("norm", F.transform("cells", lambda c: header(c)))
+    has = lambda xs: F.coalesce(F.arrays_overlap("norm", F.array(*[F.lit(x) for x in xs])), F.lit(False))
+    first = n.groupBy(*SHEET).agg(F.min("row").alias("top"))
+    head = n.filter(has(names) & has(heads)).join(first, SHEET).filter(F.col("row") < F.col("top") + scan).groupBy(*SHEET).agg(F.min("row").alias("at"), F.min_by("norm", "row").alias("head"))
+    below = cells.join(head, SHEET).filter(F.col("row") > F.col("at"))
+    col = lambda name: F.nullif(F.array_position("head", F.lit(name.lower())), F.lit(0)).cast("int")
+    grains = F.array(*[F.struct(F.lit(g).alias("grain"), F.lit(-k).alias("k"), F.coalesce(*[col(c) for c in cs]).alias("col")) for k, (g, cs) in enumerate(dims.items())])
+    spread = below.select(*SHEET, "cells", F.explode(F.filter(grains, lambda g: g["col"].isNotNull())).alias("g")).withColumn("v", F.trim(F.try_element_at("cells", F.col("g.col"))))
+    per = spread.groupBy(*SHEET, "g").agg(F.count_distinct(F.when(is_dimension_value(F.col("v")), F.col("v"))).alias("n"))
+    best = per.groupBy(*SHEET).agg(F.max_by("g", F.struct("n", "g.k")).alias("g"))
+    raw = F.trim(F.try_element_at("cells", F.col("g.col")))
+    keyed = below.join(best, SHEET).withColumn("raw", raw).filter(is_dimension_value(F.col("raw")))
+    named = F.when(F.col("raw").rlike(f"^(?:{entity})"), F.regexp_extract("raw", f"^(?:{entity})", 1)).otherwise(F.col("raw")) if entity else F.col("raw")
+    pick = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), col(h).alias("at")) for h, m in measures.items()]))
+    found = keyed.select(*SHEET, "row", F.col("g.grain").alias("grain"), named.alias("entity"), "cells", pick.alias("m")).filter("m.at is not null")
+    return found.select(*SHEET, "row", "grain", "m.metric", "entity", number(F.try_element_at("cells", F.col("m.at"))).alias("value")).filter("value is not null")
+
+
+def sheet_profiles(cells: DataFrame, *, scan: int = 25, samples: int = 3) -> DataFrame:
+    """file, sheet, n_rows, n_cols, header_row, columns, samples: the header is the first of the first ``scan`` rows with two cells or more of which 60 % and at least two are words; the samples are rows after it."""
+    filled = F.filter("cells", lambda c: F.coalesce(F.trim(c), F.lit("")) != "")
+    told = F.size(F.filter(filled, lambda c: c.try_cast("double").isNull()))
+    per = cells.groupBy(*SHEET).agg(F.count("row").alias("n_rows"), F.coalesce(F.max(F.size("cells")), F.lit(0)).alias("n_cols"), F.min("row").alias("top"))
+    likely = (F.size(filled) >= 2) & (told >= F.greatest(F.lit(2), F.floor(F.size(filled) * 0.6)))
+    head = cells.filter(likely).join(per.select(*SHEET, "top"), SHEET).filter(F.col("row") < F.col("top") + scan).groupBy(*SHEET).agg(F.min("row").alias("header_row"), F.min_by(filled, "row").alias("columns"))
+    below = cells.join(head.select(*SHEET, "header_row"), SHEET).filter((F.col("row") > F.col("header_row")) & (F.col("row") <= F.col("header_row") + samples))
+    shown = below.groupBy(*SHEET).agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "cells"))), lambda x: F.array_join(x["cells"], " | ", "")).alias("samples"))
+    return per.join(head, SHEET, "left").join(shown, SHEET, "left").select(*SHEET, "n_rows", "n_cols", "header_row", F.transform("columns", lambda c: F.trim(c)).alias("columns"), "samples")
