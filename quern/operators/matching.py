@@ -119,7 +119,8 @@ def redundant_pairs(frames: DataFrame, *, least: float = 0.75, min_tokens: int =
     """a, b, n_a, n_b, score (3 places): pairs of frames (id, body) whose sets of words of three characters or more have a Jaccard of ``least``, of ``min_tokens`` words at least.
 
     Frames of one set are a class, named by its smallest id with n_a or n_b frames; pairs are between classes. A pair of sets
-    shares one of the rarest words of each, as many as can be missing and one more, so only those are joined.
+    shares one of the rarest words of each, as many as can be missing and one more, so only those are joined, and only where
+    enough words follow the first shared one.
     """
     sets = frames.select("id", F.array_sort(F.array_distinct(tx.words(F.col("body"), 3))).alias("ts")).distinct().filter(F.size("ts") >= min_tokens)
     classes = settled(sets.groupBy("ts").agg(F.min("id").alias("id"), F.count("*").alias("n")), "classes")
@@ -127,9 +128,11 @@ def redundant_pairs(frames: DataFrame, *, least: float = 0.75, min_tokens: int =
     own = classes.select("id", F.size("ts").alias("size"), F.explode("ts").alias("w")).join(df, "w")
     kept = F.col("size") - F.ceil(F.col("size") * F.lit(least) - 1e-9) + 1
     ranked = own.groupBy("id", "size").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("ws"))
-    keys = ranked.select("id", "size", F.explode(F.slice("ws", F.lit(1), kept.cast("int"))).alias("k")).select("id", "size", F.col("k.w").alias("w"))
-    other = keys.select(F.col("id").alias("b"), F.col("size").alias("size_b"), "w")
-    near = keys.join(other, "w").filter((F.col("id") < F.col("b")) & (F.least("size", "size_b") >= F.greatest("size", "size_b") * least - 1e-9)).select(F.col("id").alias("a"), "b").distinct()
+    keys = ranked.select("id", "size", F.posexplode(F.slice("ws", F.lit(1), kept.cast("int"))).alias("pos", "k")).select("id", "size", "pos", F.col("k.w").alias("w"))
+    other = keys.select(F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("pos").alias("pos_b"), "w")
+    left = F.least(F.col("size") - F.col("pos"), F.col("size_b") - F.col("pos_b"))  # words from this one on
+    fits = (left >= (F.col("size") + F.col("size_b")) * (least / (1 + least)) - 1e-9) & (F.least("size", "size_b") >= F.greatest("size", "size_b") * least - 1e-9)
+    near = keys.join(other, "w").filter((F.col("id") < F.col("b")) & fits).select(F.col("id").alias("a"), "b").distinct()
     side = lambda s: classes.select(F.col("id").alias(s), F.col("ts").alias(f"t{s}"), F.col("n").alias(f"n_{s}"))
     j = near.join(side("a"), "a").join(side("b"), "b").withColumn("s", tx.jaccard(F.col("ta"), F.col("tb")))
     return j.filter(F.col("s") >= least).select("a", "b", "n_a", "n_b", F.round("s", 3).alias("score"))
