@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chat, fingerprint, language_id, line_dedup, mixing, ngram_join, packing, sharding, topk, url_filter
+from quern.llm import chat, fingerprint, language_id, line_dedup, mixing, ngram_join, packing, periodic, sharding, spelling, topk, url_filter
 from quern.llm.common import table
 
 
@@ -57,6 +57,17 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate_perspectives(table(spark, sf_dir, "conversations"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    edited = docs.select("doc_id", periodic.planted(F.col("doc_id"), F.col("text")).alias("text"))
+    return periodic.digests(periodic.periodic_runs(edited, least=6, times=4))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = spelling.word_counts(table(spark, sf_dir, "documents"), min_length=6, slip=199)
+    return spelling.spelling_variants(counts, min_count=5, ratio=5).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_language_id": op2_language_id,
@@ -68,6 +79,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_exact_topk_search": op9_exact_topk_search,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 
 ORACLES: dict[str, str] = {
@@ -75,4 +88,6 @@ ORACLES: dict[str, str] = {
     "op6_ngram_jaccard_join": ngram_join.SQL.format(n=4, percent=85),
     "op9_exact_topk_search": topk.SQL,
     "op10_chat_formatting": chat.SQL,
+    "op11_periodic_runs": periodic.SQL,
+    "op12_spelling_variants": spelling.SQL,
 }
