@@ -66,6 +66,12 @@ def sweep(spark: SparkSession) -> None:
 _made: list[str] = []  # what `written` has written, in order
 
 
+def place(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes as tables of :func:`written` do."""
+    _made.append(f"{_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return a scan of it.
 
@@ -73,9 +79,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     stages before this table, and the rows are computed once however often they are read.
     """
     spark = df.sparkSession
-    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = place(spark, name)
     df.write.parquet(path)
-    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

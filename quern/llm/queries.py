@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import chat, fingerprint, language_id, line_dedup, mixing, ngram_join, packing, periodic, sharding, spelling, topk, url_filter
+from quern.llm import chat, fingerprint, language_id, line_dedup, mixing, ngram_join, packing, periodic, sharding, spelling, token_files, topk, url_filter
 from quern.llm.common import table
 
 
@@ -68,6 +68,11 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(counts, min_count=5, ratio=5).select("word", "form", "root", "n", "n_near", "form_n")
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return token_files.read_token_files(token_files.write_token_files(docs), dict(docs.dtypes)["doc_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_language_id": op2_language_id,
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_formatting": op10_chat_formatting,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_token_files": op13_token_files,
 }
 
 ORACLES: dict[str, str] = {

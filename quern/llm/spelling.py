@@ -74,7 +74,7 @@ def _halves(rows: DataFrame) -> DataFrame:
     """Each row's window (begin, end) as its two halves, with the key that names all of the word but the window."""
     mid = F.expr("cast((begin + end) div 2 as int)")
     halves = rows.withColumn("half", F.explode(F.array(F.struct(F.col("begin").alias("x"), mid.alias("y")), F.struct(mid.alias("x"), F.col("end").alias("y")))))
-    open_ = halves.select("word", "n", "length", "longer", F.col("half.x").alias("begin"), F.col("half.y").alias("end"))
+    open_ = halves.filter("half.x < half.y").select("word", "n", "length", "longer", F.col("half.x").alias("begin"), F.col("half.y").alias("end"))
     head, tail = F.expr("left(word, begin)"), F.expr("right(word, length - end)")
     return open_.withColumn("key", F.xxhash64("length", "begin", "end", head, tail))
 
