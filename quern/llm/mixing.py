@@ -7,8 +7,9 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from quern.llm.common import WORD, numbered, written
 
@@ -98,7 +99,7 @@ def _flyer(depth: int):
     """One block's flight, and its landing if it is the last of its source."""
 
     def fly(block: pa.Table) -> pa.Table:
-        block = block.sort_by([("tie", "ascending"), ("size", "ascending"), ("row", "ascending")])
+        block = block.sort_by([("tie", "ascending"), ("size", "ascending"), ("deal", "ascending")])
         p, size = block["p"].to_numpy().copy(), block["size"].to_numpy()
         due = float(p @ size)
         flight(p, size, np.random.default_rng([depth, block["block"][0].as_py(), zlib.crc32(repr(block["source"][0].as_py()).encode())]))
@@ -110,20 +111,36 @@ def _flyer(depth: int):
     return fly
 
 
+def _dealt(units: DataFrame, salts: int = 32) -> DataFrame:
+    """``units`` with deal: a hash of ``tie``, and for rows of one source and tie of their number among those by ``mark``, so that it tells which row is which but not where it was read.
+
+    Rows that are equal (in their mark too) are numbered by salted parts, since a third of all rows can be equal; which of them has which number makes no difference.
+    """
+    group = ["source", "tie", "mark", "salt"]
+    several = units.groupBy("source", "tie").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("source").alias("of"), F.col("tie").alias("its"), F.lit(True).alias("several"))
+    marked = units.join(several, F.col("source").eqNullSafe(F.col("of")) & (F.col("tie") == F.col("its")), "left").drop("of", "its")
+    once = marked.filter("several is null").withColumn("deal", F.xxhash64("tie", F.lit(0).cast("long")))
+    alike = written(marked.filter("several").withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts))), "equal-rows")
+    parts = alike.groupBy(*group).agg(F.count("*").alias("n"))
+    ahead = parts.withColumn("ahead", F.sum("n").over(Window.partitionBy("source", "tie").orderBy("mark", "salt")) - F.col("n"))  # a row per different row and salt
+    ahead = ahead.select(*[F.col(c).alias(f"its_{c}") for c in group], "ahead")
+    nth = F.row_number().over(Window.partitionBy(*group).orderBy("row")) - 1
+    same = [F.col(c).eqNullSafe(F.col(f"its_{c}")) for c in group]
+    own = alike.withColumn("nth", nth).join(ahead, same[0] & same[1] & same[2] & same[3])
+    placed = own.withColumn("deal", F.xxhash64("tie", (F.col("ahead") + F.col("nth")).cast("long"))).select(*once.columns)
+    return once.unionByName(placed).drop("several", "mark")
+
+
 def _copies(units: DataFrame, weights: tuple[int, ...], most: int, block_rows: int) -> DataFrame:
-    """row, doc_id, size, source_size, target, copies for ``units`` (row, doc_id, tie, source, size)."""
+    """row, doc_id, size, source_size, target, copies for ``units`` (row, doc_id, tie, mark, source, size)."""
     targets = source_targets(units.select("source", "size"), weights, most)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     t = targets.select(F.col("source").alias("of"), "source_size", "target", "rows", rate.alias("rate"))
     joined = units.join(t, F.col("source").eqNullSafe(F.col("of"))).select(
-        "row", "doc_id", "tie", "source", "size", "source_size", "target", F.floor("rate").cast("long").alias("whole"), (F.col("rate") - F.floor("rate")).alias("p"), F.col("rows").alias("left_rows")
+        "row", "doc_id", "tie", "mark", "source", "size", "source_size", "target", F.floor("rate").cast("long").alias("whole"), (F.col("rate") - F.floor("rate")).alias("p"), F.col("rows").alias("left_rows")
     )
     kind = f"row long, doc_id {dict(units.dtypes)['doc_id']}, tie long, deal long, source string, size long, source_size long, target double, whole long, p double"
-    # rows of one id and text are alike, so it makes no difference which of them a block gets; very many of them are dealt one by one
-    many = units.groupBy("tie").count().filter(F.col("count") > block_rows).select("tie", F.lit(True).alias("many"))
-    joined = joined.withColumn("deal", F.col("tie"))
-    if not many.isEmpty():
-        joined = joined.join(many, "tie", "left").withColumn("deal", F.when(F.col("many"), F.xxhash64("tie", "row")).otherwise(F.col("tie"))).drop("many")
+    joined = _dealt(joined)
     settled: list[DataFrame] = []
     waiting, depth = joined, 0
     while True:
@@ -160,14 +177,15 @@ def mix(
     the source's words and documents at once. Blocks of ``block_rows`` documents of a source fly
     apart, so a source of any size is split; the two units at most that each block leaves
     meet in further rounds, until one block per source is left, and only there the last
-    two are rounded, with documents of that block changed where one long document is left over. Draws are seeded by the rows, so reruns agree.
+    two are rounded, with documents of that block changed where one long document is left over. Draws are seeded by ids and texts, and equal rows
+    are told apart by their number only, so reruns agree however the rows are split over files.
 
     Null source: a source of its own, last. Sources whose words are 0 have target 0.
     Rows repeated whole are units of their own. Empty table: empty result; other columns are ignored.
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
     units = docs.select(
-        F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("tie"), F.col(source_col).cast("string").alias("source"), size.alias("size")
+        F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("tie"), F.lit(0).cast("long").alias("mark"), F.col(source_col).cast("string").alias("source"), size.alias("size")
     ).withColumn("row", F.monotonically_increasing_id())
     return _copies(written(units, "mix-units"), weights, most, block_rows).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies"
@@ -181,6 +199,7 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     size = F.coalesce(F.regexp_count(F.col(f"doc.`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long")
     units = keyed.select(
         "row", F.lit(None).cast("long").alias("doc_id"), F.xxhash64(f"doc.`{id_col}`", f"doc.`{text_col}`").alias("tie"),
+        F.xxhash64(*[f"doc.`{f.name}`" for f in docs.schema if not isinstance(f.dataType, (MapType, VariantType))]).alias("mark"),
         F.col(f"doc.`{source_col}`").cast("string").alias("source"), size.alias("size"),
     )
     copies = _copies(written(units, "mix-units"), options.get("weights", (5, 2, 1)), options.get("most", 3), options.get("block_rows", 512))

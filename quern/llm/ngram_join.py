@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import MapType, VariantType
 
 from quern.llm.common import connected_components, give_back, partitions, remembered, written
 
@@ -557,7 +558,7 @@ def ngram_components(
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without all but one document of each group of :func:`ngram_components`, with the same columns.
 
-    The one with the smallest id stays (of rows that share it, the smallest text hash, and of equal rows one). Documents
+    The one with the smallest id stays (of rows that share it, that of the smallest text hash; if they share that too, that of the smallest hash of all other columns). Documents
     without words are no group and stay, repeated rows of them too; a null id is after all others.
     """
     named = ngram_components(docs, id_col=id_col, text_col=text_col, **options)
@@ -568,7 +569,8 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     keyed = docs.select(row, F.col(id_col).alias("its"), F.xxhash64(text_col).alias("text_hash"), F.trim(F.regexp_replace(F.coalesce(text_col, F.lit("")), r"[\x09-\x0D]", " ")).alias("t"))
     bare = keyed.filter("t = ''").select("row.*")
     kept = keyed.filter("t <> ''").join(first, F.col("its").eqNullSafe(F.col("doc_id")) & (F.col("text_hash") == F.col("body")), "left_semi")
-    return kept.dropDuplicates(["its", "text_hash"]).select("row.*").unionByName(bare)
+    others = [f"row.`{f.name}`" for f in docs.schema if not isinstance(f.dataType, (MapType, VariantType))]
+    return kept.groupBy("its", "text_hash").agg(F.min_by("row", F.xxhash64(*others)).alias("row")).select("row.*").unionByName(bare)
 
 
 #: The query's rows in SQL: an inverted index of shingles, and components by recursion. {n} words a shingle, {percent} to link.

@@ -17,7 +17,7 @@ import numpy as np
 
 U64, I64 = np.uint64, np.int64
 FULL, HALF, MASK, LEAST = U64((1 << 64) - 1), U64(32), U64((1 << 32) - 1), U64(1 << 32)
-BITS1, BITS2, BITS0 = 9, 10, 9  # of the tables of order 1, order 2 and order 0 of each lane
+BITS1, BITS2, BITS0 = 8, 9, 8  # of the tables of order 1, order 2 and order 0 of each lane
 SURE = 7  # the largest count of hits in a row
 ID = (1 << 24) - 1  # an id in a table's entry; the count stands above it
 CLASSES, FREQ, RATE = 31, 14, 5  # frequencies are in 2**FREQ-ths

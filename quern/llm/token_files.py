@@ -108,7 +108,7 @@ def _file_system(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
 
 
 def write_token_files(
-    docs: DataFrame, folder: str | None = None, *, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, block_ids: int = 4096, lanes: int = 4096
+    docs: DataFrame, folder: str | None = None, *, id_col: str = "doc_id", text_col: str = "text", tokenizer_path: str | None = None, block_ids: int = 2048, lanes: int = 4096
 ) -> DataFrame:
     """The manifest (part, path, documents, ids, bytes) of files below ``folder`` that hold all documents' token ids, each ending with id 1.
 

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import periodic, range_coder, spelling, token_files
+from quern.llm import mixing, ngram_join, periodic, range_coder, spelling, token_files
 from quern.llm.packing import RunIds
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -173,3 +173,21 @@ def test_crc_in_sql():
     values = ", ".join(f"('{w}')" for w in words)
     found = dict(duckdb.sql(f"WITH {periodic.CRC_TABLE} SELECT w, {periodic.crc_sql('w')} FROM (VALUES {values}) v(w), crc").fetchall())
     assert found == {w: zlib.crc32(w.encode()) for w in words}
+
+
+def test_mixing_does_not_depend_on_the_split_of_equal_rows(spark):
+    """More equal rows than a block holds, in one file and in many."""
+    rows = [(1, "same words here now", "a")] * 90 + [(1, "same words here now", "b")] * 30 + [(k, "w " * (k % 9), "ab"[k % 2]) for k in range(2, 120)]
+    found = []
+    for parts in (1, 7):
+        df = spark.createDataFrame(rows[::-1] if parts > 1 else rows, "doc_id long, text string, source string").repartition(parts)
+        got = mixing.mix(df, block_rows=16).groupBy("doc_id", "size", "source_size", "taken").count()
+        whole = mixing.mixed_rows(df, block_rows=16).groupBy("doc_id", "text", "source").count()
+        found.append((sorted(map(tuple, got.collect())), sorted(map(tuple, whole.collect()))))
+    assert found[0] == found[1]
+
+
+def test_keep_one_takes_the_same_row_however_rows_are_split(spark):
+    rows = [(1, "a b c d e f g", x) for x in ("en", "de", None, "fr")] + [(2, "a b c d e f g", "es"), (3, None, "en")]
+    kept = [sorted(map(tuple, ngram_join.keep_one(spark.createDataFrame(r, "doc_id long, text string, lang string").repartition(n)).collect()), key=repr) for r, n in ((rows, 1), (rows[::-1], 5))]
+    assert kept[0] == kept[1] and [r[0] for r in kept[0]] == [1, 3]
