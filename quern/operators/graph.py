@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as tx
+from quern.operators.likeness import contained_pairs, ratio_pairs
 from quern.sources.scratch import settled
 
 
@@ -76,10 +77,11 @@ def tag_balance(tags: DataFrame, factor: float = 3.0, sparse: int = 3) -> DataFr
 
 
 def repoint(tags: DataFrame, old: str, new: str, label: str, kind: str) -> DataFrame:
-    """Tags of ``old`` become tags of ``new``, one per chunk."""
+    """Tags of ``old`` become tags of ``new``, one per chunk and category: the smallest of several by their other columns."""
     hit = F.col("category_id") == old
     moved = tags.withColumns({"category_label": F.when(hit, label).otherwise(F.col("category_label")), "kind": F.when(hit, kind).otherwise(F.col("kind")), "category_id": F.when(hit, new).otherwise(F.col("category_id"))})
-    return moved.dropDuplicates(["chunk_id", "category_id"])
+    rest = [c for c in tags.columns if c not in ("chunk_id", "category_id")]
+    return moved.groupBy("chunk_id", "category_id").agg(F.min(F.struct(*rest)).alias("t")).select(*[F.col(c) if c in ("chunk_id", "category_id") else F.col(f"t.{c}") for c in tags.columns])
 
 
 def misplaced(vectors: DataFrame, groups: DataFrame, *, margin: float = 0.03, least: int = 3) -> DataFrame:
@@ -98,13 +100,10 @@ def misplaced(vectors: DataFrame, groups: DataFrame, *, margin: float = 0.03, le
 
 
 def label_pairs(labels: DataFrame, threshold: float = 0.86) -> DataFrame:
-    """a, b: labels that are near duplicates by difflib ratio, or one within the other with 4 characters or more. Pairs are tried within blocks of a shared two-letter run only."""
-    n = labels.select("label").distinct().select("label", tx.header(F.col("label")).alias("n"))
-    grams = n.select("label", "n", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("n") - 2, F.lit(1))), lambda i: F.substr("n", i, F.lit(3))))).alias("g"))
-    a, b = grams.select(F.col("label").alias("a"), F.col("n").alias("na"), "g"), grams.select(F.col("label").alias("b"), F.col("n").alias("nb"), "g")
-    pairs = a.join(b, "g").filter("a < b").select("a", "b", "na", "nb").distinct()
-    inside = (F.least(F.length("na"), F.length("nb")) >= 4) & (F.col("na").contains(F.col("nb")) | F.col("nb").contains(F.col("na")))
-    return pairs.filter(inside | (tx.ratio(F.col("na"), F.col("nb")) >= threshold)).select("a", "b")
+    """a, b: labels (label) whose difflib ratio, as headers, is ``threshold`` or more, or one of which stands within the other with 4 characters or more; a < b. Null and blank labels are near none."""
+    n = labels.filter("label is not null").select(F.col("label").alias("id"), tx.header(F.col("label")).alias("text")).distinct()
+    inside = contained_pairs(n).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return inside.unionByName(ratio_pairs(n, least=threshold).select("a", "b")).distinct()
 
 
 def snapshot_delta(before: DataFrame, after: DataFrame, key: str, content: str) -> DataFrame:

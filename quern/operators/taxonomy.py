@@ -81,9 +81,10 @@ def merge_ends(merges: DataFrame) -> DataFrame:
 def paths(nodes: DataFrame, *, separator: str = " > ", root_kind: str | None = None) -> DataFrame:
     """id, depth, path, root: the labels from the root to each node of (id, label, parent); a parent that is no node ends the path; nodes on a cycle have no path.
 
-    A level a round, joined to the level above it. ``root_kind`` is unused where every root counts; nodes whose top is of another kind are dropped if it is given (column kind).
+    Of several rows of an id the smallest by its other columns counts. A level a round, joined to the level above it. ``root_kind`` is unused where every root counts; nodes whose top is of another kind are dropped if it is given (column kind).
     """
-    n = nodes.filter("id is not null").dropDuplicates(["id"])
+    rest = [c for c in nodes.columns if c != "id"]
+    n = nodes.filter("id is not null").groupBy("id").agg(F.min(F.struct(*rest)).alias("t")).select("id", "t.*")
     tops = n.join(n.select(F.col("id").alias("parent")), "parent", "left_anti")
     if root_kind is not None:
         tops = tops.filter(F.col("kind") == root_kind)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.functions import text as tx
 from quern.operators import graph
 from quern.sources.tables import table
 
@@ -113,22 +112,6 @@ s AS (SELECT child, parent, other, list_cosine_similarity(c.c, p.c) AS s FROM c,
 SELECT child, parent, max_by(other, s) FILTER (WHERE other <> parent) AS closer, round(max(s) FILTER (WHERE other = parent), 6) AS own, round(max(s) FILTER (WHERE other <> parent), 6) AS best FROM s GROUP BY child, parent"""
 
 
-def label_near_duplicates(spark, d):
-    """Part types and market segments as labels; difflib has no SQL form."""
-    labels = table(spark, d, "part").select(F.concat_ws(" ", "p_type", "p_brand").alias("label")).distinct()
-    return graph.label_pairs(labels, 0.86)
-
-
-def fuzzy_ratio_match(spark, d):
-    """Best part type for each market segment by difflib ratio."""
-    seg = table(spark, d, "customer").select(F.col("c_mktsegment").alias("entry")).distinct()
-    types = F.broadcast(table(spark, d, "part").select(F.col("p_type").alias("governed")).distinct())  # a catalogue
-    s = seg.join(types, F.lit(True)).withColumn("score", F.round(tx.ratio(F.lower("entry"), F.lower("governed")), 4))
-    best = s.groupBy("entry").agg(F.max_by(F.struct("governed", "score"), F.struct("score", "governed")).alias("b"))
-    state = F.when(F.col("b.score") >= 0.92, "yes").when(F.col("b.score") >= 0.80, "candidate").otherwise("no")
-    return best.select("entry", F.col("b.governed").alias("governed"), F.col("b.score").alias("score"), state.alias("state"))
-
-
 def _snapshots(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", F.concat_ws("|", "o_orderstatus", "o_orderpriority").alias("content"), "o_orderdate", "o_totalprice")
     before = o.filter(F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp"))
@@ -173,8 +156,8 @@ SELECT n.o_custkey, fingerprint, CASE WHEN was IS NULL THEN 'first_run' WHEN was
 QUERIES = {
     f.__name__: f
     for f in (
-        taxonomy_nodes, graph_children, provenance_closure, provenance_index, tag_write, tag_coverage, tag_counts, tag_overlap, tag_repoint, topic_centroids_misplaced, label_near_duplicates,
-        fuzzy_ratio_match, doc_delta, snapshot_eval_diff, fingerprint_stale,
+        taxonomy_nodes, graph_children, provenance_closure, provenance_index, tag_write, tag_coverage, tag_counts, tag_overlap, tag_repoint, topic_centroids_misplaced,
+        doc_delta, snapshot_eval_diff, fingerprint_stale,
     )
 }
 
