@@ -41,6 +41,7 @@ FIRST, WIDTH, CLASS_OF = _classes()
 SQUASH = _squash()
 #: A table's entry for a prediction that held, by how often it had before.
 UP = np.array([min(n + 1, SURE) << 24 for n in range(SURE + 1)], dtype="int32")
+ROW = f"V{2 * (CLASSES + 1)}"
 #: Where the bounds of the frequencies go when a class is met; each class keeps a little room.
 TOWARD = np.array([[i << RATE if i <= c else (1 << FREQ) - ((CLASSES - i) << RATE) for i in range(CLASSES + 1)] for c in range(CLASSES)], dtype="int16")
 
@@ -114,6 +115,11 @@ class Decoder:
             self.range[lanes] <<= HALF
 
 
+def _at(held: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """What ``held`` has at ``places``; those outside are taken for its ends, so nothing is checked."""
+    return held.take(places, mode="clip")
+
+
 class Model:
     """What every lane has learned of its block so far."""
 
@@ -122,6 +128,7 @@ class Model:
         self.say1, self.say2, self.say0 = (np.full(lanes * 32, -256, "int32") for _ in range(3))
         self.frequency = np.tile((np.arange(CLASSES + 1) * (1 << FREQ) // CLASSES).astype("int16"), (lanes, 1))
         self.flat = self.frequency.reshape(-1)
+        self.rows = self.frequency.view(ROW).reshape(-1)  # a lane's frequencies as one item, which is moved as such
         self.mixed = np.zeros(lanes, U64)
         lane = np.arange(lanes, dtype=U64)
         self.at1, self.at2 = lane << U64(BITS1), lane << U64(BITS2)
@@ -133,37 +140,40 @@ class Model:
         mixed = self.mixed[:k]
         self.slot1 = ((mixed >> U64(64 - BITS1)) + self.at1[:k]).view(I64)
         self.slot2 = (((mixed ^ self.before[:k]) * U64(0xD6E8FEB86659FD93) >> U64(64 - BITS2)) + self.at2[:k]).view(I64)
-        said1, said2 = self.one.take(self.slot1), self.two.take(self.slot2)
+        said1, said2 = _at(self.one, self.slot1), _at(self.two, self.slot2)
         self.id1, self.id2 = said1 & ID, said2 & ID
         self.sure1, self.sure2 = said1 >> 24, said2 >> 24
         second = self.sure2 >= self.sure1
         guess = np.where(second, self.id2, self.id1)
-        kind = (second * 8 + (self.id1 == self.id2) * 16) + self.at32[:k]
-        times = self.met.take(self.at0[:k] + (guess & ((1 << BITS0) - 1)))
+        kind = ((second.view("int8") << 3) + ((self.id1 == self.id2).view("int8") << 4)) + self.at32[:k]
+        times = _at(self.met, self.at0[:k] + (guess & ((1 << BITS0) - 1)))
         self.place1, self.place2, self.place0 = kind + self.sure1, kind + self.sure2, kind + np.minimum(times, SURE)
-        self.was1, self.was2, self.was0 = self.say1.take(self.place1), self.say2.take(self.place2), self.say0.take(self.place0)
-        self.likely = SQUASH.take(self.was1 + self.was2 + self.was0 + 2048, mode="clip")
+        self.was1, self.was2, self.was0 = _at(self.say1, self.place1), _at(self.say2, self.place2), _at(self.say0, self.place0)
+        self.likely = _at(SQUASH, self.was1 + self.was2 + self.was0 + 2048)
         return guess, self.likely
 
     def learn(self, k: int, hit: np.ndarray, ids: np.ndarray) -> None:
         """Take in whether the prediction held in the first ``k`` lanes, and their ids (int32)."""
-        step = ((hit * np.int32(1 << 16)) - self.likely) >> 11
+        step = ((hit.view("int8").astype("int32") << 16) - self.likely) >> 11
         self.say1[self.place1] = self.was1 + step
         self.say2[self.place2] = self.was2 + step
         self.say0[self.place0] = self.was0 + step
-        self.one[self.slot1] = UP.take(self.sure1) * (self.id1 == ids) | ids
-        self.two[self.slot2] = UP.take(self.sure2) * (self.id2 == ids) | ids
+        self.one[self.slot1] = _at(UP, self.sure1) * (self.id1 == ids).view("int8") | ids
+        self.two[self.slot2] = _at(UP, self.sure2) * (self.id2 == ids).view("int8") | ids
         slot = self.at0[:k] + (ids & ((1 << BITS0) - 1))
-        self.met[slot] = self.met.take(slot) + 1
+        self.met[slot] = _at(self.met, slot) + 1
         np.right_shift(self.mixed[:k], U64(11), out=self.before[:k])
         np.multiply(ids.astype(U64), U64(0x9E3779B97F4A7C15), out=self.mixed[:k])
 
+    def frequencies(self, at: np.ndarray) -> np.ndarray:
+        return _at(self.rows, at).view("int16").reshape(len(at), CLASSES + 1)
+
     def adapt(self, at: np.ndarray, rows: np.ndarray, c: np.ndarray) -> None:
-        toward = TOWARD.take(c, axis=0)
+        toward = TOWARD.take(c, axis=0, mode="clip")
         toward -= rows
         toward >>= RATE
         toward += rows
-        self.frequency[at] = toward
+        self.rows[at] = toward.view(ROW).reshape(-1)
 
 
 def _in_order(sizes: list[int]) -> tuple[list[int], np.ndarray]:
@@ -191,13 +201,13 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
         coder.narrow(slice(0, k), p * ~hit, np.where(hit, p, whole - p), U64(16))
         at = np.flatnonzero(~hit)
         if len(at):
-            left = now.take(at)
-            c = CLASS_OF.take(left)
+            left = _at(now, at)
+            c = _at(CLASS_OF, left)
             place = at * (CLASSES + 1) + c
-            begin = model.flat.take(place)
-            width = model.flat.take(place + 1) - begin
-            coder.narrow(at, begin.astype(U64), width.astype(U64), U64(FREQ), ((left - FIRST.take(c)).astype(U64), WIDTH.take(c)))
-            model.adapt(at, model.frequency.take(at, axis=0), c)
+            begin = _at(model.flat, place)
+            width = _at(model.flat, place + 1) - begin
+            coder.narrow(at, begin.astype(U64), width.astype(U64), U64(FREQ), ((left - _at(FIRST, c)).astype(U64), _at(WIDTH, c)))
+            model.adapt(at, model.frequencies(at), c)
         model.learn(k, hit, now)
     coded = coder.finish()
     out: list[bytes] = [b""] * len(blocks)
@@ -229,22 +239,22 @@ def decode(coded: list[bytes], sizes: list[int]) -> list[np.ndarray]:
         now[:] = guess
         at = np.flatnonzero(~hit)
         if len(at):
-            rows = model.frequency.take(at, axis=0)
-            off, part = coder.off.take(at), coder.range.take(at) >> U64(FREQ)
+            rows = model.frequencies(at)
+            off, part = _at(coder.off, at), _at(coder.range, at) >> U64(FREQ)
             y = np.minimum(off // part, U64((1 << FREQ) - 1)).astype("int16")
             c = np.bitwise_count(np.packbits(rows <= y[:, None], axis=1).view("uint32")[:, 0]).astype(I64) - 1
             place = at * (CLASSES + 1) + c
-            begin = model.flat.take(place)
+            begin = _at(model.flat, place)
             off -= part * begin.astype(U64)
-            part *= (model.flat.take(place + 1) - begin).astype(U64)
-            bits = WIDTH.take(c)
+            part *= (_at(model.flat, place + 1) - begin).astype(U64)
+            bits = _at(WIDTH, c)
             part >>= bits
             rest = off // part
             coder.off[at] = off - part * rest
             coder.range[at] = part
             coder.shift(at)
             model.adapt(at, rows, c)
-            now[at] = FIRST.take(c) + rest.astype("int32")
+            now[at] = _at(FIRST, c) + rest.astype("int32")
         model.learn(k, hit, now)
     out: list[np.ndarray] = [ids[:0, 0]] * len(sizes)
     for lane, k in enumerate(order):
