@@ -233,7 +233,7 @@ def digests(found: DataFrame) -> DataFrame:
 
 def crc_sql(text: str) -> str:
     """CRC-32 (unsigned) of the UTF-8 of the SQL expression ``text``; its table by byte comes from the polynomial. Needs the relation ``crc(t)`` of :data:`CRC_TABLE`."""
-    octets = f"list_transform(range(1, octet_length(encode({text})) + 1), lambda i: ('0x' || hex(encode({text}))[2 * i - 1 : 2 * i])::BIGINT)"
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::BIGINT)"
     return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda c, b: xor(c >> 8, crc.t[(xor(c, b) & 255) + 1])))"
 
 

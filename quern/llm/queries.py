@@ -92,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_line_dedup": line_dedup.SQL.format(min_sites=10),
     "op6_ngram_jaccard_join": ngram_join.SQL.format(n=4, percent=85),
+    "op8_sharding": sharding.SQL,
     "op9_exact_topk_search": topk.SQL,
     "op10_chat_formatting": chat.SQL,
     "op11_periodic_runs": periodic.SQL,

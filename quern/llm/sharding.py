@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import partitions, written
+from quern.llm.periodic import CRC_TABLE, crc_sql
 
 
 def shard_by_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n_shards: int = 8) -> DataFrame:
@@ -62,3 +63,16 @@ def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.arange(n, n + len(size))), pa.array(upto - size)], [*batch.schema.names, "nth", "start"])
         if len(size):
             n, run = n + len(size), int(upto[-1])
+
+
+#: The query's rows in SQL, by one window over all rows.
+SQL = f"""
+WITH {CRC_TABLE}, d AS (
+  SELECT doc_id, CAST(coalesce(octet_length(encode(text)), 0) + 1 AS BIGINT) AS size, {crc_sql("coalesce(text, '')")} AS text_crc32 FROM documents, crc
+), s AS (
+  SELECT *, sum(size) OVER (ORDER BY doc_id NULLS LAST, text_crc32, size ROWS UNBOUNDED PRECEDING) - size AS start, sum(size) OVER () AS total FROM d
+), t AS (
+  SELECT *, CAST(least(7, (2 * start + size) * 8 // (2 * total)) AS INTEGER) AS shard FROM s
+)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS LAST, text_crc32, size) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM t
+"""
