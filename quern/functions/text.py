@@ -119,9 +119,11 @@ def first_tag(c: Column, families: list[tuple[str, str]]) -> Column:
 
 
 def cell_name(row: Column, col: Column) -> Column:
-    """A cell's name, as in ``B3``, of a row and column from 0; columns up to 702 (``ZZ``)."""
-    letter = lambda k: F.chr((F.lit(65) + k).cast("long"))
-    return F.concat(F.when(col >= 26, letter(F.floor(col / 26) - 1)).otherwise(""), letter(F.pmod(col, F.lit(26))), (row + 1).cast("string"))
+    """A cell's name, as in ``B3``, of a row and column from 0; columns up to 18,277 (``ZZZ``), which is beyond a sheet's last, ``XFD``."""
+    letter = lambda k: F.chr((F.lit(65) + F.pmod(k, F.lit(26))).cast("long"))
+    third = F.when(col >= 702, letter(F.floor((col - 702) / 676))).otherwise("")
+    second = F.when(col >= 26, letter(F.floor((col - 26) / 26))).otherwise("")
+    return F.concat(third, second, letter(col), (row + 1).cast("string"))
 
 
 def hamming(a: Column, b: Column) -> Column:

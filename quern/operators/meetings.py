@@ -148,15 +148,21 @@ def evidence_order(items: DataFrame) -> DataFrame:
     return items.filter("duplicate_of is null").select("evidence", day.alias("day"), (F.row_number().over(w) - 1).alias("pos"))
 
 
+def _smallest(df: DataFrame, key: str) -> DataFrame:
+    """A row for each ``key``: the smallest of several by their other columns."""
+    rest = [c for c in df.columns if c != key]
+    return df.groupBy(key).agg(F.min(F.struct(*rest)).alias("t")).select(key, "t.*")
+
+
 def merged_key(judged: DataFrame, recheck: DataFrame, answers: DataFrame, *, work: tuple[str, ...], default_title: str) -> DataFrame:
     """The judges' key (cid, commitment, kind, title, owner) after a recheck (cid, verdict) that finds no work, then after the user's answers (cid, kind, title, owner), with source.
 
     ``not_work`` clears kind, title and owner. An answer whose kind is neither in ``work`` nor not_work is left out, as one for an unknown cid.
-    Ids are unique on each side; of repeated rows one counts.
+    Ids are unique on each side; of repeated ones the smallest row by its other columns counts.
     """
     r = recheck.filter("verdict = 'not_work'").select("cid", F.lit(True).alias("no")).distinct()
-    u = answers.filter(F.col("kind").isin(*work, "not_work")).dropDuplicates(["cid"]).select("cid", F.col("kind").alias("uk"), F.nullif("title", F.lit("")).alias("ut"), F.nullif("owner", F.lit("")).alias("uo"))
-    j = judged.dropDuplicates(["cid"]).join(r, "cid", "left").join(u, "cid", "left")
+    u = _smallest(answers.filter(F.col("kind").isin(*work, "not_work")), "cid").select("cid", F.col("kind").alias("uk"), F.nullif("title", F.lit("")).alias("ut"), F.nullif("owner", F.lit("")).alias("uo"))
+    j = _smallest(judged, "cid").join(r, "cid", "left").join(u, "cid", "left")
     no = F.coalesce("no", F.lit(False))
     was = {c: F.when(~no, F.col(c)) for c in ("kind", "title", "owner")}
     works = F.col("uk").isNotNull() & (F.col("uk") != "not_work")

@@ -6,6 +6,9 @@ import random
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
+from quern.functions.text import cell_name
 from quern.operators import likeness
 
 
@@ -55,3 +58,14 @@ def test_governed_match(spark):
     catalogue = spark.createDataFrame([("net_sales", ["net_sales", "net sales"]), ("margin", ["margin"])], "key string, names array<string>")
     got = {r["entry"]: (r["governed"], r["state"]) for r in likeness.governed_match(entries, catalogue).collect()}
     assert got == {"e1": ("net_sales", "yes"), "e2": ("margin", "candidate"), "e3": (None, "no"), "e4": (None, "no")}
+
+
+def test_cell_names_to_the_last_column(spark):
+    def name(k):
+        out = ""
+        while k >= 0:
+            out, k = chr(65 + k % 26) + out, k // 26 - 1
+        return out
+
+    got = {r["id"]: r["n"] for r in spark.range(0, 16_384, 1).select("id", cell_name(F.lit(2), F.col("id")).alias("n")).collect()}
+    assert got == {k: f"{name(k)}3" for k in range(16_384)} and got[16_383] == "XFD3"
