@@ -266,17 +266,21 @@ def _carried(made: DataFrame, agent: DataFrame, person: DataFrame, known: DataFr
         hard = F.when(F.col("act") != "agent", F.col("seq"))
         return rows.groupBy("node", "other").agg(F.max_by("act", hard).alias("last")).filter("last is null or last <> 'cut'").select("node", "other")
 
-    waiting = settled(lost, "lost")
+    # only what merged nodes have is read a level at a time; what they bring is small beside the acts
+    gone = lost.select("node")
+    waiting, of_lost, lists_of_lost = lost, settled(acts.join(gone, "node", "left_semi"), "link-acts"), settled(lists.join(gone, "node", "left_semi"), "criteria-acts")
+    links, lines = [], []
     while not waiting.isEmpty():
         ready = settled(waiting.join(waiting.select(F.col("into").alias("node")).distinct(), "node", "left_anti"), "ready")
         only = ready.select("node")
-        brought = pairs(acts.join(only, "node", "left_semi")).join(ready, "node").filter("other <> into").select(F.col("into").alias("node"), "other", F.col("at").alias("seq"), F.lit("add").alias("act"))
-        acts = settled(acts.unionByName(brought), "link-acts")
-        lines = _lists(lists.join(only, "node", "left_semi")).join(ready, "node").withColumnRenamed("criteria", "brought")
-        lines = lines.selectExpr("into as node", "at as seq", "'merge' as act", "cast(null as array<string>) as ac", "cast(null as int) as ac_n", "cast(null as string) as ac_text", "cast(null as boolean) as met", "cast(null as boolean) as drop", "brought")
-        lists = settled(lists.unionByName(lines), "criteria-acts")
+        brought = pairs(_all([of_lost, *links]).join(only, "node", "left_semi")).join(ready, "node").filter("other <> into")
+        links.append(settled(brought.select(F.col("into").alias("node"), "other", F.col("at").alias("seq"), F.lit("add").alias("act")), "brought"))
+        more = _lists(_all([lists_of_lost, *lines]).join(only, "node", "left_semi")).join(ready, "node").withColumnRenamed("criteria", "brought")
+        lines.append(settled(more.selectExpr("into as node", "at as seq", "'merge' as act", "cast(null as array<string>) as ac", "cast(null as int) as ac_n", "cast(null as string) as ac_text", "cast(null as boolean) as met", "cast(null as boolean) as drop", "brought"), "brought"))
         waiting = settled(waiting.join(only, "node", "left_anti"), "lost")
-    return settled(pairs(acts), "links"), settled(_lists(lists), "criteria")
+        if len(links) % 8 == 0:
+            links, lines = [settled(_all(links), "brought")], [settled(_all(lines), "brought")]
+    return settled(pairs(_all([acts, *links])), "links"), settled(_lists(_all([lists, *lines])), "criteria")
 
 
 def _lists(acts: DataFrame) -> DataFrame:
