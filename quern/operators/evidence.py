@@ -218,12 +218,13 @@ def eval_totals(results: DataFrame, by: str) -> DataFrame:
 def coverage_lens(keys: DataFrame, evals: DataFrame, *, least: int = 3) -> DataFrame:
     """n, n_covered, percent: keys (key) that begin with the key of an eval (key of ``least`` characters or more), the eval's being the prefix.
 
-    Keys meet only evals that begin alike.
+    A key meets evals by its own beginnings, one for each length that evals have, so only equal strings are joined; those lengths are one row. Null keys are left out.
     """
-    head = lambda c: F.substr(F.col(c), F.lit(1), F.lit(least))
-    e = evals.filter(F.length("key") >= least).select(F.col("key").alias("prefix")).distinct().withColumn("head", head("prefix"))
+    e = evals.filter(F.length("key") >= least).select(F.col("key").alias("prefix")).distinct()
+    lengths = e.agg(F.collect_set(F.length("prefix")).alias("lengths"))
     k = keys.filter("key is not null").select("key").distinct()
-    hit = k.withColumn("head", head("key")).join(e, "head").filter(F.col("key").startswith(F.col("prefix"))).select("key").distinct().withColumn("hit", F.lit(1))
+    begins = k.join(F.broadcast(lengths), F.lit(True)).withColumn("n", F.explode("lengths")).filter(F.col("n") <= F.length("key")).select("key", F.expr("substr(key, 1, n)").alias("prefix"))
+    hit = begins.join(e, "prefix", "left_semi").select("key").distinct().withColumn("hit", F.lit(1))
     return k.join(hit, "key", "left").agg(F.count("*").alias("n"), F.count("hit").alias("n_covered")).withColumn("percent", F.round(100 * F.col("n_covered") / F.greatest(F.col("n"), F.lit(1)), 1))
 
 

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from quern.functions import text as tx
 from quern.sources.scratch import settled
 
-TAG = r"\[(RAG|FILE|TASK|URL):([^\]]*)\]"
+# Kinds of citations, as a tag with a body in which a backslash takes the next character along
+CITED = "RAG MART GRAPH FILE TASK".split()
+TAG = r"\[(" + "|".join(CITED) + r"):((?:[^\\\]]|\\.)+)\]"
 ID_MARK = r"<!--\s*c:([0-9a-z]+)[^>]*-->\s*$"
 
 

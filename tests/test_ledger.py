@@ -233,6 +233,8 @@ def made_up(rng, n_nodes, n_events, merges):
             client_owed=rng.choice([None, True, False]), ac=[f"c{rng.randrange(4)}" for _ in range(rng.randrange(3))], depends_on=[rng.choice(ids)] if rng.random() < 0.2 else None,
             from_proposal=rng.choice([None] * 9 + ["m900"]), internal_owner=rng.choice([None, "ann"]))
     for _ in range(n_events):
+        if rng.random() < 0.03:
+            add(type=rng.choice(["processed", "reprocess"]), op=None, by=None)
         node, other, p = rng.choice([*ids, "nowhere"]), rng.choice(ids), rng.random()
         human = {"type": "human", "by": "human", "node": node}
         agent = {"type": "agent", "by": "agent", "node": node}
@@ -256,7 +258,7 @@ def made_up(rng, n_nodes, n_events, merges):
     return rows, evidence
 
 
-@pytest.mark.parametrize("seed, merges, upto", [(1, 0.02, None), (2, 0.12, "v5"), (3, 0.16, None)])
+@pytest.mark.parametrize("seed, merges, upto", [(2, 0.12, "v5"), (3, 0.16, None)])
 def test_fold_is_the_loop(spark, seed, merges, upto):
     rng = random.Random(seed)
     rows, evidence = made_up(rng, 24, 420, merges)
@@ -266,7 +268,7 @@ def test_fold_is_the_loop(spark, seed, merges, upto):
     got = ledger.fold_ledger(frame(spark, shuffled).repartition(3), spark.createDataFrame(evidence, EVIDENCE_SCHEMA), upto)
     names = got.columns[1:]
     assert {r["id"]: dict(zip(names, r[1:], strict=True)) for r in got.collect()} == {i: dict(zip(names, v, strict=True)) for i, v in wanted.items()}
-    assert sum(v[3] == "merged" for v in wanted.values()) >= (3 if merges > 0.1 else 0)
+    assert sum(v[3] == "merged" for v in wanted.values()) >= 3
 
 
 def test_merges_apply_like_union_find(spark):

@@ -40,3 +40,11 @@ def test_claims_keep_their_ids(spark):
     assert rows[0]["tags"] == ["[RAG:1]"]
     got = [(r["pos"], r["base_id"], r["category"]) for r in matching.match_claims(mk(base), mk(draft)).collect()]
     assert (0, "bb22", "recited") in got and (1, "aa11", "kept") in got and (2, None, "added") in got
+
+
+def test_tags_and_months(spark):
+    body = r"- seen [MART:a\]b] and [GRAPH:x] not [NOTE:y]"
+    row = matching.claims(spark.createDataFrame([("t", "s", body)], "task string, section string, body string")).first()
+    assert row["tags"] == [r"[MART:a\]b]", "[GRAPH:x]"] and row["normalized"] == "seen and not [note:y]"
+    rows = spark.createDataFrame([("Sept 3",), ("marc 3",), ("9 May",), ("4 december",), ("jul 5",)], "t string").select(*dates.month_day(F.col("t"))).collect()
+    assert [tuple(r) for r in rows] == [(9, 3), (None, None), (5, 9), (12, 4), (7, 5)]

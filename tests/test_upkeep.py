@@ -95,3 +95,13 @@ def test_meetings_and_slots(spark):
     assert rows(evidence.slot_match(s, e)) == [(1, 8, 1200), (2, None, None), (3, None, None)]
     snaps = spark.createDataFrame([(0, 1, "a"), (1, 1, "a"), (3, 1, "b"), (1, 2, None), (2, 2, None), (3, 2, "x")], "snap int, id int, content string")
     assert rows(evidence.snapshot_changes(snaps)) == [(0, 1, "new"), (1, 2, "new"), (2, 1, "gone"), (3, 1, "new"), (3, 2, "changed")]
+
+
+def test_coverage_lens_by_equal_beginnings(spark):
+    from quern.operators import evidence
+
+    one = lambda *v: spark.createDataFrame([(x,) for x in v], "key string")
+    keys, evals = one("abcd/1", "abcd/2", "abx", "ab", "zz", None, "zz"), one("abcd", "abcd/", "ab", "abxy", None)
+    assert tuple(evidence.coverage_lens(keys, evals).first()) == (5, 2, 40.0)
+    assert tuple(evidence.coverage_lens(keys, one()).first()) == (5, 0, 0.0)
+    assert tuple(evidence.coverage_lens(one(), evals).first()) == (0, 0, 0.0)
