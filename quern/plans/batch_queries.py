@@ -1,9 +1,10 @@
-"""Batches of documents by words and bytes, and their SQL twins."""
+"""Batches of documents by words and bytes, dates in file names, and their SQL twins."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quern.functions import dates
 from quern.operators import batches
 from quern.sources.tables import table
 
@@ -49,5 +50,30 @@ r AS (SELECT key, j * each AS lo, least(total, (j + 1) * each) AS hi FROM h WHER
 z AS (SELECT r.key, lo, hi - lo AS n, b.upto - a.upto + 2 AS bytes FROM r JOIN p a ON a.key = r.key AND a.n = r.lo JOIN p b ON b.key = r.key AND b.n = r.hi)
 SELECT key, row_number() OVER (PARTITION BY key ORDER BY lo) - 1 AS batch, CAST(lo AS BIGINT) AS first, CAST(n AS BIGINT) AS n, CAST(bytes AS BIGINT) AS bytes FROM z WHERE n <= 1 OR bytes <= {MAX_BYTES}"""
 
-QUERIES = {f.__name__: f for f in (word_batches, byte_batches)}
-ORACLES = {"word_batches": WORD_SQL, "byte_batches": BYTE_SQL}
+def file_dates(spark, d):
+    """Names as exports write them, seven forms in turn, of days around those of the events; read on the first of June."""
+    day = F.date_add(F.to_date("ts"), (F.col("event_id") % 200).cast("int"))
+    as_ = lambda form: F.date_format(day, form)
+    forms = [
+        F.concat(F.lit("sync "), as_("yyyy-MM-dd")), F.concat(as_("MM.dd.yyyy"), F.lit("_1101 sync")), F.concat(as_("dd.MM.yyyy"), F.lit(" call")), F.concat(F.lit("call "), as_("yyyyMMdd")),
+        F.concat(as_("d_MMM"), F.lit(" notes")), F.concat(as_("MMMM d"), F.lit(" review")), F.concat(F.lit("order "), F.col("event_id").cast("string")),
+    ]
+    n = table(spark, d, "events").select("event_id", F.get(F.array(*forms), (F.col("event_id") % 7).cast("int")).alias("name"))
+    ref = F.lit("2024-06-01").cast("date")
+    found = dates.date_in_name(F.col("name"), ref)
+    return n.select("event_id", "name", found.cast("string").alias("day"), dates.short_date(found, ref).alias("short"))
+
+
+DATES_SQL = r"""WITH e AS (SELECT event_id, CAST(ts AS DATE) + CAST(event_id % 200 AS INTEGER) AS x FROM events),
+n AS (SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'sync ' || strftime(x, '%Y-%m-%d') WHEN 1 THEN strftime(x, '%m.%d.%Y') || '_1101 sync' WHEN 2 THEN strftime(x, '%d.%m.%Y') || ' call' WHEN 3 THEN 'call ' || strftime(x, '%Y%m%d')
+  WHEN 4 THEN strftime(x, '%-d_%b') || ' notes' WHEN 5 THEN strftime(x, '%B %-d') || ' review' ELSE 'order ' || event_id END AS name FROM e),
+p AS (SELECT *, regexp_extract(name, '(\d\d)\.(\d\d)\.(20\d\d)', ['a', 'b', 'y']) AS dot, regexp_extract(name, '(20\d\d)[-_]?(\d\d)[-_]?(\d\d)', ['y', 'm', 'd']) AS bare,
+  regexp_extract(lower(name), '(\d{1,2})_([a-z]{3})\b', ['d', 'm']) AS early, regexp_extract(lower(name), '\b([a-z]+) (\d{1,2}) review', ['m', 'd']) AS late FROM n),
+w AS (SELECT *, CASE WHEN early.m <> '' THEN early.m ELSE late.m[:3] END AS mon, CASE WHEN early.d <> '' THEN early.d ELSE late.d END AS dd FROM p),
+y AS (SELECT *, TRY_CAST('2024-' || lpad(CAST((position(mon IN 'janfebmaraprmayjunjulaugsepoctnovdec') + 2) // 3 AS VARCHAR), 2, '0') || '-' || lpad(dd, 2, '0') AS DATE) AS this FROM w),
+f AS (SELECT event_id, name, CASE WHEN dot.y <> '' THEN TRY_CAST(dot.y || '-' || CASE WHEN TRY_CAST(dot.a AS INTEGER) > 12 THEN dot.b || '-' || dot.a ELSE dot.a || '-' || dot.b END AS DATE) WHEN bare.y <> '' THEN TRY_CAST(bare.y || '-' || bare.m || '-' || bare.d AS DATE)
+  WHEN mon <> '' THEN CASE WHEN this > DATE '2024-07-01' THEN TRY_CAST('2023' || strftime(this, '-%m-%d') AS DATE) ELSE this END END AS found FROM y)
+SELECT event_id, name, CAST(found AS VARCHAR) AS day, strftime(found, '%b %-d') || CASE WHEN year(found) <> 2024 THEN ', ' || year(found) ELSE '' END AS short FROM f"""
+
+QUERIES = {f.__name__: f for f in (word_batches, byte_batches, file_dates)}
+ORACLES = {"word_batches": WORD_SQL, "byte_batches": BYTE_SQL, "file_dates": DATES_SQL}

@@ -48,3 +48,15 @@ def test_tags_and_months(spark):
     assert row["tags"] == [r"[MART:a\]b]", "[GRAPH:x]"] and row["normalized"] == "seen and not [note:y]"
     rows = spark.createDataFrame([("Sept 3",), ("marc 3",), ("9 May",), ("4 december",), ("jul 5",)], "t string").select(*dates.month_day(F.col("t"))).collect()
     assert [tuple(r) for r in rows] == [(9, 3), (None, None), (5, 9), (12, 4), (7, 5)]
+
+
+def test_dates_in_names(spark):
+    cases = {
+        "2026.10.19 sync": "2026-10-19", "10.19.2026_1101 sync": "2026-10-19", "19.10.2026.vtt": "2026-10-19", "05.04.2026": "2026-05-04", "call_20260302": "2026-03-02", "2025-12-31 a": "2025-12-31", "13.13.2026 x": None,
+        "2026.13.40 on 2026-01-02": "2026-01-02", "25_Aug kickoff": "2025-08-25", "Mar 20": "2026-03-20", "April 9th": "2026-04-09", "Feb 29": None, "Marketing 5": None, "": None, None: None, "12026-01-02": "2026-01-02",
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "name string").select("name", dates.date_in_name(F.col("name"), F.lit("2026-03-11").cast("date")).cast("string").alias("d")).collect()
+    assert {r["name"]: r["d"] for r in rows} == cases
+    day = lambda s: F.lit(s).cast("date")
+    short = spark.range(1).select(dates.short_date(day("2026-10-06"), day("2026-01-01")), dates.short_date(day("2023-10-16"), day("2026-01-01")), dates.short_date(day("2023-10-16"), day(None))).first()
+    assert tuple(short) == ("Oct 6", "Oct 16, 2023", "Oct 16")
