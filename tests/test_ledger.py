@@ -297,3 +297,13 @@ def test_empty_tables_and_other_columns(spark):
     few = spark.createDataFrame([(1, "a", "create", "n", "task", "state of it", 7), (None, "b", "create", "x", "task", "no seq", 7)], "seq long, mid string, type string, node string, kind string, title string, at int")
     row = ledger.fold_ledger(few.withColumn("born", F.lit(1)), spark.createDataFrame([], EVIDENCE_SCHEMA)).collect()
     assert [(r["id"], r["state"], r["n_due"], r["depends_on"]) for r in row] == [("n", "open", 0, [])]
+
+
+def test_derived_states_of_stories(spark):
+    new = [("s", "story", None, ["a", "b"]), ("z", "story", None, ["a"]), ("t", "task", "z", None)]
+    rows = [{"mid": f"k{i}", "type": "create", "by": "plan", "node": i, "kind": k, "title": i, "parent": p, "ac": ac} for i, k, p, ac in new]
+    acts = [("m1", {"op": "ac_met", "node": "s", "ac_text": "a"}), ("m2", {"op": "ac_met", "node": "s", "ac_n": 2}), ("m3", {"op": "status", "effect": "done", "node": "t"})]
+    rows += [{"mid": m, "type": "agent", "by": "agent", **x} for m, x in acts] + [{"mid": m, "type": "verdict", "verdict": "supports"} for m, _ in acts]
+    rows = [r | {"seq": i} for i, r in enumerate(rows)]
+    got = {r["id"]: (r["state"], r["derived"], r["n_met"]) for r in ledger.fold_ledger(frame(spark, rows), spark.createDataFrame([], EVIDENCE_SCHEMA)).collect()}
+    assert got == {"s": ("done", "criteria", 2), "z": ("in_progress", "task", 0), "t": ("done", None, 0)}
