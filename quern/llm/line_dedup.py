@@ -37,8 +37,11 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str, long_word
 
 
 def _salted(keys: DataFrame) -> DataFrame:
-    """Each key once for every salt: a line of very many places meets its key in ``SALTS`` tasks."""
-    return keys.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    """Each key once for every salt: a line of very many places meets its key in ``SALTS`` tasks.
+
+    Joined by merging: Spark's estimate leaves out the copies, so a table near the limit of broadcasts would reach the driver ``SALTS`` times as large.
+    """
+    return keys.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")).hint("merge")
 
 
 def boilerplate_lines(lines: DataFrame, min_sites: int, lg_k: int, long_sites: int | None = None) -> DataFrame:

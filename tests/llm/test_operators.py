@@ -67,6 +67,14 @@ def test_line_dedup(spark, keep_first):
         line_dedup.line_dedup(df, min_sites=2)
 
 
+def test_line_dedup_never_broadcasts_salted_keys(spark, tmp_path):
+    """Spark's estimate of salted keys leaves out the salts, so a broadcast of them can be many times its limit."""
+    spark.range(40).selectExpr("id as doc_id", "'one line\\nother ' || id as text", "'s' || id as source").write.parquet(f"{tmp_path}/docs")
+    plan = line_dedup.line_dedup(spark.read.parquet(f"{tmp_path}/docs"), min_sites=5)._jdf.queryExecution().sparkPlan().toString()
+    on_salt = [x for x in plan.split("\n") if "Join" in x and "salt" in x]
+    assert on_salt and all("SortMergeJoin" in x for x in on_salt)
+
+
 def test_line_dedup_near_threshold_counts_are_exact(spark):
     """Lines on as many sites as a sketch can only estimate."""
     rows = [(n * 10_000 + i, f"line {n}", f"site{i}") for n, many in enumerate((4990, 4999, 5000, 5010)) for i in range(many)]
