@@ -23,28 +23,29 @@ def _day(c: Column) -> Column:
     return F.unix_date(F.to_date(c))
 
 
-def _seconds(a: str, b: str) -> Column:
-    return F.abs(F.unix_micros(F.col(a)) - F.unix_micros(F.col(b))) / 1_000_000
+def _keyed(df: DataFrame, shared: int, *more: Column) -> DataFrame:
+    """``more``, at (a timestamp) and key of the rows of ``df`` (at, title): a row for each ``shared`` words of its title, so rows that share so many meet by one key, however common each word is."""
+    own = df.select(*more, F.col("at").cast("timestamp").alias("at"), F.array_sort(title_words(F.col("title"))).alias("ws")).filter("at is not null and ws is not null").distinct()
+    runs = F.transform("ws", lambda w, i: F.struct(i.alias("last"), w.alias("key")))
+    for _ in range(shared - 1):
+        later = lambda r: F.transform(F.slice("ws", r["last"] + 2, F.size("ws")), lambda w, i: F.struct((r["last"] + 1 + i).alias("last"), F.concat_ws(" ", r["key"], w).alias("key")))
+        runs = F.flatten(F.transform(runs, later))
+    return own.select("*", F.explode(F.transform(runs, lambda r: r["key"])).alias("key")).drop("ws")
 
 
-def _sharing(left: DataFrame, right: DataFrame, ok: Column, *, shared: int, days: int) -> DataFrame:
-    """The columns of ``left`` (with l_at, l_title) and ``right`` (r_at, r_title) but for the titles, for pairs at most ``days`` days apart that meet ``ok`` and share ``shared`` title words.
+def _nearest(left: DataFrame, right: DataFrame, *, item: str, other: str, days: int) -> DataFrame:
+    """item, other, gap (microseconds): for each row and key of ``left`` (item, at, key) the last row of ``right`` (other, at, key) until its time and the first from then on, of those at most ``days`` days apart; ties to the smaller other.
 
-    Rows meet by a word and a stretch of days, never all with all; repeated rows count once.
+    Rows lie in order of time by key and stretch of days, so the work grows with the rows and not with the pairs.
     """
-    width = max(days, 1)
-    stretch = lambda c: F.floor(_day(F.col(c)) / width).cast("long")
-    token = lambda c: F.explode(title_words(F.col(c)))
-    around = F.explode(F.sequence(stretch("l_at") - 1, stretch("l_at") + 1)).alias("cell")
-    a = left.distinct().select("*", token("l_title").alias("token")).select("*", around)
-    b = right.distinct().select("*", token("r_title").alias("token"), stretch("r_at").alias("cell"))
-    keys = [c for c in (*left.columns, *right.columns) if c not in ("l_title", "r_title")]
-    apart = F.abs(_day(F.col("l_at")) - _day(F.col("r_at"))) <= days
-    return a.join(b, ["token", "cell"]).filter(apart & ok).groupBy(*keys).agg(F.count_distinct("token").alias("n")).filter(F.col("n") >= shared).drop("n")
-
-
-def _side(df: DataFrame, side: str, *more: Column) -> DataFrame:
-    return df.select(*more, F.col("at").cast("timestamp").alias(f"{side}_at"), F.col("title").alias(f"{side}_title"))
+    stretch = F.floor(_day(F.col("at")) / max(days, 1)).cast("long")
+    x = left.select("key", "at", F.col(item), F.lit(1).alias("asks"), F.explode(F.sequence(stretch - 1, stretch + 1)).alias("cell"))
+    y = right.select("key", "at", F.col(other), F.lit(0).alias("asks"), stretch.alias("cell"))
+    held = F.when(F.col("asks") == 0, F.struct(F.col("at").alias("then"), F.col(other).alias("other")))
+    reach = lambda *by: F.last(held, ignorenulls=True).over(Window.partitionBy("key", "cell").orderBy(*by, "asks", F.desc(other)).rowsBetween(Window.unboundedPreceding, 0))
+    both = x.unionByName(y, allowMissingColumns=True).select(item, "at", "asks", F.array(reach(F.asc("at")), reach(F.desc("at"))).alias("met")).filter("asks = 1")
+    near = both.select(item, "at", F.explode("met").alias("m")).filter(F.abs(_day(F.col("at")) - _day(F.col("m.then"))) <= days)
+    return near.select(item, F.col("m.other").alias(other), F.abs(F.unix_micros("at") - F.unix_micros("m.then")).alias("gap"))
 
 
 def calendar_match(meetings: DataFrame, calendar: DataFrame, *, days: int = 7, shared: int = 2) -> DataFrame:
@@ -52,24 +53,31 @@ def calendar_match(meetings: DataFrame, calendar: DataFrame, *, days: int = 7, s
 
     Meetings without such an event, without a time or a title have no row.
     """
-    both = _sharing(_side(meetings, "l", F.col("meeting")), _side(calendar, "r", F.col("event")), F.lit(True), shared=shared, days=days)
-    best = both.groupBy("meeting").agg(F.min(F.struct(_seconds("l_at", "r_at").alias("gap"), F.col("event"))).alias("b"))
-    return best.select("meeting", "b.event", F.floor("b.gap").alias("gap"))
+    both = _nearest(_keyed(meetings, shared, F.col("meeting")), _keyed(calendar, shared, F.col("event")), item="meeting", other="event", days=days)
+    best = both.groupBy("meeting").agg(F.min(F.struct("gap", "event")).alias("b"))
+    return best.select("meeting", "b.event", F.expr("b.gap div 1000000").alias("gap"))
 
 
 def expected_missing(expected: DataFrame, meetings: DataFrame, *, minutes: int = 20, shared: int = 2) -> DataFrame:
     """Expected meetings (expected, at, title) that no held one (meeting, at, title, guessed) satisfies: ``shared`` title words, and the same date where the held time was guessed, else ``minutes`` minutes at most."""
-    ok = F.when(F.col("guessed"), F.to_date("l_at") == F.to_date("r_at")).otherwise(_seconds("l_at", "r_at") <= minutes * 60)
-    held = _side(meetings, "r", F.coalesce("guessed", F.lit(False)).alias("guessed"))
-    found = _sharing(_side(expected, "l", F.col("expected")), held, ok, shared=shared, days=1)
-    return expected.join(found.select("expected").distinct(), "expected", "left_anti")
+    asked = _keyed(expected, shared, F.col("expected"))
+    held = _keyed(meetings, shared, F.coalesce("guessed", F.lit(False)).alias("guessed"))
+    timed = _nearest(asked, held.filter("not guessed").withColumn("held", F.lit(True)), item="expected", other="held", days=1).filter(F.col("gap") <= minutes * 60_000_000)
+    found = _same_day(asked, held.filter("guessed")).select("expected").unionByName(timed.select("expected"))
+    return expected.join(found.distinct(), "expected", "left_anti")
+
+
+def _same_day(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows of ``left`` (at, key) whose key and date ``right`` has."""
+    day = F.to_date("at").alias("day")
+    return left.withColumn("day", day).join(right.select("key", day).distinct(), ["key", "day"], "left_semi")
 
 
 def unready(events: DataFrame, meetings: DataFrame, *, monday: str, now: str, shared: int = 2) -> DataFrame:
     """Events (event, at, ends, title) of the week of ``monday`` that ended by ``now`` without a meeting (at, title) of their day that shares ``shared`` title words; cancelled ones don't count."""
     day = F.to_date("at")
     due = events.filter((day >= F.to_date(F.lit(monday))) & (day < F.date_add(F.to_date(F.lit(monday)), 7)) & (F.col("ends") <= F.to_timestamp(F.lit(now)))).filter(~F.coalesce(F.lower("title").rlike("^cancell?ed"), F.lit(False)))
-    found = _sharing(_side(due, "l", F.col("event")), _side(meetings, "r"), F.to_date("l_at") == F.to_date("r_at"), shared=shared, days=1)
+    found = _same_day(_keyed(due, shared, F.col("event")), _keyed(meetings, shared))
     return due.join(found.select("event").distinct(), "event", "left_anti")
 
 

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from quern.functions import text as tx
 from quern.operators import marts, meetings, search
 
@@ -29,6 +31,28 @@ def test_expected_and_ready(spark):
     assert rows(meetings.unready(ev, m, monday="2024-01-08", now="2024-01-13 00:00").select("event")) == [(2,), (5,)]
 
 
+def test_title_words_are_shared_with_one_row_and_nearest_in_linear_work(spark):
+    """Two meetings of one time don't lend each other words; a thousand events of common words make no pairs."""
+    e = spark.createDataFrame([(1, "2024-01-08 10:00", "2024-01-08 11:00", "budget review")], "event long, at string, ends string, title string").selectExpr("event", "event as expected", "timestamp(at) as at", "timestamp(ends) as ends", "title")
+    m = spark.createDataFrame([(8, "2024-01-08 10:05", "budget talk", False), (9, "2024-01-08 10:05", "review talk", False)], "meeting long, at string, title string, guessed boolean")
+    assert rows(meetings.unready(e, m, monday="2024-01-08", now="2024-01-13 00:00").select("event")) == [(1,)]
+    assert rows(meetings.expected_missing(e, m).select("expected")) == [(1,)]
+    rng = random.Random(5)
+    at = lambda: rng.randrange(20 * 86400)
+    said = lambda: " ".join(rng.sample(["red", "green", "blue", "of", "may", "7"], 4))
+    x, y = [(k, at(), said()) for k in range(80)], [(k, at(), said()) for k in range(120)]
+    frame = lambda r, k: spark.createDataFrame(r, f"{k} long, s long, title string").select(k, F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("at"), "title")
+    day = lambda s: (s + 1_700_000_000) // 86400
+    told = lambda t: set(t.split()) & {"red", "green", "blue"}
+    want = []
+    for k, s, t in x:
+        near = [(abs(s - u), j) for j, u, v in y if abs(day(s) - day(u)) <= 2 and len(told(t) & told(v)) >= 2]
+        want += [(k, min(near)[1], min(near)[0])] if near else []
+    assert rows(meetings.calendar_match(frame(x, "meeting"), frame(y, "event"), days=2)) == sorted(want, key=repr)
+    plan = meetings.calendar_match(frame(x, "meeting"), frame(y, "event"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
 def test_caption_leaks_near_their_window(spark):
     lines = spark.createDataFrame([(1, 0, "We will ship it on Friday then"), (1, 1, "other words"), (2, 0, "we will ship it on friday"), (3, 0, None)], "page long, line int, text string")
     windows = spark.createDataFrame([(1, 100, 130), (1, 100, 130), (2, 900, 950), (3, None, 5)], "page long, starts long, ends long")
