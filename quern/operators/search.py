@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import words
-from quern.sources.scratch import settled
+from quern.sources.scratch import dealt, settled
 
 
 def tokenised(docs: DataFrame, id_col: str, text_col: str, least: int = 3) -> DataFrame:
@@ -37,9 +37,11 @@ def bm25(queries: DataFrame, tokens: DataFrame, *, k1: float = 1.2, b: float = 0
     df = hits.groupBy("token").agg(F.count("*").alias("df"))
     one = F.broadcast(stats)  # a single row
     idf = F.greatest(F.lit(floor), F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    weighed = df.crossJoin(one).select("token", idf.alias("idf"), "avg_len")
+    asking = asked.groupBy("token").agg(F.collect_list("query_id").alias("query_ids"))
+    weighed = settled(df.crossJoin(one).join(asking, "token").select("token", "df", idf.alias("idf"), "avg_len", "query_ids"), "weights")
     term = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    scored = hits.join(weighed, "token").join(asked, "token").groupBy("query_id", "id").agg(F.sum(term).alias("s"))
+    met = dealt(hits, weighed.agg(F.sum(F.col("df") * F.size("query_ids"))).first()[0], "id", each=2_000_000).join(F.broadcast(weighed), "token")  # a row for each token of the queries
+    scored = met.select("id", term.alias("term"), F.explode("query_ids").alias("query_id")).groupBy("query_id", "id").agg(F.sum("term").alias("s"))
     return scored.select("query_id", "id", F.round("s", 6).alias("score"))
 
 
@@ -164,7 +166,8 @@ def hybrid(
         fused = fused.join(tagged, "id", "left").withColumn("s", F.col("s") + F.when(F.col("tagged"), 0.6 / 61).otherwise(0.0))
     hits = top_per(fused.select("query_id", "id", F.round("s", 5).alias("score")), "query_id", k).select("query_id", "id", F.col("rank"), "score")
     hidden = chunks.select("id").join(visible(chunks, as_of=as_of, latest_only=latest_only).select("id"), "id", "left_anti")
-    return hits, matched.distinct().join(hidden, "id", "left_semi").groupBy("query_id").agg(F.count("*").alias("n_hidden"))
+    hid = matched.join(hidden, "id", "left_semi")  # before the rows of both lists are made distinct: few chunks are hidden
+    return hits, hid.distinct().groupBy("query_id").agg(F.count("*").alias("n_hidden"))
 
 
 def resolve_names(names: DataFrame, sources: DataFrame) -> DataFrame:
