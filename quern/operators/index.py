@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.sources.scratch import dealt
+
 
 def upsert_plan(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """id, action, content_hash, status: what an upsert does to each id of ``incoming`` (id, content_hash) and of ``stored`` (id, content_hash, status).
@@ -71,8 +73,10 @@ def raw_delta(before: DataFrame, after: DataFrame, reachable: DataFrame) -> Data
 
 def mismatches(manifest: DataFrame, scanned: DataFrame, key: str) -> DataFrame:
     """key, side: keys that only the manifest or only the scan has."""
-    m, s = (df.select(key).filter(F.col(key).isNotNull()).distinct() for df in (manifest, scanned))
-    return m.join(s, key, "left_anti").withColumn("side", F.lit("manifest")).unionByName(s.join(m, key, "left_anti").withColumn("side", F.lit("scan")))
+    own = lambda df, scan: df.select(key, F.lit(scan).alias("scan")).filter(F.col(key).isNotNull())
+    both = own(manifest, 0).unionByName(own(scanned, 1))
+    per = dealt(both, both.count(), key, each=4_000_000).groupBy(key).agg(F.min("scan").alias("least"), F.max("scan").alias("most"))
+    return per.filter("least = most").select(key, F.when(F.col("least") == 0, "manifest").otherwise("scan").alias("side"))
 
 
 def duplicate_contents(files: DataFrame, path: str, sha: str) -> DataFrame:
