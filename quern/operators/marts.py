@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import header, is_dimension_value, title_runs
+from quern.sources.scratch import dealt
 
 KEY = ["family", "metric", "grain", "entity", "month"]
 POLICIES = ("last", "first", "max", "min", "sum", "mean", "weighted_mean", "error")
@@ -34,7 +35,8 @@ def resolve_collisions(rows: DataFrame, policies: dict[str, str], weight_metric:
         policy = F.when(F.col("metric") == metric, F.lit(name)).otherwise(policy)
     where = ["family", "grain", "entity", "month", "source_file"]
     if weight_metric:
-        # the row's weight rides along in a window over the file's row, no self-join
+        # the row's weight rides along in a window over the file's row, no self-join; so many parts that the sort and the row numbers of one stay small
+        rows = dealt(rows, rows.count(), *where[2:], "_row", each=1_000_000)
         weight = F.max(F.when(F.col("metric") == weight_metric, F.col("value"))).over(Window.partitionBy(*where, "_row"))
         rows = rows.withColumn("_weight", weight)
     else:
