@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quern.operators import matching, search
+from quern.operators import index, marts, matching, search
 from quern.sources.scratch import dealt
 
 
@@ -36,3 +36,24 @@ def test_hidden_chunks_are_cut_before_they_are_made_distinct(spark):
     assert [tuple(r) for r in hints.collect()] == [(1, 2)]
     plan = hints._jdf.queryExecution().optimizedPlan().toString().split("\n")
     assert max(i for i, x in enumerate(plan) if "Aggregate" in x and "query_id" in x and "count" not in x) < min(i for i, x in enumerate(plan) if "Join LeftSemi" in x)
+
+
+def test_mismatches_and_collisions_are_dealt_once(spark):
+    """One shuffle each: no sides joined, no row numbers counted over all rows of a file in one task."""
+    m, s = spark.createDataFrame([(1,), (2,), (2,), (None,)], "k long"), spark.createDataFrame([(2,), (3,), (3,)], "k long")
+    got = index.mismatches(m, s, "k")
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "manifest"), (3, "scan")]
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    rows = spark.range(40).select(F.lit("f").alias("family"), F.lit("g").alias("grain"), F.lit("e").alias("entity"), F.lit("2026-01").alias("month"), F.lit("s").alias("source_file"), (F.col("id") / 2).cast("long").alias("_row"), F.when(F.col("id") % 2 == 0, "p").otherwise("w").alias("metric"), F.col("id").cast("double").alias("value"))
+    plan = marts.resolve_collisions(rows, {"p": "weighted_mean"}, weight_metric="w")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan
+
+
+def test_word_sets_meet_as_numbers_after_their_bits(spark):
+    """Pairs carry no words, and pairs that bits rule out are not formed."""
+    words = [f"w{i:03d}" for i in range(60)]
+    frames = spark.createDataFrame([(1, " ".join(words[:30])), (2, " ".join(words[:28] + words[40:42])), (3, " ".join(words[25:55])), (4, " ".join(words[:30]))], "id long, body string")
+    got = matching.redundant_pairs(frames, least=0.75)
+    assert [tuple(r) for r in got.collect()] == [(1, 2, 2, 1, 0.875)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "bit_count" in plan and "array_union" not in plan
