@@ -131,10 +131,12 @@ def match_gold(gold: DataFrame, events: DataFrame, texts: DataFrame, *, rank: di
 
 def cue_sentences(items: DataFrame, pattern: str, *, least: int = 6) -> DataFrame:
     """evidence, pos, sentence, starts, ends of the sentences of items (evidence, text) with ``least`` words that ``pattern`` matches in plain form; the span is in the item's plain text."""
-    cut = items.select("evidence", plain(F.col("text")).alias("whole"), F.posexplode(F.split("text", r"(?<=[.?!])\s+")).alias("pos", "sentence"))
-    q = plain(F.col("sentence"))
-    kept = cut.filter((n_words(q) >= least) & q.rlike(pattern)).withColumn("starts", F.instr("whole", q) - 1).filter("starts >= 0")
-    return kept.select("evidence", "pos", F.trim("sentence").alias("sentence"), "starts", (F.col("starts") + F.length(q)).alias("ends"))
+    parts = F.transform(F.split("text", r"(?<=[.?!])\s+"), lambda x, i: F.struct(i.alias("pos"), F.trim(x).alias("sentence"), plain(x).alias("q")))
+    cues = F.filter(parts, lambda s: (n_words(s["q"]) >= least) & s["q"].rlike(pattern))
+    place = lambda whole: F.transform(cues, lambda s: F.struct(s["pos"].alias("pos"), s["sentence"].alias("sentence"), (F.instr(whole, s["q"]) - 1).alias("starts"), F.length(s["q"]).alias("n")))
+    # the plain text is bound to a variable: beside exploded sentences it would be made again for each of them
+    said = items.select("evidence", F.explode(F.flatten(F.transform(F.array(plain(F.col("text"))), place))).alias("s")).filter("s.starts >= 0")
+    return said.select("evidence", "s.pos", "s.sentence", "s.starts", (F.col("s.starts") + F.col("s.n")).alias("ends"))
 
 
 def uncovered(sentences: DataFrame, spans: DataFrame) -> DataFrame:

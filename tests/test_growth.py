@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quern.operators import index, marts, matching, search
+from quern.operators import index, marts, matching, meetings, search
 from quern.sources.scratch import dealt
 
 
@@ -57,3 +57,20 @@ def test_word_sets_meet_as_numbers_after_their_bits(spark):
     assert [tuple(r) for r in got.collect()] == [(1, 2, 2, 1, 0.875)]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "bit_count" in plan and "array_union" not in plan
+
+
+def test_plain_text_is_made_once_a_document(spark):
+    """Not again for each sentence."""
+    items = spark.createDataFrame([(1, "One two three four five six. And the seven eight nine ten! the end"), (2, None)], "evidence long, text string")
+    got = meetings.cue_sentences(items, "the")
+    assert [tuple(r) for r in got.collect()] == [(1, 1, "And the seven eight nine ten!", 28, 56)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    above = plan[: next(i for i, x in enumerate(plan) if "Generate" in x)]
+    assert not [x for x in above if "regexp_replace" in x]
+
+
+def test_vector_blocks_meet_in_strips(spark):
+    """Strips give the pairs of the whole block."""
+    v = spark.createDataFrame([(k, [float(k % 3), 1.0, float(k % 5)]) for k in range(30)], "id long, embedding array<double>")
+    found = [sorted(tuple(r) for r in search.blockwise_pairs(v, v, 0.9, block_rows=16, strip=n).collect()) for n in (3, 64)]
+    assert found[0] == found[1] and found[0] and all(a != b for a, b, _ in found[0])
