@@ -60,10 +60,10 @@ def fuse(lists: list[tuple[DataFrame, float]], k: int, constant: int = 60) -> Da
     return top_per(out.groupBy("query_id", "id").agg(F.round(F.sum("s"), 6).alias("score")), "query_id", k)
 
 
-def blockwise_pairs(left: DataFrame, right: DataFrame, min_score: float, *, block_rows: int = 4096, places: int = 4) -> DataFrame:
+def blockwise_pairs(left: DataFrame, right: DataFrame, min_score: float, *, block_rows: int = 4096, strip: int = 256, places: int = 4) -> DataFrame:
     """a, b, score of the pairs of (id, embedding) rows whose cosine, rounded, is ``min_score`` or more, a <> b.
 
-    Exact: every block of one side meets every block of the other in a task of its own, as one matrix product, and only pairs above the threshold leave it.
+    Exact: every block of one side meets every block of the other in a task of its own, as a matrix product of ``strip`` rows at a time, and only pairs above the threshold leave it.
     """
     n = [max(1, math.ceil(df.count() / block_rows)) for df in (left, right)]
     spread = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
@@ -76,10 +76,12 @@ def blockwise_pairs(left: DataFrame, right: DataFrame, min_score: float, *, bloc
             return pd.DataFrame({"a": [], "b": [], "score": []})
         u, v = (np.stack(d["embedding"].to_numpy()).astype("float64") for d in (p, q))
         u, v = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (u, v))
-        s = np.round(u @ v.T, places)
-        a, b = np.nonzero(s >= min_score)
-        out = pd.DataFrame({"a": p["id"].to_numpy()[a], "b": q["id"].to_numpy()[b], "score": s[a, b]})
-        return out[out["a"] != out["b"]]
+        ids, others, found = p["id"].to_numpy(), q["id"].to_numpy(), []
+        for k in range(0, len(u), strip):  # so few rows of the product at a time
+            s = np.round(u[k : k + strip] @ v.T, places)
+            a, b = np.nonzero((s >= min_score) & (ids[k : k + strip, None] != others))
+            found.append((ids[a + k], others[b], s[a, b]))
+        return pd.DataFrame(dict(zip(("a", "b", "score"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
 
     return x.groupBy("i", "j").cogroup(y.groupBy("i", "j")).applyInPandas(meet, "a long, b long, score double")
 
