@@ -74,3 +74,12 @@ def test_vector_blocks_meet_in_strips(spark):
     v = spark.createDataFrame([(k, [float(k % 3), 1.0, float(k % 5)]) for k in range(30)], "id long, embedding array<double>")
     found = [sorted(tuple(r) for r in search.blockwise_pairs(v, v, 0.9, block_rows=16, strip=n).collect()) for n in (3, 64)]
     assert found[0] == found[1] and found[0] and all(a != b for a, b, _ in found[0])
+
+
+def test_similar_titles_meet_by_rare_words(spark):
+    """A word of all titles pairs nobody that shares nothing else."""
+    rows = [(f"n{k}", "task", f"common a{k}x b{k}x c{k}x", None) for k in range(20)] + [("m", "task", "common a1x b1x zz", None)]
+    nodes = spark.createDataFrame(rows, "node string, kind string, title string, parent_title string")
+    assert sorted(tuple(r) for r in matching.similar_nodes(nodes, least=0.5).collect()) == [("m", "n1", 0.6, 1), ("n1", "m", 0.6, 1)]
+    plan = matching.similar_nodes(nodes, least=0.5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" in plan  # pairs come from the written rare words
