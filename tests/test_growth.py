@@ -1,5 +1,8 @@
 """What a task holds must not grow with the table: plans and partitions of steps that once did."""
 
+import difflib
+import random
+
 from pyspark.sql import functions as F
 
 from quern.operators import index, marts, matching, meetings, search
@@ -83,3 +86,40 @@ def test_similar_titles_meet_by_rare_words(spark):
     assert sorted(tuple(r) for r in matching.similar_nodes(nodes, least=0.5).collect()) == [("m", "n1", 0.6, 1), ("n1", "m", 0.6, 1)]
     plan = matching.similar_nodes(nodes, least=0.5)._jdf.queryExecution().optimizedPlan().toString()
     assert "parquet" in plan  # pairs come from the written rare words
+
+
+def loop_claims(base, draft, least):
+    free, out = {(f"~{p:06d}" if c is None else c): (n, t) for p, c, n, t in base}, []
+    for pos, cid, norm, tags in draft:
+        key = cid if cid in free else min((k for k, (n, _) in free.items() if n == norm), default=None)
+        if key is None:
+            ratios = [(-r, k) for k, (n, _) in free.items() if (r := difflib.SequenceMatcher(None, norm, n).ratio()) >= least]
+            key = min(ratios)[1] if ratios else None
+        if key is None:
+            out.append((pos, None, "added"))
+            continue
+        was, cited = free.pop(key)
+        out.append((pos, None if key[0] == "~" else key, "reworded" if was != norm else "kept" if sorted(cited) == sorted(tags) else "recited"))
+    return out + [(None, None if k[0] == "~" else k, "dropped") for k in free]
+
+
+def test_claims_stream_many_sections_a_task(spark):
+    """A section costs its claims and no frame or task of its own; one may lie over several batches."""
+    rng = random.Random(5)
+    line = lambda: "".join(rng.choice("ab") for _ in range(rng.choice([0, 3, 8, 9])))
+    some = lambda: [(p, rng.choice([None, None, f"c{p % 7}"]), line(), rng.choice([[], ["x"], ["y", "x"], ["x", "y"]])) for p in range(rng.randrange(12))]
+    base, draft, wanted = [], [], []
+    for task, section in [("t", "a"), ("t", "b"), ("u", "a"), ("u", None), ("v", "z"), ("w", "z")]:
+        b, d = some(), some()
+        base += [(task, section, *x) for x in b]
+        draft += [(task, section, *x) for x in d]
+        wanted += [(task, section, *x) for x in loop_claims(b, d, 0.7)]
+    schema = "task string, section string, pos int, claim_id string, normalized string, tags array<string>"
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        got = matching.match_claims(spark.createDataFrame(base, schema), spark.createDataFrame(draft, schema), 0.7)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(wanted, key=str)
+        assert "CoGroups" not in got._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
