@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from quern.operators import index, marts, matching, meetings, search
+from quern.operators import index, marts, matching, meetings, search, selection
 from quern.sources.scratch import dealt
 
 
@@ -123,3 +123,22 @@ def test_claims_stream_many_sections_a_task(spark):
         assert "CoGroups" not in got._jdf.queryExecution().optimizedPlan().toString()
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
+def test_span_pool_sends_on_shared_runs_only(spark, monkeypatch):
+    """Runs go as numbers, those of one quote alone go no further, and leaders come from the pairs that were written."""
+    written = {}
+    settled = selection.settled
+
+    def kept(df, name):
+        out = settled(df, name)
+        written.setdefault(name, out)
+        return out
+
+    monkeypatch.setattr(selection, "settled", kept)
+    a, b = "one two three four five six", "one two three four five nine"
+    rows = [(1, 1, 0, a, "x"), (2, 1, 500, b, "y"), (3, 1, 900, "seven eight nine ten eleven twelve", "x"), (4, 2, 0, a, "y"), (5, 1, 10, "short", "z")]
+    got = selection.span_pool(spark.createDataFrame(rows, "id long, evidence long, offset int, quote string, source string").withColumn("place", F.col("id")))
+    assert sorted(map(tuple, got.collect())) == [(1, 1, "x,y,z"), (2, 1, "x,y,z"), (3, 3, "x"), (4, 4, "y"), (5, 1, "x,y,z")]
+    assert dict(written["runs"].dtypes)["run"] == "bigint" and sorted(r["id"] for r in written["runs"].collect()) == [1, 2]
+    assert "array_intersect" not in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and "tile" not in plan
