@@ -67,7 +67,8 @@ def word_batches(blocks: DataFrame, sections: DataFrame, max_words: int) -> Data
     until the next with words would pass ``max_words``; the heading counts to the first part, a block is never cut and blocks without words open no part. Blocks of no section are left out.
     """
     s = sections.dropna(subset=["doc", "section"]).dropDuplicates(["doc", "section"]).select("doc", "section", F.coalesce("heading_words", F.lit(0)).cast("long").alias("heading"))
-    b = blocks.filter("words > 0").select("doc", "section", "block", F.col("words").cast("long").alias("words")).join(s, ["doc", "section"])
+    # written, since what counts the words of texts would else run for each use
+    b = settled(blocks.select("doc", "section", "block", F.col("words").cast("long").alias("words")).filter("words > 0"), "blocks").join(s, ["doc", "section"])
     sums = b.groupBy("doc", "section").agg(F.sum("words").alias("body"), F.min("block").alias("first"))
     s = settled(s.join(sums, ["doc", "section"], "left").withColumn("total", F.col("heading") + F.coalesce("body", F.lit(0))), "sections")
     long = s.filter((F.col("total") > max_words) & F.col("body").isNotNull())

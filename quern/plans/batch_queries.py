@@ -15,7 +15,7 @@ def word_batches(spark, d):
     """Sources as documents, their documents as sections of lines, with a few heading words."""
     docs = table(spark, d, "documents").filter("source is not null")
     lines = docs.filter("text is not null").select("source", "doc_id", F.posexplode(F.split("text", "\n")).alias("block", "line"))
-    words = F.size(F.filter(F.split("line", " "), lambda w: w != ""))
+    words = F.size(F.array_remove(F.split("line", " "), ""))
     return batches.word_batches(
         lines.select(F.col("source").alias("doc"), F.col("doc_id").alias("section"), "block", words.alias("words")),
         docs.select(F.col("source").alias("doc"), F.col("doc_id").alias("section"), (F.col("doc_id") % 5).alias("heading_words")), MAX_WORDS,

@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from quern.operators import index, marts, matching, meetings, search, selection
+from quern.operators import batches, index, marts, matching, meetings, search, selection
 from quern.sources.scratch import dealt
 
 
@@ -142,3 +142,20 @@ def test_span_pool_sends_on_shared_runs_only(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == [(1, 1, "x,y,z"), (2, 1, "x,y,z"), (3, 3, "x"), (4, 4, "y"), (5, 1, "x,y,z")]
     assert dict(written["runs"].dtypes)["run"] == "bigint" and sorted(r["id"] for r in written["runs"].collect()) == [1, 2]
     assert "array_intersect" not in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and "tile" not in plan
+
+
+def test_words_of_blocks_are_counted_once(spark, monkeypatch):
+    """Whatever counts the words of texts runs in one step, not in each that uses the counts."""
+    plans = []
+    settled = batches.settled
+
+    def kept(df, name):
+        plans.append((name, df._jdf.queryExecution().optimizedPlan().toString()))
+        return settled(df, name)
+
+    monkeypatch.setattr(batches, "settled", kept)
+    blocks = spark.createDataFrame([(1, 1, 0, "aaaa"), (1, 1, 1, "aaa"), (1, 2, 0, "")], "doc int, section int, block int, text string").withColumn("words", F.levenshtein("text", F.lit("")))
+    got = batches.word_batches(blocks, spark.createDataFrame([(1, 1, 0), (1, 2, 1)], "doc int, section int, heading_words int"), 5)
+    plans.append(("result", got._jdf.queryExecution().optimizedPlan().toString()))
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 0, 2, 4, 0), (1, 1, 1, 2, 3, 1), (1, 2, 0, 1, 1, 1)]
+    assert [name for name, plan in plans if "levenshtein" in plan] == ["blocks"]
