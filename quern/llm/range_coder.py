@@ -39,8 +39,7 @@ def _squash() -> np.ndarray:
 
 FIRST, WIDTH, CLASS_OF = _classes()
 SQUASH = _squash()
-#: A table's entry for a prediction that held, by how often it had before.
-UP = np.array([min(n + 1, SURE) << 24 for n in range(SURE + 1)], dtype="int32")
+MORE, MOST = np.int32(1 << 24), np.int32(SURE << 24)  # one hit more in a table's entry, and the most
 ROW = f"V{2 * (CLASSES + 1)}"
 #: Where the bounds of the frequencies go when a class is met; each class keeps a little room.
 TOWARD = np.array([[i << RATE if i <= c else (1 << FREQ) - ((CLASSES - i) << RATE) for i in range(CLASSES + 1)] for c in range(CLASSES)], dtype="int16")
@@ -52,19 +51,21 @@ class Encoder:
     def __init__(self, lanes: int):
         self.low, self.range = np.zeros(lanes, U64), np.full(lanes, FULL, U64)
         self.word, self.out = np.zeros(lanes, U64), []
+        self.lane = np.arange(lanes, dtype="uint16" if lanes <= 1 << 16 else "uint32")  # numpy sorts short numbers digit by digit
 
     def narrow(self, at: np.ndarray | slice, begin: np.ndarray, width: np.ndarray, bits: np.uint64, rest: tuple[np.ndarray, np.ndarray] | None = None) -> None:
         """Lanes ``at`` keep [begin, begin + width) of 2**bits parts of their range, and of that one of 2**n parts by ``rest`` (which, n)."""
         was = self.low[at]
         part = self.range[at] >> bits
-        low = was + part * begin
+        low = part * begin
+        low += was
         part *= width
         if rest is not None:
             part >>= rest[1]
             low += part * rest[0]
-        over = low < was
-        if over.any():
-            self.word[at] += over
+        over = np.flatnonzero(low < was)
+        if len(over):
+            self.word[over if isinstance(at, slice) else at[over]] += U64(1)
         self.low[at] = low
         self.range[at] = part
         small = np.flatnonzero(part < LEAST)
@@ -73,9 +74,10 @@ class Encoder:
 
     def _emit(self, lanes: np.ndarray) -> None:
         low = self.low[lanes]
-        self.out.append((lanes.astype("uint32"), self.word[lanes]))
+        self.out.append((self.lane[lanes], self.word[lanes]))
         self.word[lanes] = low >> HALF
-        self.low[lanes] = low << HALF
+        low <<= HALF
+        self.low[lanes] = low
         self.range[lanes] <<= HALF
 
     def finish(self) -> list[bytes]:
@@ -98,21 +100,25 @@ class Decoder:
     """The lanes of :class:`Encoder` read back."""
 
     def __init__(self, coded: list[bytes]):
-        self.size = max(map(len, coded)) // 4 + 2
-        words = np.zeros((len(coded), self.size), "uint32")
+        size = max(map(len, coded)) // 4 + 2
+        words = np.zeros((len(coded), size), "uint32")
         for k, b in enumerate(coded):
             words[k, : len(b) // 4] = np.frombuffer(b, "<u4")
-        self.range, self.n = np.full(len(coded), FULL, U64), np.full(len(coded), 2, I64)
+        self.range, self.n = np.full(len(coded), FULL, U64), np.arange(len(coded)) * size + 2  # where each lane's next word is
         self.off, self.words = (words[:, 0].astype(U64) << HALF) | words[:, 1], words.ravel()
 
-    def shift(self, at: np.ndarray | slice) -> None:
-        small = np.flatnonzero(self.range[at] < LEAST)
+    def keep(self, at: np.ndarray | slice, off: np.ndarray, part: np.ndarray) -> None:
+        """Lanes ``at`` stand ``off`` within a range of ``part``; those of small ranges take their next word."""
+        small = np.flatnonzero(part < LEAST)
         if len(small):
             lanes = small if isinstance(at, slice) else at[small]
             n = self.n[lanes]
-            self.off[lanes] = (self.off[lanes] << HALF) | self.words[lanes * self.size + np.minimum(n, self.size - 1)]
-            self.n[lanes] = n + 1
-            self.range[lanes] <<= HALF
+            off[small] = (off[small] << HALF) | _at(self.words, n)
+            n += 1
+            self.n[lanes] = n
+            part[small] <<= HALF
+        self.off[at] = off
+        self.range[at] = part
 
 
 def _at(held: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -124,44 +130,79 @@ class Model:
     """What every lane has learned of its block so far."""
 
     def __init__(self, lanes: int):
-        self.one, self.two, self.met = (np.zeros(lanes << b, "int32") for b in (BITS1, BITS2, BITS0))
-        self.say1, self.say2, self.say0 = (np.full(lanes * 32, -256, "int32") for _ in range(3))
+        self.one, self.two = np.split(np.zeros((lanes << BITS1) + (lanes << BITS2), "int32"), [lanes << BITS1])
+        self.met = np.zeros(lanes << BITS0, "uint8")  # SURE at most
+        self.say1, self.say2 = (np.full(lanes * 32, -256, "int32") for _ in range(2))
+        self.say0 = np.full(lanes * 32, len(SQUASH) // 2 - 256, "int32")  # so that the sum of the three is a place in SQUASH
         self.frequency = np.tile((np.arange(CLASSES + 1) * (1 << FREQ) // CLASSES).astype("int16"), (lanes, 1))
         self.flat = self.frequency.reshape(-1)
         self.rows = self.frequency.view(ROW).reshape(-1)  # a lane's frequencies as one item, which is moved as such
         self.mixed = np.zeros(lanes, U64)
         lane = np.arange(lanes, dtype=U64)
         self.at1, self.at2 = lane << U64(BITS1), lane << U64(BITS2)
-        self.at0, self.at32 = (lane << U64(BITS0)).view(I64), (lane << U64(5)).view(I64)
+        self.at0, self.at32 = (np.arange(lanes, dtype="int32") << n for n in (BITS0, 5))
         self.before = np.zeros(lanes, U64)
 
     def predict(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The predicted id of the first ``k`` lanes, and in 65536ths how likely it is."""
         mixed = self.mixed[:k]
-        self.slot1 = ((mixed >> U64(64 - BITS1)) + self.at1[:k]).view(I64)
-        self.slot2 = (((mixed ^ self.before[:k]) * U64(0xD6E8FEB86659FD93) >> U64(64 - BITS2)) + self.at2[:k]).view(I64)
-        said1, said2 = _at(self.one, self.slot1), _at(self.two, self.slot2)
-        self.id1, self.id2 = said1 & ID, said2 & ID
-        self.sure1, self.sure2 = said1 >> 24, said2 >> 24
-        second = self.sure2 >= self.sure1
-        guess = np.where(second, self.id2, self.id1)
-        kind = ((second.view("int8") << 3) + ((self.id1 == self.id2).view("int8") << 4)) + self.at32[:k]
-        times = _at(self.met, self.at0[:k] + (guess & ((1 << BITS0) - 1)))
-        self.place1, self.place2, self.place0 = kind + self.sure1, kind + self.sure2, kind + np.minimum(times, SURE)
+        slot = mixed >> U64(64 - BITS1)
+        slot += self.at1[:k]
+        self.slot1 = slot.view(I64)
+        slot = mixed ^ self.before[:k]
+        slot *= U64(0xD6E8FEB86659FD93)
+        slot >>= U64(64 - BITS2)
+        slot += self.at2[:k]
+        self.slot2 = slot.view(I64)
+        self.said1, self.said2 = _at(self.one, self.slot1), _at(self.two, self.slot2)
+        self.id1 = self.said1 & ID
+        sure1, sure2 = self.said1 >> 24, self.said2 >> 24
+        second = (sure2 >= sure1).astype("int32")
+        guess = self.said2 & ID
+        self.id2 = guess.copy()
+        guess -= self.id1
+        kind = (guess == 0).astype("int32")
+        kind <<= 1
+        kind += second
+        kind <<= 3
+        kind += self.at32[:k]
+        guess *= second
+        guess += self.id1
+        place = guess & ((1 << BITS0) - 1)
+        place += self.at0[:k]
+        times = _at(self.met, place).astype("int32")
+        for hits in (sure1, sure2, times):
+            hits += kind
+        self.place1, self.place2, self.place0 = sure1.astype(I64), sure2.astype(I64), times.astype(I64)
         self.was1, self.was2, self.was0 = _at(self.say1, self.place1), _at(self.say2, self.place2), _at(self.say0, self.place0)
-        self.likely = _at(SQUASH, self.was1 + self.was2 + self.was0 + 2048)
+        total = self.was1 + self.was2
+        total += self.was0
+        self.likely = _at(SQUASH, total)
         return guess, self.likely
 
     def learn(self, k: int, hit: np.ndarray, ids: np.ndarray) -> None:
         """Take in whether the prediction held in the first ``k`` lanes, and their ids (int32)."""
-        step = ((hit.view("int8").astype("int32") << 16) - self.likely) >> 11
-        self.say1[self.place1] = self.was1 + step
-        self.say2[self.place2] = self.was2 + step
-        self.say0[self.place0] = self.was0 + step
-        self.one[self.slot1] = _at(UP, self.sure1) * (self.id1 == ids).view("int8") | ids
-        self.two[self.slot2] = _at(UP, self.sure2) * (self.id2 == ids).view("int8") | ids
-        slot = self.at0[:k] + (ids & ((1 << BITS0) - 1))
-        self.met[slot] = _at(self.met, slot) + 1
+        step = hit.astype("int32")
+        step <<= 16
+        step -= self.likely
+        step >>= 11
+        for say, place, was in ((self.say1, self.place1, self.was1), (self.say2, self.place2, self.was2), (self.say0, self.place0, self.was0)):
+            was += step
+            say[place] = was
+        for table, slot, said, held in ((self.one, self.slot1, self.said1, self.id1), (self.two, self.slot2, self.said2, self.id2)):
+            same = (held == ids).astype("int32")
+            said += MORE
+            said &= ~ID
+            np.minimum(said, MOST, out=said)
+            said *= same
+            said |= ids
+            table[slot] = said
+        slot = ids & ((1 << BITS0) - 1)
+        slot += self.at0[:k]
+        slot = slot.astype(I64)
+        times = _at(self.met, slot)
+        times += (times < SURE).view("uint8")
+        self.met[slot] = times
         np.right_shift(self.mixed[:k], U64(11), out=self.before[:k])
         np.multiply(ids.astype(U64), U64(0x9E3779B97F4A7C15), out=self.mixed[:k])
 
@@ -183,22 +224,41 @@ def _in_order(sizes: list[int]) -> tuple[list[int], np.ndarray]:
     return order, len(held) - np.searchsorted(held[::-1], np.arange(held.max(initial=0)), side="right")
 
 
+def _turned(ids: np.ndarray) -> np.ndarray:
+    """The transpose, some columns at a time, so that each line of memory is met once."""
+    out = np.empty(ids.shape[::-1], ids.dtype)
+    for k in range(0, len(out), 16):
+        out[k : k + 16] = ids[:, k : k + 16].T
+    return out
+
+
+def _width(p: np.ndarray, begin: np.ndarray, miss: np.ndarray) -> np.ndarray:
+    """``p`` of 65536 for a hit, the rest for a miss (1, else 0); ``begin`` is p of a miss."""
+    width = miss << U64(16)
+    width += p
+    width -= begin
+    width -= begin
+    return width
+
+
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
     """Each block of ids (below 65536) coded for itself."""
     if not blocks:
         return []
     order, active = _in_order(list(map(len, blocks)))
-    ids = np.zeros((len(active), len(blocks)), "int32")
+    by_lane = np.zeros((len(blocks), len(active)), "int32")
     for lane, k in enumerate(order):
-        ids[: len(blocks[k]), lane] = blocks[k]
+        by_lane[lane, : len(blocks[k])] = blocks[k]
+    ids = _turned(by_lane)
     model, coder = Model(len(blocks)), Encoder(len(blocks))
-    whole = U64(1 << 16)
     for step, k in enumerate(active.tolist()):
         now = ids[step, :k]
         guess, likely = model.predict(k)
         hit = guess == now
         p = likely.astype(U64)
-        coder.narrow(slice(0, k), p * ~hit, np.where(hit, p, whole - p), U64(16))
+        miss = (~hit).astype(U64)
+        begin = p * miss
+        coder.narrow(slice(0, k), begin, _width(p, begin, miss), U64(16))
         at = np.flatnonzero(~hit)
         if len(at):
             left = _at(now, at)
@@ -223,7 +283,6 @@ def decode(coded: list[bytes], sizes: list[int]) -> list[np.ndarray]:
     order, active = _in_order(sizes)
     ids = np.zeros((len(active), len(sizes)), "int32")
     model, coder = Model(len(sizes)), Decoder([coded[k] for k in order])
-    whole = U64(1 << 16)
     for step, k in enumerate(active.tolist()):
         now = ids[step, :k]
         guess, likely = model.predict(k)
@@ -232,31 +291,32 @@ def decode(coded: list[bytes], sizes: list[int]) -> list[np.ndarray]:
         part = coder.range[:k] >> U64(16)
         edge = part * p
         hit = off < edge
-        off -= edge * ~hit
-        part *= np.where(hit, p, whole - p)
-        coder.range[:k] = part
-        coder.shift(slice(0, k))
+        miss = (~hit).astype(U64)
+        edge *= miss
+        off -= edge
+        part *= _width(p, p * miss, miss)
+        coder.keep(slice(0, k), off, part)
         now[:] = guess
         at = np.flatnonzero(~hit)
         if len(at):
             rows = model.frequencies(at)
-            off, part = _at(coder.off, at), _at(coder.range, at) >> U64(FREQ)
+            off, part = _at(coder.off, at), _at(coder.range, at)
+            part >>= U64(FREQ)
             y = np.minimum(off // part, U64((1 << FREQ) - 1)).astype("int16")
             c = np.bitwise_count(np.packbits(rows <= y[:, None], axis=1).view("uint32")[:, 0]).astype(I64) - 1
             place = at * (CLASSES + 1) + c
             begin = _at(model.flat, place)
             off -= part * begin.astype(U64)
             part *= (_at(model.flat, place + 1) - begin).astype(U64)
-            bits = _at(WIDTH, c)
-            part >>= bits
+            part >>= _at(WIDTH, c)
             rest = off // part
-            coder.off[at] = off - part * rest
-            coder.range[at] = part
-            coder.shift(at)
+            off -= part * rest
+            coder.keep(at, off, part)
             model.adapt(at, rows, c)
             now[at] = _at(FIRST, c) + rest.astype("int32")
         model.learn(k, hit, now)
     out: list[np.ndarray] = [ids[:0, 0]] * len(sizes)
+    by_lane = _turned(ids).view("uint32")
     for lane, k in enumerate(order):
-        out[k] = ids[: sizes[k], lane].astype("uint32")
+        out[k] = by_lane[lane, : sizes[k]].copy()
     return out

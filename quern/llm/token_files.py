@@ -26,6 +26,7 @@ from quern.llm.packing import END_ID, encoder
 MAGIC = b"QIDS\x01\0\0\0"
 HEAD = struct.Struct("<IIII")  # ids, bytes, CRC-32 of the ids, CRC-32 of the bytes
 FOOT = struct.Struct("<QIIQQ8s")  # index: offset, bytes, CRC-32; documents, ids, magic
+RUNS_KEPT, CHARS = 690_000, 8_000_000  # runs of characters that a Python worker remembers; characters that are cut into runs at a time
 MANIFEST = "part int, path string, documents long, ids long, bytes long"
 
 
@@ -34,20 +35,20 @@ class Writer:
 
     def __init__(self, file: io.RawIOBase, block_ids: int, lanes: int):
         self.file, self.block_ids, self.lanes = file, block_ids, lanes
-        self.held: list[bytes] = []
+        self.held: list[np.ndarray] = []
         self.n_held = self.ids = self.documents = 0
         self.bytes = file.write(MAGIC)
 
-    def add(self, ids: bytes) -> None:
+    def add(self, ids: np.ndarray) -> None:
         self.held.append(ids)
-        self.n_held += len(ids) // 4
-        self.ids += len(ids) // 4
+        self.n_held += len(ids)
+        self.ids += len(ids)
         self.documents += 1
         if self.n_held >= self.block_ids * self.lanes:
             self._code(False)
 
     def _code(self, last: bool) -> None:
-        ids = np.frombuffer(b"".join(self.held), "<u4")
+        ids = np.concatenate(self.held) if self.held else np.empty(0, "<u4")
         end = len(ids) if last else len(ids) // self.block_ids * self.block_ids
         blocks = [ids[k : min(k + self.block_ids, end)] for k in range(0, end, self.block_ids)]
         for begin in range(0, len(blocks), self.lanes):
@@ -55,7 +56,7 @@ class Writer:
             for block, coded in zip(some, range_coder.encode(some), strict=True):
                 self.bytes += self.file.write(HEAD.pack(len(block), len(coded), zlib.crc32(block), zlib.crc32(coded)))
                 self.bytes += self.file.write(coded)
-        self.held = [ids[end:].tobytes()]
+        self.held = [ids[end:].copy()]
         self.n_held = len(ids) - end
 
     def close(self, index: pa.Table) -> None:
@@ -103,6 +104,19 @@ def read_blocks(file: io.RawIOBase, end: int, lanes: int) -> Iterator[np.ndarray
             yield ids
 
 
+def _some(texts: pa.Array) -> Iterator[list[str]]:
+    """Whole texts (null: empty), as many at a time as have ``CHARS`` characters."""
+    held, n = [], 0
+    for text in texts:
+        held.append(text.as_py() or "")
+        n += len(held[-1])
+        if n >= CHARS:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
 def _file_system(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(path)
 
@@ -131,7 +145,7 @@ def write_token_files(
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, part = encoder(tokenizer_path), TaskContext.get().partitionId()
+        encode, part = encoder(tokenizer_path, RUNS_KEPT), TaskContext.get().partitionId()
         first = next((b for b in batches if b.num_rows), None)
         if first is None:
             return
@@ -145,10 +159,10 @@ def write_token_files(
             batch = first
             while batch is not None:
                 size = []
-                for text in batch.column("text"):
-                    ids = (encode.of(text.as_py()) if text.is_valid else b"") + end
-                    size.append(len(ids) // 4)
-                    out.add(ids)
+                for texts in _some(batch.column("text")):
+                    for ids in encode.many(texts, end):
+                        size.append(len(ids))
+                        out.add(ids)
                 keys.append(batch.column("doc_id"))
                 sizes.append(np.array(size, "int64"))
                 batch = next((b for b in batches if b.num_rows), None)

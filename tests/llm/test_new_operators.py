@@ -168,6 +168,26 @@ def test_token_files(spark, tmp_path):
         token_files.read_token_files(manifest).count()
 
 
+def test_texts_are_cut_into_runs_together(monkeypatch):
+    """The ids are the tokenizer's own; runs that come again, in one text or another, are met once."""
+    import public_tokenizers
+
+    runs = RunIds(public_tokenizers.path("word_bpe_49k.json"), keep=50)
+    texts = ["it's we've I'LL don't 'tis '' 's's ,'s x'", "", " \t\n\x0b\x0c\r ", "a1b22,33.-4 'd'", "Ünï ÀÉß÷× ÿ\u0178", "'", "we'r", "it'", "l'l", "\x1cend\x1f a", "<|endoftext|> a <| b", "日本語 and it's", "x" * 70_000, "naïve Äpfel's"]
+    rng = np.random.default_rng(3)
+    texts += ["".join(rng.choice(list("stvelrdm'' 1,.\n\tAé"), rng.integers(0, 60))) for _ in range(3000)]
+    for some in (texts, texts[:1], texts[1:3], texts[10:12], [""], []):
+        got = runs.many(some, b"\x01\0\0\0")
+        assert [g.tolist() for g in got] == [[*np.frombuffer(runs.whole(t), "<u4").tolist(), 1] for t in some]
+    met = []
+    fresh = RunIds(public_tokenizers.path("word_bpe_49k.json"))
+    meet = fresh._meet
+    monkeypatch.setattr(fresh, "_meet", lambda found: met.extend(found) or meet(found))
+    for _ in range(2):
+        fresh.many(["one two, one", "two three one."] * 50, b"\x01\0\0\0")
+    assert sorted(met) == [b",", b".", b"one", b"three", b"two"]
+
+
 def test_crc_in_sql():
     words = ["", "hello", "é1:ab", "x" * 300]
     values = ", ".join(f"('{w}')" for w in words)
