@@ -7,6 +7,7 @@ import os
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,7 @@ class RunIds(dict):
     def __init__(self, path: str, keep: int = 300_000, longest: int = 48):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel, WhitespaceSplit
+        from tokenizers.pre_tokenizers import ByteLevel
 
         super().__init__()
         self.tokenizer, self.keep, self.longest, self.words = Tokenizer.from_file(path), keep, longest, {}
@@ -54,11 +55,6 @@ class RunIds(dict):
         if hasattr(self.merges, "_resize_cache"):
             self.merges._resize_cache(0)  # this memory stands in front of its own
         self.four = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
-        self.bare = Tokenizer(self.merges)  # the merges alone, over symbols between blanks
-        self.bare.pre_tokenizer = WhitespaceSplit()
-        vocabulary = self.tokenizer.get_vocab()
-        self.last = np.zeros(max(vocabulary.values()) + 1, "?")
-        self.last[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
         as_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {c: "".join(t for t, _ in as_bytes.pre_tokenize_str(chr(c))) for c in range(0xC0, 0x100)}
 
@@ -112,7 +108,9 @@ class RunIds(dict):
         starts[quote[short | long] + 1] = False
         for after in (quote[short] + 2, quote[long] + 3):  # at most the last blank
             starts[after] = kind[after] != 0
-        body = np.insert(text, np.flatnonzero(starts), 32)
+        starts = np.flatnonzero(starts)
+        body = np.insert(text, starts, 32)
+        del kind, starts
         places = np.concatenate([[0], np.flatnonzero(body == 32) + 1])
         offsets, kept = (pa.int32(), pa.binary()) if len(body) < 1 << 31 else (pa.int64(), pa.large_binary())
         runs = pa.Array.from_buffers(kept, len(places) - 1, [None, pa.array(places, offsets).buffers()[1], pa.py_buffer(body)]).dictionary_encode()
@@ -120,13 +118,27 @@ class RunIds(dict):
         size = np.frombuffer(ends, "i4" if offsets == pa.int32() else "i8")[len(runs.dictionary)]
         return runs.indices.to_numpy(), held.slice(0, size).to_pybytes().split(b" ")[:-1]
 
+    @cached_property
+    def _merging(self) -> tuple[object, np.ndarray]:
+        """A tokenizer of the merges alone, over symbols between blanks, and which ids end a word."""
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
+
+        bare = Tokenizer(self.merges)
+        bare.pre_tokenizer = WhitespaceSplit()
+        vocabulary = self.tokenizer.get_vocab()
+        last = np.zeros(max(vocabulary.values()) + 1, "?")
+        last[[k for t, k in vocabulary.items() if t.endswith("</w>")]] = True
+        return bare, last
+
     def _meet(self, runs: list[bytes]) -> list[bytes]:
         """The ids of distinct runs, which go through the merges together; a run's last token says so."""
         symbols = b" ".join(runs).decode("latin-1")
         for c in range(0xDF, 0x100):  # lower case; what they become has none of them
             symbols = symbols.replace(chr(c), self.letters[c])
-        ids = np.asarray(self.bare.encode_batch_fast([symbols], add_special_tokens=False)[0].ids, "<u4")
-        ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+        bare, last = self._merging
+        ids = np.asarray(bare.encode_batch_fast([symbols], add_special_tokens=False)[0].ids, "<u4")
+        ends = (4 * (np.flatnonzero(last[ids]) + 1)).tolist()
         if len(ends) != len(runs):
             raise ValueError("the tokenizer does not mark the ends of words")
         flat = ids.tobytes()
@@ -134,26 +146,31 @@ class RunIds(dict):
 
     def many(self, texts: list[str], end: bytes) -> list[np.ndarray]:
         """The ids of each text and ``end`` after them; each distinct run of plain texts is looked up once."""
-        plain = [self.as_plain(text) for text in texts]
-        joined = b" ".join(part for raw in plain if raw is not None for part in (raw, self.ENDED))
-        place, runs = self._cut(joined.translate(self.BLANKED) + b" ")
+        raws = [self.as_plain(text) for text in texts]
+        plain = [raw is not None for raw in raws]
+        joined = b" ".join([*(part for raw in raws if raw is not None for part in (raw, self.ENDED)), b""]).translate(self.BLANKED) or b" "
+        del raws
+        place, runs = self._cut(joined)
         if len(self) >= self.keep:
             self.clear()
+        self[b""], self[self.ENDED] = b"", end
         values = list(map(self.get, runs))
-        fresh = [k for k, v in enumerate(values) if v is None and runs[k] not in (b"", self.ENDED)]
+        fresh = [k for k, v in enumerate(values) if v is None]
         for k, found in zip(fresh, self._meet([runs[k] for k in fresh]) if fresh else [], strict=True):
             values[k] = found
             if len(runs[k]) <= self.longest:
                 self[runs[k]] = found
-        values = [v if v is not None else end if run else b"" for run, v in zip(runs, values, strict=True)]
         flat = np.frombuffer(b"".join(values), "<u4")
-        length = np.fromiter(map(len, values), "int64", len(values)) >> 2
-        begin = np.cumsum(length) - length
+        number = "int32" if 4 * len(joined) + len(flat) < 1 << 31 else "int64"  # a character has four ids at most
+        length = np.fromiter(map(len, values), number, len(values)) >> 2
+        begin = np.cumsum(length, dtype=number) - length
         n = length[place]
-        upto = np.cumsum(n)
-        ids = flat[np.repeat(begin[place] - upto + n, n) + np.arange(n.sum())]
+        upto = np.cumsum(n, dtype=number)
+        at = np.repeat(begin[place] - upto + n, n)
+        at += np.arange(len(at), dtype=number)
+        ids = flat.take(at)
         whole = iter(np.split(ids, upto[place == runs.index(self.ENDED)]) if self.ENDED in runs else [])
-        return [next(whole) if raw is not None else np.frombuffer(self.of(text) + end, "<u4") for text, raw in zip(texts, plain, strict=True)]
+        return [next(whole) if is_plain else np.frombuffer(self.of(text) + end, "<u4") for text, is_plain in zip(texts, plain, strict=True)]
 
     def of(self, text: str) -> bytes:
         if (found := self.plain(text)) is not None:

@@ -6,7 +6,8 @@ array operations, so the cost of Python is shared. All of it is whole-number ari
 An id is coded as a yes or no, whether it is the predicted one, and if not as a class and the rest of its bits. The predicted id is the
 one that followed the last two ids (order 2) or the last one (order 1) before, whichever has held longer. How likely it is to hold is a
 mix in the logistic domain of what order 1 and order 2 say by how often they have held in a row, and of what order 0 says by how often that id
-was met in the block; each such evidence learns from every outcome. Classes have adaptive frequencies of order 0.
+was met in the block; each such evidence learns from every outcome. Classes have adaptive frequencies of order 0, learned from every id. All lanes take the same
+operations: a lane whose prediction holds goes through the class as one part of one.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ import math
 import numpy as np
 
 U64, I64 = np.uint64, np.int64
-FULL, HALF, MASK, LEAST = U64((1 << 64) - 1), U64(32), U64((1 << 32) - 1), U64(1 << 32)
+FULL, SHORT, TOP, LEAST = U64((1 << 64) - 1), U64(16), U64(48), U64(1 << 48)  # words have 16 bits
+STEPS, WORDS = 64, 4  # steps between looks at how full the words are; the most words of a step
 BITS1, BITS2, BITS0 = 8, 9, 8  # of the tables of order 1, order 2 and order 0 of each lane
 SURE = 7  # the largest count of hits in a row
 ID = (1 << 24) - 1  # an id in a table's entry; the count stands above it
@@ -40,90 +42,97 @@ def _squash() -> np.ndarray:
 FIRST, WIDTH, CLASS_OF = _classes()
 SQUASH = _squash()
 MORE, MOST = np.int32(1 << 24), np.int32(SURE << 24)  # one hit more in a table's entry, and the most
-ROW = f"V{2 * (CLASSES + 1)}"
 #: Where the bounds of the frequencies go when a class is met; each class keeps a little room.
 TOWARD = np.array([[i << RATE if i <= c else (1 << FREQ) - ((CLASSES - i) << RATE) for i in range(CLASSES + 1)] for c in range(CLASSES)], dtype="int16")
 
 
 class Encoder:
-    """Range coders of many lanes: 64-bit bounds, 32-bit words out. A lane's last word waits for carries; longer ones are settled at the end."""
+    """Range coders of many lanes: 64-bit bounds, 16-bit words out. A word may hold a carry until the end; the first is there for one that never comes."""
 
     def __init__(self, lanes: int):
         self.low, self.range = np.zeros(lanes, U64), np.full(lanes, FULL, U64)
-        self.word, self.out = np.zeros(lanes, U64), []
-        self.lane = np.arange(lanes, dtype="uint16" if lanes <= 1 << 16 else "uint32")  # numpy sorts short numbers digit by digit
-
-    def narrow(self, at: np.ndarray | slice, begin: np.ndarray, width: np.ndarray, bits: np.uint64, rest: tuple[np.ndarray, np.ndarray] | None = None) -> None:
-        """Lanes ``at`` keep [begin, begin + width) of 2**bits parts of their range, and of that one of 2**n parts by ``rest`` (which, n)."""
-        was = self.low[at]
-        part = self.range[at] >> bits
-        low = part * begin
-        low += was
-        part *= width
-        if rest is not None:
-            part >>= rest[1]
-            low += part * rest[0]
-        over = np.flatnonzero(low < was)
+        self._lay(np.zeros((lanes, 1024), "uint32"), np.ones(lanes, I64))
+
+    def _lay(self, words: np.ndarray, n: np.ndarray) -> None:
+        self.words, self.flat = words, words.reshape(-1)
+        self.at = np.arange(len(words)) * words.shape[1]
+        self.next = self.at + n
+
+    def make_room(self) -> None:
+        """For the words of some steps more."""
+        n = self.next - self.at
+        if n.max() + (STEPS + 2) * WORDS > self.words.shape[1]:
+            self._lay(np.concatenate([self.words, np.zeros_like(self.words)], axis=1), n)
+
+    def keep(self, k: int, low: np.ndarray, part: np.ndarray) -> None:
+        """The first ``k`` lanes go on with these bounds; those of small ranges put words out."""
+        over = np.flatnonzero(low < self.low[:k])
         if len(over):
-            self.word[over if isinstance(at, slice) else at[over]] += U64(1)
-        self.low[at] = low
-        self.range[at] = part
-        small = np.flatnonzero(part < LEAST)
-        if len(small):
-            self._emit(small if isinstance(at, slice) else at[small])
-
-    def _emit(self, lanes: np.ndarray) -> None:
-        low = self.low[lanes]
-        self.out.append((self.lane[lanes], self.word[lanes]))
-        self.word[lanes] = low >> HALF
-        low <<= HALF
-        self.low[lanes] = low
-        self.range[lanes] <<= HALF
+            self.flat[self.next[over] - 1] += np.uint32(1)
+        lanes = np.flatnonzero(part < LEAST)
+        while len(lanes):
+            self._put(lanes, low)
+            wide = _at(part, lanes)
+            wide <<= SHORT
+            part[lanes] = wide
+            lanes = lanes[wide < LEAST]
+        self.low[:k] = low
+        self.range[:k] = part
+
+    def _put(self, lanes: np.ndarray, low: np.ndarray) -> None:
+        held, place = _at(low, lanes), _at(self.next, lanes)
+        self.flat[place] = (held >> TOP).astype("uint32")
+        held <<= SHORT
+        low[lanes] = held
+        place += 1
+        self.next[lanes] = place
 
     def finish(self) -> list[bytes]:
-        """The words of each lane, without the first, which is a carry that never comes."""
+        """The words of each lane, without the first."""
         every = np.arange(len(self.low))
-        for _ in range(3):
-            self._emit(every)
-        lane, word = (np.concatenate([o[k] for o in self.out]) for k in (0, 1))
-        self.out = []
-        word = word[np.argsort(lane, kind="stable")]
-        while len(over := np.flatnonzero(word > MASK)):
-            word[over] &= MASK
-            word[over - 1] += U64(1)
-        ends = np.cumsum(np.bincount(lane, minlength=len(every)))
-        word = word.astype("<u4")
-        return [word[a + 1 : b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        self.make_room()
+        for _ in range(WORDS):
+            self._put(every, self.low)
+        while len(over := np.flatnonzero(self.flat >> np.uint32(16))):
+            self.flat[over] &= np.uint32(0xFFFF)
+            self.flat[over - 1] += np.uint32(1)
+        words = self.words.astype("<u2")
+        return [words[lane, 1:n].tobytes() for lane, n in enumerate((self.next - self.at).tolist())]
 
 
 class Decoder:
     """The lanes of :class:`Encoder` read back."""
 
     def __init__(self, coded: list[bytes]):
-        size = max(map(len, coded)) // 4 + 2
-        words = np.zeros((len(coded), size), "uint32")
+        size = max(map(len, coded)) // 2 + WORDS
+        words = np.zeros((len(coded), size), "uint16")
         for k, b in enumerate(coded):
-            words[k, : len(b) // 4] = np.frombuffer(b, "<u4")
-        self.range, self.n = np.full(len(coded), FULL, U64), np.arange(len(coded)) * size + 2  # where each lane's next word is
-        self.off, self.words = (words[:, 0].astype(U64) << HALF) | words[:, 1], words.ravel()
-
-    def keep(self, at: np.ndarray | slice, off: np.ndarray, part: np.ndarray) -> None:
-        """Lanes ``at`` stand ``off`` within a range of ``part``; those of small ranges take their next word."""
-        small = np.flatnonzero(part < LEAST)
-        if len(small):
-            lanes = small if isinstance(at, slice) else at[small]
-            n = self.n[lanes]
-            off[small] = (off[small] << HALF) | _at(self.words, n)
-            n += 1
-            self.n[lanes] = n
-            part[small] <<= HALF
-        self.off[at] = off
-        self.range[at] = part
+            words[k, : len(b) // 2] = np.frombuffer(b, "<u2")
+        self.range, self.next = np.full(len(coded), FULL, U64), np.arange(len(coded)) * size + WORDS
+        self.off, self.words = np.zeros(len(coded), U64), words.ravel()
+        for k in range(WORDS):
+            self.off = (self.off << SHORT) | words[:, k]
+
+    def keep(self, k: int, off: np.ndarray, part: np.ndarray) -> None:
+        """The first ``k`` lanes stand ``off`` within a range of ``part``; those of small ranges take words in."""
+        lanes = np.flatnonzero(part < LEAST)
+        while len(lanes):
+            wide, held, place = _at(part, lanes), _at(off, lanes), _at(self.next, lanes)
+            held <<= SHORT
+            held |= _at(self.words, place).astype(U64)
+            off[lanes] = held
+            place += 1
+            self.next[lanes] = place
+            wide <<= SHORT
+            part[lanes] = wide
+            lanes = lanes[wide < LEAST]
+        self.off[:k] = off
+        self.range[:k] = part
 
 
 def _at(held: np.ndarray, places: np.ndarray) -> np.ndarray:
     """What ``held`` has at ``places``; those outside are taken for its ends, so nothing is checked."""
-    return held.take(places, mode="clip")
+    return held.take(places.astype(I64, copy=False), mode="clip")
 
 
 class Model:
@@ -136,7 +145,7 @@ class Model:
         self.say0 = np.full(lanes * 32, len(SQUASH) // 2 - 256, "int32")  # so that the sum of the three is a place in SQUASH
         self.frequency = np.tile((np.arange(CLASSES + 1) * (1 << FREQ) // CLASSES).astype("int16"), (lanes, 1))
         self.flat = self.frequency.reshape(-1)
-        self.rows = self.frequency.view(ROW).reshape(-1)  # a lane's frequencies as one item, which is moved as such
+        self.row = np.arange(lanes) * (CLASSES + 1)
         self.mixed = np.zeros(lanes, U64)
         lane = np.arange(lanes, dtype=U64)
         self.at1, self.at2 = lane << U64(BITS1), lane << U64(BITS2)
@@ -206,15 +215,12 @@ class Model:
         np.right_shift(self.mixed[:k], U64(11), out=self.before[:k])
         np.multiply(ids.astype(U64), U64(0x9E3779B97F4A7C15), out=self.mixed[:k])
 
-    def frequencies(self, at: np.ndarray) -> np.ndarray:
-        return _at(self.rows, at).view("int16").reshape(len(at), CLASSES + 1)
-
-    def adapt(self, at: np.ndarray, rows: np.ndarray, c: np.ndarray) -> None:
-        toward = TOWARD.take(c, axis=0, mode="clip")
+    def adapt(self, k: int, c: np.ndarray) -> None:
+        """Take in the classes of the ids of the first ``k`` lanes."""
+        toward, rows = TOWARD.take(c, axis=0, mode="clip"), self.frequency[:k]
         toward -= rows
         toward >>= RATE
-        toward += rows
-        self.rows[at] = toward.view(ROW).reshape(-1)
+        rows += toward
 
 
 def _in_order(sizes: list[int]) -> tuple[list[int], np.ndarray]:
@@ -232,13 +238,14 @@ def _turned(ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def _width(p: np.ndarray, begin: np.ndarray, miss: np.ndarray) -> np.ndarray:
-    """``p`` of 65536 for a hit, the rest for a miss (1, else 0); ``begin`` is p of a miss."""
+def _width(p: np.ndarray, miss: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the part of 65536 begins that a lane keeps, and its width: ``p`` for a hit, the rest for a miss (1, else 0)."""
+    begin = p * miss
     width = miss << U64(16)
     width += p
     width -= begin
     width -= begin
-    return width
+    return begin, width
 
 
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
@@ -252,22 +259,40 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
     ids = _turned(by_lane)
     model, coder = Model(len(blocks)), Encoder(len(blocks))
     for step, k in enumerate(active.tolist()):
+        if step % STEPS == 0:
+            coder.make_room()
         now = ids[step, :k]
         guess, likely = model.predict(k)
         hit = guess == now
-        p = likely.astype(U64)
         miss = (~hit).astype(U64)
-        begin = p * miss
-        coder.narrow(slice(0, k), begin, _width(p, begin, miss), U64(16))
-        at = np.flatnonzero(~hit)
-        if len(at):
-            left = _at(now, at)
-            c = _at(CLASS_OF, left)
-            place = at * (CLASSES + 1) + c
-            begin = _at(model.flat, place)
-            width = _at(model.flat, place + 1) - begin
-            coder.narrow(at, begin.astype(U64), width.astype(U64), U64(FREQ), ((left - _at(FIRST, c)).astype(U64), _at(WIDTH, c)))
-            model.adapt(at, model.frequencies(at), c)
+        begin, width = _width(likely.astype(U64), miss)
+        part = coder.range[:k] >> SHORT
+        low = part * begin
+        part *= width
+        c = _at(CLASS_OF, now)
+        place = model.row[:k] + c
+        from_, upto = _at(model.flat, place), _at(model.flat, place + 1)
+        upto -= from_
+        part >>= miss * U64(FREQ)
+        begin = from_.astype(U64)
+        begin *= miss
+        begin *= part
+        low += begin
+        width = upto.astype(U64)
+        width -= U64(1)
+        width *= miss
+        width += U64(1)
+        part *= width
+        bits = _at(WIDTH, c)
+        bits *= miss
+        part >>= bits
+        rest = (now - _at(FIRST, c)).astype(U64)
+        rest *= miss
+        rest *= part
+        low += rest
+        low += coder.low[:k]
+        coder.keep(k, low, part)
+        model.adapt(k, c)
         model.learn(k, hit, now)
     coded = coder.finish()
     out: list[bytes] = [b""] * len(blocks)
@@ -288,32 +313,43 @@ def decode(coded: list[bytes], sizes: list[int]) -> list[np.ndarray]:
         guess, likely = model.predict(k)
         p = likely.astype(U64)
         off = coder.off[:k]
-        part = coder.range[:k] >> U64(16)
-        edge = part * p
-        hit = off < edge
+        part = coder.range[:k] >> SHORT
+        hit = off < part * p
         miss = (~hit).astype(U64)
-        edge *= miss
-        off -= edge
-        part *= _width(p, p * miss, miss)
-        coder.keep(slice(0, k), off, part)
-        now[:] = guess
-        at = np.flatnonzero(~hit)
-        if len(at):
-            rows = model.frequencies(at)
-            off, part = _at(coder.off, at), _at(coder.range, at)
-            part >>= U64(FREQ)
-            y = np.minimum(off // part, U64((1 << FREQ) - 1)).astype("int16")
-            c = np.bitwise_count(np.packbits(rows <= y[:, None], axis=1).view("uint32")[:, 0]).astype(I64) - 1
-            place = at * (CLASSES + 1) + c
-            begin = _at(model.flat, place)
-            off -= part * begin.astype(U64)
-            part *= (_at(model.flat, place + 1) - begin).astype(U64)
-            part >>= _at(WIDTH, c)
-            rest = off // part
-            off -= part * rest
-            coder.keep(at, off, part)
-            model.adapt(at, rows, c)
-            now[at] = _at(FIRST, c) + rest.astype("int32")
+        begin, width = _width(p, miss)
+        begin *= part
+        off -= begin
+        part *= width
+        part >>= miss * U64(FREQ)
+        y = np.minimum(off // part, U64((1 << FREQ) - 1)).astype("int16")
+        c = np.bitwise_count(np.packbits(model.frequency[:k] <= y[:, None]).view("uint32")).astype(I64)  # a lane has 32 bounds
+        c -= 1
+        place = model.row[:k] + c
+        from_, upto = _at(model.flat, place), _at(model.flat, place + 1)
+        upto -= from_
+        begin = from_.astype(U64)
+        begin *= miss
+        begin *= part
+        off -= begin
+        width = upto.astype(U64)
+        width -= U64(1)
+        width *= miss
+        width += U64(1)
+        part *= width
+        bits = _at(WIDTH, c)
+        bits *= miss
+        part >>= bits
+        rest = off // part
+        rest *= miss
+        part_rest = part * rest
+        off -= part_rest
+        other = _at(FIRST, c)
+        other += rest.astype("int32")
+        other -= guess
+        other *= miss.astype("int32")
+        np.add(guess, other, out=now)
+        coder.keep(k, off, part)
+        model.adapt(k, _at(CLASS_OF, now))
         model.learn(k, hit, now)
     out: list[np.ndarray] = [ids[:0, 0]] * len(sizes)
     by_lane = _turned(ids).view("uint32")

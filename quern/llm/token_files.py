@@ -23,10 +23,10 @@ from quern.llm import range_coder
 from quern.llm.common import give_back, partitions, place, written
 from quern.llm.packing import END_ID, encoder
 
-MAGIC = b"QIDS\x01\0\0\0"
+MAGIC = b"QIDS\x02\0\0\0"
 HEAD = struct.Struct("<IIII")  # ids, bytes, CRC-32 of the ids, CRC-32 of the bytes
 FOOT = struct.Struct("<QIIQQ8s")  # index: offset, bytes, CRC-32; documents, ids, magic
-RUNS_KEPT, CHARS = 690_000, 8_000_000  # runs of characters that a Python worker remembers; characters that are cut into runs at a time
+RUNS_KEPT, CHARS = 690_000, 10_000_000  # runs of characters that a Python worker remembers; characters that are cut into runs at a time
 MANIFEST = "part int, path string, documents long, ids long, bytes long"
 
 

@@ -141,6 +141,17 @@ def test_range_coder_round_trip():
     assert range_coder.encode([]) == [] and range_coder.decode([], []) == []
 
 
+def test_range_coder_of_long_blocks():
+    """More words than a lane has room for at first, next to short ones; whatever is predicted, the classes learn from it."""
+    rng = np.random.default_rng(4)
+    blocks = [rng.integers(0, 65536, n).astype("uint32") for n in (9000, 3, 0, 1500)] + [rng.choice([0, 65535, 40_000], 4000, p=[0.98, 0.01, 0.01]).astype("uint32")]
+    blocks += [np.tile(rng.integers(0, 49_408, n), 3000 // n).astype("uint32") for n in (2, 40, 700)]
+    coded = range_coder.encode(blocks)
+    assert all(np.array_equal(a, b) for a, b in zip(blocks, range_coder.decode(coded, list(map(len, blocks))), strict=True))
+    assert [range_coder.encode([b])[0] for b in blocks] == coded
+    assert len(coded[0]) < 2.2 * 9000 and len(coded[4]) < 400 and len(coded[5]) < 200
+
+
 def test_token_files(spark, tmp_path):
     import public_tokenizers
 
