@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from quern.operators import batches, index, marts, matching, meetings, search, selection
+from quern.operators import batches, index, marts, matching, meetings, search, selection, wordsets
 from quern.sources.scratch import dealt
 
 
@@ -159,3 +159,30 @@ def test_words_of_blocks_are_counted_once(spark, monkeypatch):
     plans.append(("result", got._jdf.queryExecution().optimizedPlan().toString()))
     assert sorted(map(tuple, got.collect())) == [(1, 1, 0, 2, 4, 0), (1, 1, 1, 2, 3, 1), (1, 2, 0, 1, 1, 1)]
     assert [name for name, plan in plans if "levenshtein" in plan] == ["blocks"]
+
+
+def word_pairs(docs, least):
+    """By every two sets: (a, b, n_a, n_b, score) of classes of equal sets."""
+    sets = {}
+    for i, t in docs:
+        sets.setdefault(frozenset(t.split()), set()).add(i)
+    named = [(min(ids), len(ids), s) for s, ids in sets.items() if len(s) >= 15]
+    return sorted((a, b, n, m, round(len(x & y) / len(x | y), 3)) for a, n, x in named for b, m, y in named if a < b and len(x & y) >= least * len(x | y))
+
+
+def test_alike_sets_go_to_a_tile_once(spark, monkeypatch):
+    """Pairs carry no sets; rounds, tiles and parts of any size give all pairs, also if an id has two bodies."""
+    for name, value in (("ROUND", 900), ("AT_ONCE", 50), ("TILE", 3), ("FREQUENT", 40), ("MORE", 8)):
+        monkeypatch.setattr(wordsets, name, value)
+    rng = random.Random(8)
+    docs = []
+    for g in range(6):
+        base = [f"g{g}w{k:03d}" for k in range(15 + 12 * g)] + [f"all{k:02d}" for k in range(12)]
+        docs += [(len(docs) + k, " ".join(rng.sample(base, len(base) - rng.randrange(8)) + [f"own{rng.randrange(40)}x"] * rng.randrange(2))) for k in range(14)]
+    docs += [(200, docs[3][1]), (5, docs[20][1] + " more"), (5, docs[40][1] + " more")]
+    frames = spark.createDataFrame(docs, "id long, body string")
+    for least in (0.6, 0.75):
+        got = wordsets.alike(wordsets.word_sets(frames, 15), least)
+        assert sorted((*r[:4], round(r[4], 3)) for r in got.collect()) == word_pairs(docs, least)
+        assert "array_intersect" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert matching.redundant_pairs(frames.limit(0)).count() == 0
